@@ -1,11 +1,13 @@
 """The registered queries of this subpackage, and their SQL."""
 
-from . import decontaminate, neardup, substrings, suffixes
+from . import decontaminate, neardup, pii, substrings, suffixes, topk
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1,
     "op5_minhash_neardup": neardup.op5,
     "op9_suffix_array_dedup": suffixes.op9,
+    "op6_exact_topk": topk.op6,
+    "op7_pii": pii.op7,
     "op8_substring_dedup": substrings.op8,
 }
-ORACLES = {}
+ORACLES = {"op6_exact_topk": topk.OP6_SQL}
