@@ -5,9 +5,13 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import text
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -30,18 +34,46 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
-def shared_bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits bits with a bit for each hash.
+def bitmap(hashes: DataFrame, column: str, bits_each: int = 16, least: int = 24, most: int = 30) -> Broadcast:
+    """A bitmap with a bit for each 64-bit hash, for text.may_hold().
 
-    Executors fold the hashes into words of 64 bits; the driver gets at most
-    2**(bits - 6) of those, however many hashes there are.
+    It has about bits_each bits for each hash, but at most 2**most. Executors
+    fold the hashes into words of 64 bits, and the driver gets those: 2**(most - 6)
+    at most, however many hashes there are. Past that bound more and more
+    hashes that were not put in seem to be there, which callers must bear.
     """
+    hashes = cut(hashes.select(column))
+    bits = min(most, max(least, (bits_each * hashes.count()).bit_length()))
     slot = F.shiftrightunsigned(F.col(column), 64 - bits)
     folded = hashes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")).alias("set"))
     held = folded.toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[held["word"].to_numpy()] = held["set"].to_numpy()
-    return out.view(np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+
+
+def id_hashes(column: pa.Array) -> np.ndarray:
+    return text.mix(column.fill_null(0).to_numpy().view(np.uint64))
+
+
+def id_bitmap(ids: DataFrame) -> Broadcast:
+    """A bitmap of the values of doc_id."""
+
+    def hashed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(text.signed(id_hashes(b.column(0))))], ["h"])
+
+    return bitmap(ids.select("doc_id").mapInArrow(hashed, "h bigint"), "h")
+
+
+def with_ids(known: Broadcast, wanted: bool):
+    """Task function: the rows whose doc_id, the first column, may be in the bitmap, or those whose cannot."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(text.may_hold(known.value, id_hashes(b.column(0))) == wanted))
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:

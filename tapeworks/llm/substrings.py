@@ -16,11 +16,12 @@ doc_id are judged alike, and never against each other; extra columns are
 ignored; an empty table gives an empty result.
 
 Scale: a first pass counts, for each anchor, whether more than one document
-holds it; the answer is a bitmap of fixed size (anchors that share a bit only
-add lookups). Only windows with such anchors are shuffled, by their hash, and
-the least doc_id is aggregated before the shuffle, so a passage that a third of
-all documents share is a few partial rows. Windows are told apart by 64-bit
-hashes.
+holds it; the answer is a bitmap of at most 128 MB (anchors that share a bit
+only add lookups). Only windows with such anchors are shuffled, once for each
+document, by their hash, and the least doc_id is aggregated before the shuffle,
+so a passage that a third of all documents share is a few partial rows. Texts of
+documents without hits stay where they are read. Windows are told apart by
+64-bit hashes.
 """
 
 import hashlib
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import jobs, text
 
-WINDOW, GRAM, FILTER_BITS = 13, 6, 26
+WINDOW, GRAM = 13, 7
 
 
 def anchors(window: int, k: int):
@@ -40,7 +41,7 @@ def anchors(window: int, k: int):
 
     def rows(batches):
         for batch in batches:
-            for c in text.chunks(batch.column(0), 8 << 20):
+            for c in text.chunks(batch.column(0), 4 << 20):
                 w = text.words(c.data, c.offsets, text.SPACE, lower=False)
                 gram = text.grams(w.hash, k)
                 at = text.minimisers(gram, window - k + 1, text.room(w.first), k)
@@ -57,7 +58,7 @@ def anchors(window: int, k: int):
 
 
 def windows(window: int, k: int, known):
-    """Task function: (doc_id, text) to (win, doc_id, at) for windows whose anchor may be shared."""
+    """Task function: (doc_id, text) to (win, doc_id, at): each text's different windows whose anchor may be shared."""
 
     def rows(batches):
         for batch in batches:
@@ -67,9 +68,14 @@ def windows(window: int, k: int, known):
                 anchor = text.minimisers(gram, window - k + 1, text.room(w.first), k)
                 at = np.flatnonzero(anchor >= 0)
                 at = at[text.may_hold(known.value, gram[anchor[at]])]
-                who = text.owner(w.first)[at]
+                win, who = text.grams(w.hash, window)[at], text.owner(w.first)[at]
+                order = np.lexsort((at, win, who))
+                at, win, who = at[order], win[order], who[order]
+                new = np.ones(len(at), bool)
+                new[1:] = (win[1:] != win[:-1]) | (who[1:] != who[:-1])
+                at, win, who = at[new], win[new], who[new]
                 ids = batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start)
-                yield pa.RecordBatch.from_arrays([pa.array(text.signed(text.grams(w.hash, window)[at])), ids.take(pa.array(who)), pa.array((at - w.first[who]).astype(np.int32))], ["win", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(text.signed(win)), ids.take(pa.array(who)), pa.array((at - w.first[who]).astype(np.int32))], ["win", "doc_id", "at"])
 
     return rows
 
@@ -83,6 +89,19 @@ def factorise(at: np.ndarray, source: np.ndarray, window: int) -> tuple[np.ndarr
     return at[begin], at[last] - at[begin] + window, source[begin]
 
 
+def everywhere(win: np.ndarray, at: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the windows at the given ones, and their sources."""
+    good = at < len(win)
+    keys, source = win[at[good]], source[good]
+    order = np.argsort(keys)
+    keys, source = keys[order], source[order]
+    if not len(keys):
+        return at[:0], source
+    where = np.minimum(np.searchsorted(keys, win), len(keys) - 1)
+    hit = np.flatnonzero(keys[where] == win)
+    return hit, source[where[hit]]
+
+
 def parse(window: int, keep_text: bool):
     """Task function: (doc_id, text, at, source) to the document's words less those in factors."""
 
@@ -99,7 +118,7 @@ def parse(window: int, keep_text: bool):
                     hits = at_list[c.rows.start + i]
                     start = length = source = np.zeros(0, np.int64)
                     if hits.is_valid and len(hits.values):
-                        start, length, source = factorise(hits.values.to_numpy(), source_list[c.rows.start + i].values.to_numpy(), window)
+                        start, length, source = factorise(*everywhere(text.grams(w.hash[lo:hi], window), hits.values.to_numpy(), source_list[c.rows.start + i].values.to_numpy()), window)
                         edge = np.zeros(hi - lo + 1, np.int64)
                         np.add.at(edge, start, 1)
                         np.add.at(edge, start + length, -1)
@@ -116,24 +135,30 @@ def parse(window: int, keep_text: bool):
     return rows
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, k: int = GRAM, filter_bits: int = FILTER_BITS, keep_text: bool = True) -> DataFrame:
+def shared_anchors(docs: DataFrame, window: int, k: int):
+    """A bitmap of the anchors that more than one row of docs (text) holds."""
+    found = docs.select("text").mapInArrow(anchors(window, k), "anchor bigint, docs int")
+    return jobs.bitmap(found.groupBy("anchor").agg(F.sum("docs").alias("docs")).where("docs > 1"), "anchor")
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, k: int = GRAM, keep_text: bool = True) -> DataFrame:
     """A row for each row of docs (doc_id long, text): doc_id, n_words, n_removed, kept and factors.
 
     kept: the words left, joined by one space, or with keep_text=False their
     SHA-256 in hex. start, length, source: arrays of the factors' first words,
     numbers of words and source documents.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = docs.select("text").mapInArrow(anchors(window, k), "anchor bigint, docs int").groupBy("anchor").agg(F.sum("docs").alias("docs")).where("docs > 1")
-    known = spark.sparkContext.broadcast(jobs.shared_bitmap(shared, "anchor", filter_bits))
+    known = shared_anchors(docs, window, k)
     win = docs.where("doc_id is not null").mapInArrow(windows(window, k, known), "win bigint, doc_id bigint, at int")
-    first = win.groupBy("win").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    hits = win.join(first, "win").where("doc_id > source").select("doc_id", "at", "source").distinct()
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("at", "source")).alias("hit"))
-    hits = hits.select("doc_id", F.col("hit.at").alias("at"), F.col("hit.source").alias("source"))
-    joined = docs.join(hits, "doc_id", "left").select("doc_id", "text", "at", "source")
-    return joined.mapInArrow(parse(window, keep_text), "doc_id bigint, n_words bigint, n_removed bigint, kept string, start array<bigint>, length array<bigint>, source array<bigint>")
+    first = win.groupBy("win").agg(F.min("doc_id").alias("source"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    hits = win.join(first, "win").where("doc_id > source").groupBy("doc_id").agg(F.collect_set(F.struct("at", "source")).alias("hit"))
+    hits = jobs.cut(hits.select("doc_id", F.col("hit.at").alias("at"), F.col("hit.source").alias("source")))
+    hit = jobs.id_bitmap(hits)
+    plain, schema = "doc_id bigint, text string", "doc_id bigint, n_words bigint, n_removed bigint, kept string, start array<bigint>, length array<bigint>, source array<bigint>"
+    some = docs.mapInArrow(jobs.with_ids(hit, True), plain).join(hits, "doc_id", "left")
+    none = docs.mapInArrow(jobs.with_ids(hit, False), plain).withColumns({"at": F.lit(None).cast("array<int>"), "source": F.lit(None).cast("array<bigint>")})
+    return some.select("doc_id", "text", "at", "source").unionByName(none).mapInArrow(parse(window, keep_text), schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ part of it. Null, blank and short texts give no rows; a span that repeats only
 within one doc_id gives none; extra columns are ignored; an empty table gives an
 empty result.
 
-Scale: a bitmap of fixed size, folded on the executors, tells which k-grams
+Scale: a bitmap of at most 128 MB, folded on the executors, tells which k-grams
 stand in more than one document; only suffixes that begin with those are
 sorted. The sort is a range partitioning on the following words and then the
 doc_id, so a passage that a third of all documents share spreads over many
@@ -134,12 +134,10 @@ def sweep(shared: int, limit: int = 200_000):
     return run
 
 
-def repeats(docs: DataFrame, shared: int = SHARED, k: int = GRAM, w: int = SPAN, filter_bits: int = substrings.FILTER_BITS) -> DataFrame:
+def repeats(docs: DataFrame, shared: int = SHARED, k: int = GRAM, w: int = SPAN) -> DataFrame:
     """(doc_id, start, length, match_doc_id): spans of words that other documents share."""
-    spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common = docs.select("text").mapInArrow(substrings.anchors(k + w - 1, k), "anchor bigint, docs int").groupBy("anchor").agg(F.sum("docs").alias("docs")).where("docs > 1")
-    known = spark.sparkContext.broadcast(jobs.shared_bitmap(common, "anchor", filter_bits))
+    known = substrings.shared_anchors(docs, k + w - 1, k)
     suffixes = jobs.cut(docs.mapInArrow(retained(k, w, shared, known), ROW))
     out = "kind int, doc_id bigint, at int, length int, other bigint, after binary, before binary"
     found = jobs.cut(suffixes.repartitionByRange("after", "doc_id", "at").sortWithinPartitions("after", "doc_id", "at").mapInArrow(sweep(shared), out))
