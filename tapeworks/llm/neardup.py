@@ -97,11 +97,12 @@ def sign(n: int, perms: int, rows: int):
     return run
 
 
-def sets(n: int):
-    """Task function: (doc_id, text) to (doc_id, shingles as sorted 64-bit little-endian numbers)."""
+def sets(n: int, wanted):
+    """Task function: (doc_id, text) to (doc_id, shingles as sorted 64-bit little-endian numbers), at least of wanted documents."""
+    only = jobs.with_ids(wanted, True)
 
     def run(batches):
-        for batch in batches:
+        for batch in only(batches):
             for c in text.chunks(batch.column(1)):
                 value, first = shingles(text.words(c.data, c.offsets, text.SPACE), n)
                 raw = value.tobytes()
@@ -193,8 +194,8 @@ def near_duplicates(docs: DataFrame, words: int, percent: int, perms: int = PERM
     counted = inside.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("members"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("n > 1")
     buckets = counted.groupBy("n", "members", "least", "most").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     member = jobs.cut(inside.join(buckets, "bucket").withColumn("at", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int")))
-    wanted = member.select(F.col("rep").alias("doc_id")).distinct()
-    held = docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets(words), "doc_id bigint, set binary").dropDuplicates(["doc_id", "set"])
+    wanted = jobs.id_bitmap(member.select(F.col("rep").alias("doc_id")).distinct())
+    held = docs.where("doc_id is not null").mapInArrow(sets(words, wanted), "doc_id bigint, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = member.select("bucket", F.col("rep").alias("doc_id"), "at", other).select("bucket", "doc_id", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).cast("int").alias("side"))
     units = units.join(held, "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "doc_id")
