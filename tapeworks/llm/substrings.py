@@ -36,8 +36,11 @@ from . import jobs, text
 WINDOW, GRAM = 13, 7
 
 
-def anchors(window: int, k: int):
-    """Task function: (text) to (anchor, docs): docs is 1, or 2 if several documents of the chunk hold it."""
+def anchors(window: int, k: int, length: int):
+    """Task function: (text) to (anchor, docs): docs is 1, or 2 if several documents of the chunk hold it.
+
+    An anchor is the hash of the length words from a minimiser on.
+    """
 
     def rows(batches):
         for batch in batches:
@@ -46,6 +49,8 @@ def anchors(window: int, k: int):
                 gram = text.grams(w.hash, k)
                 at = text.minimisers(gram, window - k + 1, text.room(w.first), k)
                 at = np.unique(at[at >= 0])
+                at = at[text.room(w.first)[at] >= length]
+                gram = text.grams(w.hash, length)
                 pairs = np.stack([gram[at], text.owner(w.first)[at].astype(np.uint64)], axis=1)
                 pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
                 new = np.r_[True, pairs[1:, 0] != pairs[:-1, 0]] if len(pairs) else np.zeros(0, bool)
@@ -135,9 +140,9 @@ def parse(window: int, keep_text: bool):
     return rows
 
 
-def shared_anchors(docs: DataFrame, window: int, k: int):
+def shared_anchors(docs: DataFrame, window: int, k: int, length: int):
     """A bitmap of the anchors that more than one row of docs (text) holds."""
-    found = docs.select("text").mapInArrow(anchors(window, k), "anchor bigint, docs int")
+    found = docs.select("text").mapInArrow(anchors(window, k, length), "anchor bigint, docs int")
     return jobs.bitmap(found.groupBy("anchor").agg(F.sum("docs").alias("docs")).where("docs > 1"), "anchor")
 
 
@@ -149,7 +154,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, k: int = GRAM, keep_text: bool
     numbers of words and source documents.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = shared_anchors(docs, window, k)
+    known = shared_anchors(docs, window, k, k)
     win = docs.where("doc_id is not null").mapInArrow(windows(window, k, known), "win bigint, doc_id bigint, at int")
     first = win.groupBy("win").agg(F.min("doc_id").alias("source"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     hits = win.join(first, "win").where("doc_id > source").groupBy("doc_id").agg(F.collect_set(F.struct("at", "source")).alias("hit"))

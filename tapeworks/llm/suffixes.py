@@ -17,9 +17,10 @@ part of it. Null, blank and short texts give no rows; a span that repeats only
 within one doc_id gives none; extra columns are ignored; an empty table gives an
 empty result.
 
-Scale: a bitmap of at most 128 MB, folded on the executors, tells which k-grams
-stand in more than one document; only suffixes that begin with those are
-sorted. The sort is a range partitioning on the following words and then the
+Scale: a span of `shared` words has its first minimiser in its first w places,
+so at least shared - w + 1 words follow there. A bitmap of at most 128 MB, folded
+on the executors, tells which such beginnings stand in more than one document;
+only suffixes that have one are sorted. The sort is a range partitioning on the following words and then the
 doc_id, so a passage that a third of all documents share spreads over many
 tasks. Where partitions meet, their outermost suffixes are compared apart.
 """
@@ -45,7 +46,8 @@ def retained(k: int, w: int, shared: int, known):
                 gram = text.grams(words.hash, k)
                 at = text.minimisers(gram, w, text.room(words.first), k)
                 at = np.unique(at[at >= 0])
-                at = at[text.may_hold(known.value, gram[at])]
+                at = at[text.room(words.first)[at] >= shared - w + 1]
+                at = at[text.may_hold(known.value, text.grams(words.hash, shared - w + 1)[at])]
                 who = text.owner(words.first)[at]
                 code = (words.hash >> np.uint64(32)).astype(">u4").tobytes()
                 back = (words.hash[::-1] >> np.uint64(32)).astype(">u4").tobytes()
@@ -137,7 +139,7 @@ def sweep(shared: int, limit: int = 200_000):
 def repeats(docs: DataFrame, shared: int = SHARED, k: int = GRAM, w: int = SPAN) -> DataFrame:
     """(doc_id, start, length, match_doc_id): spans of words that other documents share."""
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = substrings.shared_anchors(docs, k + w - 1, k)
+    known = substrings.shared_anchors(docs, k + w - 1, k, shared - w + 1)
     suffixes = jobs.cut(docs.mapInArrow(retained(k, w, shared, known), ROW))
     out = "kind int, doc_id bigint, at int, length int, other bigint, after binary, before binary"
     found = jobs.cut(suffixes.repartitionByRange("after", "doc_id", "at").sortWithinPartitions("after", "doc_id", "at").mapInArrow(sweep(shared), out))
