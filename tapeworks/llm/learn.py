@@ -13,6 +13,8 @@ def remainder(modulus: int) -> Column:
 def sample(features: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """(x, y) of at most bound rows (doc_id, x array, y), the same ones each time."""
     held = features.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select("x", "y").toArrow()
+    if not len(held):
+        return np.zeros((0, 0)), np.zeros(0)
     x = held["x"].combine_chunks()
     return x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1), held["y"].to_numpy().astype(np.float64)
 

@@ -44,7 +44,7 @@ BASE = [
     Kind("card", r"(?<![0-9])[0-9](?:[ -]?[0-9])++", None, 0.7, "card|visa|credit|debit|pay|amex"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.7, "phone|tel|call|mobile|fax|cell"),
 ]
-ADDED = [Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", None, 0.7, "iban|account|bank|transfer")]
+ADDED = [Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", None, 0.7, "iban|account|bank|transfer")]
 
 
 def proposals(kind: Kind) -> tuple[Column, Column]:
