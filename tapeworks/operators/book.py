@@ -7,6 +7,7 @@ left are rejected and change nothing, which no running sum expresses; so the
 fold is a higher-order function over the order's few messages, in order.
 """
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,9 +125,8 @@ def checksums(orders: DataFrame) -> DataFrame:
 
     A fold in total order within a symbol; symbols are independent.
     """
-    import pandas as pd
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["side", "priority"])
         value = FNV_BASIS
         for row in rows[["order_id", "px_raw", "size", "state"]].itertuples(index=False):

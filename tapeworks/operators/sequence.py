@@ -1,14 +1,15 @@
 """Integrity of numbered streams: gaps and repetitions against the number expected next."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ARRIVAL = Window.partitionBy("session").orderBy("arrival")
+def by_arrival() -> WindowSpec:
+    return Window.partitionBy("session").orderBy("arrival")
 
 
 def audited(stream: DataFrame) -> DataFrame:
     """(session, arrival, observed, expected, state, missing): the first message sets the base."""
-    expected = F.coalesce(F.max(F.col("observed") + 1).over(ARRIVAL.rowsBetween(Window.unboundedPreceding, -1)), F.col("observed"))
+    expected = F.coalesce(F.max(F.col("observed") + 1).over(by_arrival().rowsBetween(Window.unboundedPreceding, -1)), F.col("observed"))
     rows = stream.withColumn("expected", expected)
     state = F.when(F.col("observed") == F.col("expected"), "ok").when(F.col("observed") > F.col("expected"), "gap").otherwise("duplicate")
     return rows.select("session", "arrival", "observed", "expected", state.alias("state"), F.greatest(F.col("observed") - F.col("expected"), F.lit(0).cast("long")).alias("missing"))

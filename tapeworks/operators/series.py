@@ -1,16 +1,25 @@
 """Series of mids: returns, volatility, quotes, fills, markouts, position and profit."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SYMBOL = Window.partitionBy("symbol").orderBy("seq")
-BEFORE = SYMBOL.rowsBetween(Window.unboundedPreceding, -1)
-SO_FAR = SYMBOL.rowsBetween(Window.unboundedPreceding, 0)
 WINDOW = 256
 
 
+def by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("seq")
+
+
+def before() -> WindowSpec:
+    return by_symbol().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def so_far() -> WindowSpec:
+    return by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def changes(obs: DataFrame) -> DataFrame:
-    return obs.select("symbol", "seq", "mid_raw", (F.col("mid_raw") - F.lag("mid_raw").over(SYMBOL)).alias("delta"))
+    return obs.select("symbol", "seq", "mid_raw", (F.col("mid_raw") - F.lag("mid_raw").over(by_symbol())).alias("delta"))
 
 
 def moves(obs: DataFrame) -> DataFrame:
@@ -20,7 +29,7 @@ def moves(obs: DataFrame) -> DataFrame:
 
 def volatility(obs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(symbol, seq, sigma): root mean square of the last returns, each held within four times their median size."""
-    last = changes(obs).withColumn("d", F.collect_list("delta").over(SYMBOL.rowsBetween(1 - window, 0)))
+    last = changes(obs).withColumn("d", F.collect_list("delta").over(by_symbol().rowsBetween(1 - window, 0)))
     middle = F.expr("array_sort(transform(d, x -> abs(x)))[size(d) DIV 2]")
     held = last.withColumn("m", F.when(F.size("d") > 0, middle))
     squares = F.aggregate("d", F.lit(0).cast("long"), lambda s, x: s + F.pow(F.when(F.col("m") > 0, F.least(F.greatest(x, -4 * F.col("m")), 4 * F.col("m"))).otherwise(x), 2).cast("long"))
@@ -30,15 +39,15 @@ def volatility(obs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def positions(fills: DataFrame) -> DataFrame:
     """(symbol, seq, position, cash) after each fill."""
-    return fills.select("symbol", "seq", F.sum(F.expr("s * size")).over(SO_FAR).alias("position"), (-F.sum(F.expr("s * size * px_raw")).over(SO_FAR)).alias("cash"))
+    return fills.select("symbol", "seq", F.sum(F.expr("s * size")).over(so_far()).alias("position"), (-F.sum(F.expr("s * size * px_raw")).over(so_far())).alias("cash"))
 
 
 def profit(obs: DataFrame, fills: DataFrame) -> DataFrame:
     """(symbol, seq, equity, step, drawdown) at each observation; it is marked before its own fill counts."""
     both = obs.select("symbol", "seq", "mid_raw").join(fills.select("symbol", "seq", F.expr("s * size").alias("q"), F.expr("s * size * px_raw").alias("paid")), ["symbol", "seq"], "left")
-    held = both.select("symbol", "seq", (F.coalesce(F.sum("q").over(BEFORE), F.lit(0)) * F.col("mid_raw") - F.coalesce(F.sum("paid").over(BEFORE), F.lit(0))).alias("equity"))
-    step = F.col("equity") - F.coalesce(F.lag("equity").over(SYMBOL), F.lit(0))
-    return held.select("symbol", "seq", "equity", step.alias("step"), (F.greatest(F.max("equity").over(SO_FAR), F.lit(0)) - F.col("equity")).alias("drawdown"))
+    held = both.select("symbol", "seq", (F.coalesce(F.sum("q").over(before()), F.lit(0)) * F.col("mid_raw") - F.coalesce(F.sum("paid").over(before()), F.lit(0))).alias("equity"))
+    step = F.col("equity") - F.coalesce(F.lag("equity").over(by_symbol()), F.lit(0))
+    return held.select("symbol", "seq", "equity", step.alias("step"), (F.greatest(F.max("equity").over(so_far()), F.lit(0)) - F.col("equity")).alias("drawdown"))
 
 
 def markouts(obs: DataFrame, fills: DataFrame, horizon_us: int, threshold: int = 0) -> DataFrame:
