@@ -186,6 +186,7 @@ def compare(percent: int):
 
 def near_duplicates(docs: DataFrame, words: int, percent: int, perms: int = PERMS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id long, text)."""
+    jobs.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = jobs.cut(docs.mapInArrow(sign(words, perms, rows), "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"))
     some = signed.where("set_key is not null and doc_id is not null")

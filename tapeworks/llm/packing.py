@@ -49,9 +49,8 @@ class Encoder:
     """ids of texts by one public vocabulary, with the faster of two libraries where they agree."""
 
     def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None, special: str = "<|endoftext|>"):
-        self.whole = Tokenizer.from_file(tokenizer)
-        self.special = special
-        self.fast = None
+        self.tokenizer, self.special = tokenizer, special
+        self.held = self.fast = None
         if ranks:
             import base64
 
@@ -63,7 +62,17 @@ class Encoder:
         value = raw.decode()
         if self.fast and COMMON[data].all() and self.special not in value:
             return self.fast.encode_ordinary(value)
-        return self.whole.encode(value, add_special_tokens=False).ids
+        return self.whole().encode(value, add_special_tokens=False).ids
+
+    def whole(self) -> Tokenizer:
+        """The full tokenizer, loaded when a text first asks for it."""
+        if self.held is None:
+            self.held = Tokenizer.from_file(self.tokenizer)
+        return self.held
+
+    def size(self) -> int:
+        """A bound of the ids, the special one included."""
+        return self.fast.max_token_value + 2 if self.fast else self.whole().get_vocab_size(with_added_tokens=True)
 
 
 def encoder(tokenizer: str, ranks: str | None, pattern: str | None, made: dict = {}) -> Encoder:  # noqa: B006
@@ -111,7 +120,7 @@ def tokens(tokenizer: str, ranks: str | None, pattern: str | None, end: int, dim
 
     def run(batches):
         own = encoder(tokenizer, ranks, pattern)
-        vocabulary = own.whole.get_vocab_size(with_added_tokens=True)
+        vocabulary = own.size()
         kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
         signs = np.random.default_rng(7).choice(np.array([-1.0, 1.0], np.float32), (max(vocabulary, end + 1), dims))
         for batch in batches:
@@ -185,6 +194,7 @@ def pack(docs: DataFrame, length: int = LENGTH, end: int = END, tokenizer: str |
         import public_tokenizers
 
         tokenizer, ranks, pattern = tokenizer_path(TOKENIZER), tokenizer_path(RANKS), public_tokenizers.PATTERN
+    jobs.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     coded = jobs.cut(docs.mapInArrow(tokens(tokenizer, ranks, pattern, end, DIMS, BITS), "doc_id bigint, place bigint, n_tokens bigint, ids binary"))
     order = ["place", "doc_id", "n_tokens"]
