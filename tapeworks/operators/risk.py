@@ -9,23 +9,26 @@ LIMITS = {"order_notional": 500_000_000, "band": 10_000, "position": 50_000, "ra
 NEXT_STATES = {
     "pending_new": ["working", "rejected", "filled", "partially_filled", "cancelled"],
     "working": ["partially_filled", "filled", "pending_cancel", "pending_replace", "cancelled"],
-    "partially_filled": ["partially_filled", "filled", "pending_cancel", "pending_replace", "cancelled"],
-    "pending_cancel": ["cancelled", "partially_filled", "filled"],
-    "pending_replace": ["working", "partially_filled", "filled", "cancelled", "pending_cancel"],
+    "partially_filled": ["partially_filled", "filled", "pending_cancel", "cancelled"],
+    "pending_cancel": ["partially_filled", "filled", "cancelled", "rejected"],
+    "pending_replace": ["partially_filled", "filled", "cancelled", "rejected", "working"],
 }
 
 
 def verdicts(orders: DataFrame, limits: dict = LIMITS) -> DataFrame:
-    """orders (symbol, seq, price, qty, reference, kill) with status: the first check that fails, in fixed order."""
+    """orders (symbol, seq, price, qty, reference, kill, held) with status: the first check that fails, in fixed order.
+
+    held is the position before the order, in shares; gross limits and rates
+    are not among these checks (see token_bucket for rates).
+    """
     notional = F.try_multiply("price", "qty")
-    before = F.coalesce(F.sum("qty").over(Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     status = (
         F.when(F.col("kill"), "kill_switch")
         .when(F.col("qty") == 0, "order_notional")
-        .when(F.col("reference").isNull(), "no_reference")
+        .when(F.col("reference").isNull(), "no_reference_price")
         .when(F.abs(F.col("price") - F.col("reference")) > limits["band"], "price_band")
         .when(notional.isNull() | (notional > limits["order_notional"]), "order_notional")
-        .when(before % 60_000 + F.col("qty") > limits["position"], "position")
+        .when(F.col("held") + F.col("qty") > limits["position"], "position_limit")
         .otherwise("ok")
     )
     return orders.select("symbol", "seq", notional.alias("notional"), status.alias("status"))

@@ -281,13 +281,14 @@ def a07(spark, sf_dir):
 
 
 RISK = OBS + f""", o AS (SELECT symbol, seq, mid_raw AS price, seq % 401 AS qty, lag(mid_raw) OVER (PARTITION BY symbol ORDER BY seq) AS reference, seq % 1000 >= 990 AS kill FROM obs),
-p AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
-v AS (SELECT symbol, seq, price * qty AS notional, CASE WHEN kill THEN 'kill_switch' WHEN qty = 0 THEN 'order_notional' WHEN reference IS NULL THEN 'no_reference' WHEN abs(price - reference) > {risk.LIMITS['band']} THEN 'price_band' WHEN price * qty > {risk.LIMITS['order_notional']} THEN 'order_notional' WHEN before % 60000 + qty > {risk.LIMITS['position']} THEN 'position' ELSE 'ok' END AS status FROM p)"""
+p AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 60000 AS held FROM o),
+v AS (SELECT symbol, seq, price * qty AS notional, CASE WHEN kill THEN 'kill_switch' WHEN qty = 0 THEN 'order_notional' WHEN reference IS NULL THEN 'no_reference_price' WHEN abs(price - reference) > {risk.LIMITS['band']} THEN 'price_band' WHEN price * qty > {risk.LIMITS['order_notional']} THEN 'order_notional' WHEN held + qty > {risk.LIMITS['position']} THEN 'position_limit' ELSE 'ok' END AS status FROM p)"""
 
 
 def risk_orders(spark, sf_dir):
     w = Window.partitionBy("symbol").orderBy("seq")
-    return tables.observations(spark, sf_dir).select("symbol", "seq", "ts_us", F.col("mid_raw").alias("price"), (F.col("seq") % 401).alias("qty"), F.lag("mid_raw").over(w).alias("reference"), (F.col("seq") % 1000 >= 990).alias("kill"))
+    before = F.sum(F.col("seq") % 401).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return tables.observations(spark, sf_dir).select("symbol", "seq", "ts_us", F.col("mid_raw").alias("price"), (F.col("seq") % 401).alias("qty"), F.lag("mid_raw").over(w).alias("reference"), (F.col("seq") % 1000 >= 990).alias("kill"), (F.coalesce(before, F.lit(0)) % 60000).alias("held"))
 
 
 @query("r01_verdicts", RISK + " SELECT symbol, seq, status FROM v")
