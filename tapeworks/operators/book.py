@@ -7,11 +7,14 @@ left are rejected and change nothing, which no running sum expresses; so the
 fold is a higher-order function over the order's few messages, in order.
 """
 
-import pandas as pd
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashes
 from ..sources import tables
+from . import folds
 
 NEW, PARTIAL, FILLED, CANCELLED = 0, 1, 2, 3
 #: One message's outcome and the state after it; {s}: state before, {m}: message.
@@ -29,22 +32,42 @@ STATE = """CASE WHEN {o} <> 'ok' THEN {s}state WHEN {m}tag = 'A' THEN 0 WHEN {m}
 FIELDS = ["tag", "order_id", "symbol", "side", "qty", "px_raw"]
 
 
-def lives(messages: DataFrame) -> DataFrame:
-    """(order_id, ops, last): each order's messages with outcomes, and its last state."""
+LOG = {"tag": "tag", "ts": "ts", "kind": "kind", "line": "line", "part": "part", "supp": "supp"}
+
+
+def lives(messages: DataFrame, log: bool = False) -> DataFrame:
+    """(order_id, last): each order's state after its messages; with log, what each message did."""
     ops = messages.groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct(*tables.ORDER, *FIELDS))).alias("ops"))
     s, m = "s.", "m."
+    kinds = dict(messages.dtypes)
     outcome = OUTCOME.format(s=s, m=m)
     after = {k: v.format(s=s, m=m, o=f"({outcome})") for k, v in (("live", LIVE), ("rem", LEFT), ("state", STATE))}
     placed = f"({outcome}) = 'ok' AND m.tag = 'A'"
     keep = {c: f"CASE WHEN {placed} THEN m.{c} ELSE s.{c} END" for c in ("symbol", "side", "px_raw", "ts")}
-    zero = "named_struct('live', false, 'rem', 0L, 'state', 0, 'symbol', cast(null AS string), 'side', cast(null AS string), 'px_raw', cast(null AS bigint), 'ts', cast(null AS {ts}), 'log', cast(array() AS array<struct<tag: string, outcome: string, live: boolean>>))".format(ts=dict(messages.dtypes)["ts"])
-    step = ", ".join([*(f"'{k}', {v}" for k, v in {**after, **keep}.items()), f"'log', concat(s.log, array(named_struct('tag', m.tag, 'outcome', {outcome}, 'live', {after['live']})))"])
-    return ops.select("order_id", F.expr(f"aggregate(ops, {zero}, (s, m) -> named_struct({step}))").alias("last"))
+    zero = {"live": "false", "rem": "0L", "state": "0", **{c: f"cast(null AS {kinds[c]})" for c in keep}}
+    step = {**after, **keep}
+    if log:
+        entry = {**{c: f"m.{c}" for c in LOG}, "outcome": outcome, "live": after["live"], "change": f"{after['rem']} - s.rem", "symbol": keep["symbol"], "side": keep["side"], "px_raw": keep["px_raw"]}
+        kind = {**{c: kinds[c] for c in (*LOG, "symbol", "side", "px_raw")}, "outcome": "string", "live": "boolean", "change": "bigint"}
+        zero["log"] = f"cast(array() AS array<struct<{', '.join(f'{c}: {kind[c]}' for c in entry)}>>)"
+        step["log"] = f"concat(s.log, array(named_struct({', '.join(f'{chr(39)}{c}{chr(39)}, {e}' for c, e in entry.items())})))"
+    structs = [", ".join(f"'{c}', {e}" for c, e in x.items()) for x in (zero, step)]
+    return ops.select("order_id", F.expr(f"aggregate(ops, named_struct({structs[0]}), (s, m) -> named_struct({structs[1]}))").alias("last"))
+
+
+def journal(messages: DataFrame) -> DataFrame:
+    """Messages with what became of them: LOG's columns, order_id, outcome, live, change, symbol, side, px_raw, until.
+
+    change is what the message added to the order's level; until, when the
+    order's next message came (null: never).
+    """
+    told = F.expr("transform(last.log, (x, i) -> named_struct('x', x, 'until', get(last.log, i + 1).ts))")
+    return lives(messages, log=True).select("order_id", F.inline(told)).select("order_id", "x.*", "until")
 
 
 def outcomes(messages: DataFrame) -> DataFrame:
     """(tag, outcome, live, n): messages by what became of them; live: whether the order lived on."""
-    log = lives(messages).select(F.explode("last.log").alias("x"))
+    log = lives(messages, log=True).select(F.explode("last.log").alias("x"))
     return log.groupBy("x.tag", "x.outcome", "x.live").agg(F.count("*").alias("n"))
 
 
@@ -111,26 +134,78 @@ def orphans(messages: DataFrame) -> DataFrame:
     return early.groupBy("order_id").agg(F.count("*").alias("n"))
 
 
-FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+def checksums(orders: DataFrame) -> DataFrame:
+    """(symbol, checksum): FNV-1a over id, price, size and state, 8 little-endian bytes each, of bids, then asks, by priority.
 
+    A fold in total order within a symbol; symbols are independent.
+    """
 
-def fnv1a(data: bytes, start: int = FNV_BASIS) -> int:
-    for b in data:
-        start = (start ^ b) * FNV_PRIME & (1 << 64) - 1
-    return start
+    def fold(key, rows):
+        value = hashes.BASIS
+        for r in rows:
+            value = hashes.fnv1a(b"".join(int(x).to_bytes(8, "little") for x in (r.order_id, r.px_raw, r.size, r.state)), value)
+        yield (*key, f"{value:016x}")
 
+    return folds.by_key(priority(orders), ["symbol"], ["side", "priority"], fold, "symbol string, checksum string")
 
-def checksums(orders: DataFrame) -> DataFrame:
-    """(symbol, checksum): FNV-1a over id, price, size and state, 8 little-endian bytes each, of bids, then asks, by priority.
 
-    A fold in total order within a symbol; symbols are independent.
+def combined(sums: DataFrame) -> DataFrame:
+    """(checksum): one value of all symbols' checksums, whatever their order."""
+    halves = [F.bit_xor(F.conv(F.substring("checksum", i, 8), 16, 10).cast("long")) for i in (1, 9)]
+    return sums.agg(F.lower(F.concat(*(F.lpad(F.hex(h), 8, "0") for h in halves))).alias("checksum"))
+
+
+def top_at(messages: DataFrame, first: str, last: str) -> DataFrame:
+    """(symbol, month, best_bid, best_ask, live_orders): the top of the book at the start of each month, before its messages.
+
+    Each order tells for itself at which of those times it lived, so there is
+    no join of orders with times, and the maxima are combined before the shuffle.
     """
+    kind = dict(messages.dtypes)["ts"]
+    end = F.least(F.coalesce("until", F.lit(last).cast(kind)), F.lit(last).cast(kind))
+    start = F.greatest(F.add_months(F.trunc(F.col("ts"), "month"), F.when(F.col("ts") == F.trunc("ts", "month"), 0).otherwise(1)), F.lit(first).cast("date"))
+    start = F.when(start.cast(kind) > F.col("ts"), start).otherwise(F.add_months(start, 1))
+    spans = journal(messages).where("live").select("symbol", "side", "px_raw", start.cast("date").alias("a"), F.trunc(end, "month").alias("b")).where("a <= b")
+    months = spans.select("symbol", "side", "px_raw", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
+    bid, ask = F.when(F.col("side") == "B", F.col("px_raw")), F.when(F.col("side") == "S", F.col("px_raw"))
+    return months.groupBy("symbol", F.col("month").cast(kind).alias("month")).agg(F.max(bid).alias("best_bid"), F.min(ask).alias("best_ask"), F.count("*").alias("live_orders"))
+
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "priority"])
-        value = FNV_BASIS
-        for row in rows[["order_id", "px_raw", "size", "state"]].itertuples(index=False):
-            value = fnv1a(b"".join(int(x).to_bytes(8, "little") for x in row), value)
-        return pd.DataFrame({"symbol": [key[0]], "checksum": [f"{value:016x}"]})
+def tops(messages: DataFrame) -> DataFrame:
+    """(symbol, n, ts, tag, best_bid, best_ask): the top of the book after each applied message, n from 0 by symbol.
+
+    A symbol's prices with their sizes are the state, and heaps of prices that
+    drop what is gone when they meet it.
+    """
 
-    return priority(orders).groupBy("symbol").applyInPandas(fold, "symbol string, checksum string")
+    def fold(key, rows):
+        sizes, heaps = {}, {"B": [], "S": []}
+        for n, r in enumerate(rows):
+            level = (r.side, r.px_raw)
+            if level not in sizes:
+                sizes[level] = 0
+                heapq.heappush(heaps[r.side], -r.px_raw if r.side == "B" else r.px_raw)
+            sizes[level] += r.orders
+            best = {}
+            for side, heap in heaps.items():
+                while heap and not sizes[side, abs(heap[0])]:
+                    del sizes[side, abs(heapq.heappop(heap))]
+                best[side] = abs(heap[0]) if heap else None
+            yield (*key, n, r.ts, r.tag, best["B"], best["S"])
+
+    ts = dict(messages.dtypes)["ts"]
+    applied = journal(messages).where("outcome = 'ok'").withColumn("orders", F.when(F.col("tag") == "A", 1).when(F.col("live"), 0).otherwise(-1))
+    rows = applied.select("symbol", *tables.ORDER, "order_id", "tag", "side", "px_raw", "orders")
+    return folds.by_key(rows, ["symbol"], ["ts", "kind", "order_id", "line", "part", "supp"], fold, f"symbol string, n bigint, ts {ts}, tag string, best_bid bigint, best_ask bigint")
+
+
+def slots(levels: DataFrame, floor: int, tick: int, slots: int) -> DataFrame:
+    """levels with slot, the place in a dense ladder from floor on; null for prices outside it or between ticks."""
+    off = F.col("px_raw") - floor
+    inside = (off >= 0) & (off % tick == 0) & (F.expr(f"(px_raw - {floor}) DIV {tick}") < slots)
+    return levels.withColumn("slot", F.when(inside, F.expr(f"(px_raw - {floor}) DIV {tick}")))
+
+
+def differences(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of either that the other lacks, counted as often as they stand there; have: which one has it."""
+    return one.exceptAll(other).withColumn("have", F.lit("one")).unionByName(other.exceptAll(one).withColumn("have", F.lit("other")))

@@ -3,8 +3,11 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
+
 #: Default limits, in shares, raw price (1/10000) and orders a second.
-LIMITS = {"order_notional": 500_000_000, "band": 10_000, "position": 50_000, "rate": 1_000}
+LIMITS = {"order_notional": 500_000_000, "band": 10_000, "position": 50_000, "gross": 50_000, "rate": 1_000}
+MOST = 2**63 - 1
 #: The states that each state may be followed by.
 NEXT_STATES = {
     "pending_new": ["working", "rejected", "filled", "partially_filled", "cancelled"],
@@ -34,30 +37,84 @@ def verdicts(orders: DataFrame, limits: dict = LIMITS) -> DataFrame:
     return orders.select("symbol", "seq", notional.alias("notional"), status.alias("status"))
 
 
+class Bucket:
+    """Holds rate * multiple tokens in millionths; whole microseconds refill it, and a clock that goes back refills nothing."""
+
+    def __init__(self, rate: int, multiple: int = 1):
+        self.rate, self.full = rate, rate * multiple * 1_000_000
+        self.left, self.at = self.full, None
+
+    def take(self, ts_us: int) -> bool:
+        if self.at is None or ts_us > self.at:
+            self.left = min(self.full, self.left + (ts_us - (ts_us if self.at is None else self.at)) * self.rate)
+            self.at = ts_us
+        ok = self.left >= 1_000_000
+        self.left -= 1_000_000 * ok
+        return ok
+
+
 def token_bucket(orders: DataFrame, rate: int, multiple: int = 1) -> DataFrame:
-    """(symbol, seq, allowed): a bucket for each symbol, a fold in time order.
+    """(symbol, seq, allowed): a bucket for each symbol, a fold in time order."""
+
+    def fold(key, rows):
+        bucket = Bucket(rate, multiple)
+        for r in rows:
+            yield (*key, r.seq, bucket.take(r.ts_us))
+
+    return folds.by_key(orders.select("symbol", "seq", "ts_us"), ["symbol"], ["seq"], fold, "symbol bigint, seq bigint, allowed boolean")
+
+
+class Account:
+    """An account's checks in their fixed order. Positions are shares by side; taking back stops at none."""
 
-    A bucket holds rate * multiple tokens in millionths; whole microseconds
-    refill it, and a clock that goes back refills nothing. Each task folds
-    through its sorted symbols as a stream, so no symbol is held in memory.
+    def __init__(self, limits: dict):
+        self.limits, self.bucket = limits, Bucket(limits["rate"])
+        self.held = {"B": 0, "S": 0}
+        self.killed = False
+
+    def fill(self, side: str, qty: int) -> None:
+        self.held[side] += qty
+
+    def unfill(self, side: str, qty: int) -> None:
+        self.held[side] = max(self.held[side] - qty, 0)
+
+    def check(self, side: str, price: int, qty: int, reference: int | None, ts_us: int) -> str:
+        """ok, or the first check that fails; only an order that passes all others takes a token."""
+        notional, limits = price * qty, self.limits
+        failures = (
+            ("kill_switch", lambda: self.killed),
+            ("order_notional", lambda: qty == 0),
+            ("no_reference_price", lambda: reference is None),
+            ("price_band", lambda: abs(price - reference) > limits["band"]),
+            ("order_notional", lambda: notional > min(limits["order_notional"], MOST)),
+            ("position_limit", lambda: self.held[side] + qty > limits["position"]),
+            ("gross_limit", lambda: sum(self.held.values()) + qty > limits["gross"]),
+            ("rate_limit", lambda: not self.bucket.take(ts_us)),
+        )
+        return next((name for name, fails in failures if fails()), "ok")
+
+
+def checked(events: DataFrame, limits: dict = LIMITS) -> DataFrame:
+    """(account, seq, status, bid_shares, ask_shares): all checks of each account's events in order of seq.
+
+    events: (account, seq, ts_us, event, side, price, qty, reference). event is
+    order, fill, unfill, kill or reset; status is null for all but orders.
     """
-    full = rate * multiple * 1_000_000
-
-    def fold(batches):
-        key, left, at = None, full, 0
-        for rows in batches:
-            out = []
-            for symbol, _, ts in rows[["symbol", "seq", "ts_us"]].itertuples(index=False):
-                if symbol != key:
-                    key, left, at = symbol, full, ts
-                if ts > at:
-                    left, at = min(full, left + (ts - at) * rate), ts
-                ok = left >= 1_000_000
-                left -= 1_000_000 * ok
-                out.append(ok)
-            yield rows[["symbol", "seq"]].assign(allowed=out)
-
-    return orders.select("symbol", "seq", "ts_us").repartition("symbol").sortWithinPartitions("symbol", "seq").mapInPandas(fold, "symbol bigint, seq bigint, allowed boolean")
+
+    def fold(key, rows):
+        account = Account(limits)
+        for r in rows:
+            status = None
+            if r.event == "order":
+                status = account.check(r.side, r.price, r.qty, r.reference, r.ts_us)
+            elif r.event in ("fill", "unfill"):
+                (account.fill if r.event == "fill" else account.unfill)(r.side, r.qty)
+            else:
+                account.killed = r.event == "kill"
+            yield (*key, r.seq, status, account.held["B"], account.held["S"])
+
+    rows = events.select("account", "seq", "ts_us", "event", "side", "price", "qty", "reference")
+    return folds.by_key(rows, ["account"], ["seq"], fold, "account bigint, seq bigint, status string, bid_shares bigint, ask_shares bigint")
 
 
 def transitions(states: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import folds
+
+
 def by_arrival() -> WindowSpec:
     return Window.partitionBy("session").orderBy("arrival")
 
@@ -15,6 +18,25 @@ def audited(stream: DataFrame) -> DataFrame:
     return rows.select("session", "arrival", "observed", "expected", state.alias("state"), F.greatest(F.col("observed") - F.col("expected"), F.lit(0).cast("long")).alias("missing"))
 
 
+def audited_packets(packets: DataFrame) -> DataFrame:
+    """(session, arrival, first, n, expected, state, missing): packets of n messages from number first on.
+
+    A packet without messages is judged but moves nothing, and neither does a
+    duplicate, even one that reaches past what is expected; so this is a fold.
+    """
+
+    def judge(key, rows):
+        following = None
+        for r in rows:
+            want = r.first if following is None else following
+            state = "ok" if r.first == want else "gap" if r.first > want else "duplicate"
+            if r.n and state != "duplicate":
+                following = r.first + r.n
+            yield (*key, r.arrival, r.first, r.n, want, state, max(r.first - want, 0))
+
+    return folds.by_key(packets.select("session", "arrival", "first", "n"), ["session"], ["arrival"], judge, "session bigint, arrival bigint, first bigint, n bigint, expected bigint, state string, missing bigint")
+
+
 def totals(stream: DataFrame) -> DataFrame:
     a = audited(stream)
     return a.groupBy("session").agg(F.count_if(F.col("state") != "duplicate").alias("accepted"), F.sum("missing").alias("missing"), F.count_if(F.col("state") == "gap").alias("gaps"), F.count_if(F.col("state") == "duplicate").alias("rejects"), (F.count_if(F.col("state") != "ok") == 0).alias("clean"))

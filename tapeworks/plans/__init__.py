@@ -1,0 +1 @@
+from . import flow, queries, records, trading  # noqa: F401

@@ -34,10 +34,10 @@ def fold_sql() -> str:
     return f"""WITH RECURSIVE m AS ({tables.MESSAGES_DUCK}),
 ord AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts, kind, line, part, supp) AS rn FROM m),
 fold AS (
-  SELECT order_id, CAST(0 AS BIGINT) AS rn, false AS live, CAST(0 AS BIGINT) AS rem, 0 AS state, CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS VARCHAR) AS side, CAST(NULL AS BIGINT) AS px_raw, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS VARCHAR) AS outcome
+  SELECT order_id, CAST(0 AS BIGINT) AS rn, false AS live, CAST(0 AS BIGINT) AS rem, 0 AS state, CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS VARCHAR) AS side, CAST(NULL AS BIGINT) AS px_raw, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS TIMESTAMP) AS told
   FROM ord WHERE rn = 1
   UNION ALL
-  SELECT f.order_id, o.rn, {live}, {left}, {state}, {keep}, o.tag, {outcome}
+  SELECT f.order_id, o.rn, {live}, {left}, {state}, {keep}, o.tag, {outcome}, o.ts
   FROM fold f JOIN ord o ON o.order_id = f.order_id AND o.rn = f.rn + 1
 ),
 live AS (SELECT order_id, symbol, side, px_raw, rem AS size, state, ts FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY rn DESC) AS back FROM fold) x WHERE back = 1 AND live)"""

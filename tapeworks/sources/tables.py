@@ -65,3 +65,28 @@ def transmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRANSMISSIONS_DUCK = """sent AS (SELECT user_id % 4 AS session, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS n FROM events),
 tr AS (SELECT session, 2 * n AS arrival, n + 3 * (n // 500) AS observed FROM sent UNION ALL SELECT session, 2 * n + 1, n + 3 * (n // 500) FROM sent WHERE n % 97 = 0)"""
+
+#: Replaces: a quarter of orders once, an eighth twice, and some into an id that another order may hold.
+REPLACES = """
+  SELECT o_orderdate + INTERVAL {days} DAY AS ts, 2 AS kind, o_orderkey + 1 + {old} AS order_id, 'U' AS tag,
+         CAST(NULL AS {text}) AS symbol, CAST(NULL AS {text}) AS side, CAST(50 AS BIGINT) AS qty,
+         1000000 + (CASE WHEN o_orderkey % 2 = 0 THEN -100 ELSE 100 END) * (1 + o_orderkey % 8) AS px_raw,
+         0 AS line, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS supp, {new} AS new_id
+  FROM {orders} WHERE {which}"""
+STEPS = [(10, 0, "o_orderkey + 1 + 1000000000000", "o_orderkey % 4 = 1"), (20, 1000000000000, "o_orderkey + 1 + 2000000000000", "o_orderkey % 8 = 1"), (10, 0, "o_orderkey + 2", "o_orderkey % 16 = 3")]
+
+
+def replaces_text(orders: str, text: str) -> str:
+    return " UNION ALL ".join(REPLACES.format(days=d, old=o, new=n, which=w, orders=orders, text=text) for d, o, n, w in STEPS)
+
+
+REPLACES_DUCK = replaces_text("orders", "VARCHAR")
+
+
+def replaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(replaces_text("{orders}", "STRING"), orders=read(spark, sf_dir, "orders"))
+
+
+def with_replaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages, and replaces with new_id."""
+    return messages(spark, sf_dir).withColumn("new_id", F.lit(None).cast("long")).unionByName(replaces(spark, sf_dir))

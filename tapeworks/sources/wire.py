@@ -136,3 +136,34 @@ def decode(frames: DataFrame) -> DataFrame:
 def inspect(frames: DataFrame) -> DataFrame:
     """(tag, n, shortest, longest, bad): messages by type, their lengths, and how many don't decode."""
     return decode(frames).groupBy("tag").agg(F.count("*").alias("n"), F.min(F.length("frame")).cast("long").alias("shortest"), F.max(F.length("frame")).cast("long").alias("longest"), F.count_if(F.col("status") != "ok").alias("bad"))
+
+
+def packet_list(frames: DataFrame) -> DataFrame:
+    """(source, packet_no, session, first, n): the packets that walked frames come from."""
+    return frames.groupBy("source", "packet_no").agg(F.min("session").alias("session"), F.min("seq").cast("long").alias("first"), F.count("*").alias("n"))
+
+
+def walk_raw(contents: DataFrame) -> DataFrame:
+    """(source, idx, declared, complete, frame) of (source, content): frames without packets around them."""
+
+    def frames(batches):
+        for batch in batches:
+            out = []
+            for source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, i = 0, 0
+                while data is not None and at + 2 <= len(data):
+                    (size,) = struct.unpack_from(">H", data, at)
+                    body = data[at + 2 : at + 2 + size]
+                    out.append((source, i, size, len(body) == size, body))
+                    at, i = at + 2 + size, i + 1
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["source", "idx", "declared", "complete", "frame"])
+
+    return contents.select("source", "content").mapInArrow(frames, "source bigint, idx bigint, declared int, complete boolean, frame binary")
+
+
+def receive_time(payload: Column) -> Column:
+    """Nanoseconds of a 16-byte little-endian (seconds, nanoseconds); null where cut or with nanoseconds out of range."""
+    part = [number(F.reverse(F.substring(payload, i, 8)), 0, 8) for i in (1, 9)]
+    return F.when((F.length(payload) >= 16) & (part[1] < 1_000_000_000), (part[0] * 1_000_000_000 + part[1]).cast("decimal(38,0)"))
