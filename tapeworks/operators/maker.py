@@ -25,7 +25,7 @@ def risk_term(sigma, gamma: float, horizon: float):
 def depth_offset(size: Column, base: int, k: float, most: int = 100_000) -> Column:
     """What a queue of size shares at the best price adds to an offset, against one of base shares."""
     held = F.least(F.greatest(size, F.lit(1)), F.lit(most))
-    return (F.ln(held) - math.log(min(max(base, 1), most))) / k
+    return F.when(size.isNotNull(), (F.ln(held) - math.log(min(max(base, 1), most))) / k)
 
 
 def model_quotes(rows: DataFrame, gamma: float = 0.0025, k: float = 1.5, spread: int = 100, horizon: float = 250.0, reservation: int = 0, base: int = 10) -> DataFrame:

@@ -23,17 +23,27 @@ def field_specs(spark: SparkSession) -> DataFrame:
 def lines(frames: DataFrame, keep: list[str], index: Column) -> DataFrame:
     """keep, index, line: the trace of frames (frame, declared, complete), one line each."""
     d = wire.decode(frames).withColumn("index", index)
-    code = F.when(F.col("status") == "ok", "D").when(F.col("status") == "truncated_body", "T").when(F.col("status") == "unknown_type", "S").when(F.col("status") == "malformed", "M").otherwise("L")
+    letters = {"ok": "D", "truncated_body": "T", "unknown_type": "S", "malformed": "M", "bad_length": "L"}
+    code = F.try_element_at(F.create_map(*(F.lit(x) for kv in letters.items() for x in kv)), F.col("status"))
     seen = F.when(F.length("frame") > 0, F.lower(F.hex(F.substring("frame", 1, 1))))
     digits = F.lower(F.hex("frame"))
     spots = F.create_map(*(x for t in wire.FIELDS for x in (F.lit(t), F.array(*(F.struct(F.lit(2 * o + 1).alias("at"), F.lit(2 * s).alias("n")) for _, o, s in told(t))))))
     fields = F.array_join(F.transform(F.try_element_at(spots, F.col("tag")), lambda x: F.substring(digits, x["at"], x["n"])), " ")
     d = d.withColumn("code", code)
-    kind = F.when((F.col("code") == "T") | seen.isNull(), "--").otherwise(seen)
+    kind = F.when(F.col("complete"), F.coalesce(seen, F.lit("--"))).otherwise("--")
     parts = F.when(F.col("code") == "D", fields)
     return d.select(*keep, "index", F.concat_ws(" ", F.col("index"), "code", kind, F.lpad(F.col("declared").cast("string"), 4, "0"), parts).alias("line"))
 
 
+def write(lines: DataFrame, path: str, parts: int = 8) -> None:
+    """Trace lines (..., index, line) as text files, in order of index within each."""
+    lines.repartition(parts, *[c for c in lines.columns if c not in ("index", "line")]).sortWithinPartitions(*lines.columns).select("line").write.text(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(spark.read.text(path).withColumnRenamed("value", "line"))
+
+
 def parsed(text: DataFrame) -> DataFrame:
     """Traces read back: index, code, tag, length, fields and ok from (line); comments and blanks are skipped.
 
@@ -41,13 +51,13 @@ def parsed(text: DataFrame) -> DataFrame:
     """
     p = F.split(F.trim("line"), r"\s+")
     rows = text.where(~F.trim("line").rlike("^(#.*)?$")).select("*", p.alias("p"))
-    tag = F.when(F.col("p")[2] != "--", F.decode(F.unhex(F.col("p")[2]), "ISO-8859-1"))
+    tag = F.when(F.get("p", F.lit(2)) != "--", F.decode(F.unhex(F.get("p", F.lit(2))), "ISO-8859-1"))
     shapes = F.create_map(*(F.lit(x) for t in wire.FIELDS for x in (t, "^" + " ".join(f"[0-9a-f]{{{2 * s}}}" for _, _, s in told(t)) + "$")))
     shape = F.try_element_at(shapes, tag)
     fields = F.slice("p", 5, F.greatest(F.size("p") - 4, F.lit(0)))
     joined = F.array_join(fields, " ")
-    ok = F.when(F.col("p")[1] == "D", F.coalesce(F.regexp_like(joined, shape), F.lit(False))).otherwise(F.col("p")[1].isin("S", "L", "M", "T") & (joined == ""))
-    return rows.select(*text.columns, F.col("p")[0].try_cast("bigint").alias("index"), F.col("p")[1].alias("code"), tag.alias("tag"), F.col("p")[3].try_cast("int").alias("length"), fields.alias("fields"), ok.alias("ok")).drop("line")
+    ok = F.when(F.get("p", F.lit(1)) == "D", F.coalesce(F.regexp_like(joined, shape), F.lit(False))).otherwise(F.coalesce(F.get("p", F.lit(1)).isin("S", "L", "M", "T"), F.lit(False)) & (joined == ""))
+    return rows.select(*text.columns, F.get("p", F.lit(0)).try_cast("bigint").alias("index"), F.get("p", F.lit(1)).alias("code"), tag.alias("tag"), F.get("p", F.lit(3)).try_cast("int").alias("length"), fields.alias("fields"), ok.alias("ok")).drop("line")
 
 
 def compare(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
