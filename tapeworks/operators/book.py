@@ -35,7 +35,7 @@ FIELDS = ["tag", "order_id", "symbol", "side", "qty", "px_raw"]
 LOG = {"tag": "tag", "ts": "ts", "kind": "kind", "line": "line", "part": "part", "supp": "supp"}
 
 
-def lives(messages: DataFrame, log: bool = False) -> DataFrame:
+def lives(messages: DataFrame, log: bool = True) -> DataFrame:
     """(order_id, last): each order's state after its messages; with log, what each message did."""
     ops = messages.groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct(*tables.ORDER, *FIELDS))).alias("ops"))
     s, m = "s.", "m."
@@ -62,18 +62,18 @@ def journal(messages: DataFrame) -> DataFrame:
     order's next message came (null: never).
     """
     told = F.expr("transform(last.log, (x, i) -> named_struct('x', x, 'until', get(last.log, i + 1).ts))")
-    return lives(messages, log=True).select("order_id", F.inline(told)).select("order_id", "x.*", "until")
+    return lives(messages).select("order_id", F.inline(told)).select("order_id", "x.*", "until")
 
 
 def outcomes(messages: DataFrame) -> DataFrame:
     """(tag, outcome, live, n): messages by what became of them; live: whether the order lived on."""
-    log = lives(messages, log=True).select(F.explode("last.log").alias("x"))
+    log = lives(messages).select(F.explode("last.log").alias("x"))
     return log.groupBy("x.tag", "x.outcome", "x.live").agg(F.count("*").alias("n"))
 
 
 def live_orders(messages: DataFrame) -> DataFrame:
     """(order_id, symbol, side, px_raw, size, state, ts): orders left in the book; ts: when they were placed."""
-    return lives(messages).where("last.live").select("order_id", "last.symbol", "last.side", "last.px_raw", F.col("last.rem").alias("size"), "last.state", "last.ts")
+    return lives(messages, log=False).where("last.live").select("order_id", "last.symbol", "last.side", "last.px_raw", F.col("last.rem").alias("size"), "last.state", "last.ts")
 
 
 def better() -> Column:

@@ -34,11 +34,13 @@ def finished(stream: DataFrame, kind: str) -> DataFrame:
 def level_changes(messages: DataFrame) -> DataFrame:
     """CHANGES: what each applied message adds to its level; an order's state goes when the order does."""
 
+    columns = [*tables.ORDER, "tag", "symbol", "side", "qty", "px_raw"]
+
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(tables.ORDER)
+        rows = sorted((r for b in batches for r in zip(*(b[c] for c in columns), strict=True)), key=lambda r: r[: len(tables.ORDER)])
         live, symbol, side, px, rem = state.get if state.exists else (False, None, None, None, 0)
         out = []
-        for tag, sym, s, qty, p in rows[["tag", "symbol", "side", "qty", "px_raw"]].itertuples(index=False):
+        for tag, sym, s, qty, p in (r[len(tables.ORDER) :] for r in rows):
             qty = int(qty)
             if tag == "A":
                 if not live and key[0] and qty:
@@ -53,7 +55,8 @@ def level_changes(messages: DataFrame) -> DataFrame:
             state.update((live, symbol, side, px, rem))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
     return messages.groupBy("order_id").applyInPandasWithState(follow, CHANGES, ORDER_STATE, "append", GroupStateTimeout.NoTimeout)
 
