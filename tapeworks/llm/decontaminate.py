@@ -136,7 +136,8 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = GRAM)
         .select("doc_id", "row", "n_words", "hit.*")
     )
     index = index.toDF("fp", "item_id", "item_words", "item_before", "item_after")
-    hits = found.join(index, "fp", "left")
+    # a row without hits gets a key of its own, or all of them would meet in one partition
+    hits = found.withColumn("fp", F.coalesce("fp", F.xxhash64("row"))).join(index, "fp", "left")
     left, right = run_length("before", "item_before"), run_length("after", "item_after")
     hits = hits.withColumns({"short": F.size("item_before") + F.size("item_after") == 0, "left": left, "right": right})
     good = F.col("item_id").isNotNull() & (F.col("words") == F.col("item_words")) & (F.col("short") | (F.col("left") + F.col("right") + k >= window))

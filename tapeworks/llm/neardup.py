@@ -136,6 +136,8 @@ def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def linked(ids: tuple[list, list], held: tuple[list, list], percent: int) -> list[tuple[int, int]]:
     """A forest of the links between the two blocks (within the one, if there is one)."""
+    if not held[0]:  # a block without classes
+        return []
     left, right = held[0], held[1] or held[0]
     a, b = ids[0], ids[1] or ids[0]
     size_a, size_b = (np.array([len(x) for x in y]) for y in (left, right))
