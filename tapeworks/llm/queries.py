@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL."""
 
-from . import decontaminate, neardup, packing, pii, quality, substrings, suffixes, tokencount, topk, toxicity
+from . import decontaminate, neardup, oracles, packing, pii, quality, substrings, suffixes, tokencount, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1,
@@ -14,4 +14,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10,
     "op8_substring_dedup": substrings.op8,
 }
-ORACLES = {"op6_exact_topk": topk.OP6_SQL}
+ORACLES = oracles.ORACLES

@@ -286,3 +286,11 @@ def test_chunks_are_whole_texts():
     texts = pa.array(["ab", None, "", "c" * 50, "d"]).slice(1)
     found = [(c.rows.start, c.rows.stop, c.data.tobytes(), c.offsets.tolist()) for c in text.chunks(texts, 10)]
     assert b"".join(f[2] for f in found) == b"c" * 50 + b"d" and found[-1][1] == 4
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_duckdb(spark, sf, duck, name):
+    got = queries.QUERIES[name](spark, sf)
+    names = sorted(got.columns)
+    want = duck.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted((tuple(r) for r in got.select(*names).collect()), key=str) == sorted(want, key=str)
