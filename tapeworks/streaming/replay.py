@@ -15,7 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources import shared, tables
 
 CHANGES = "symbol string, side string, px_raw bigint, shares bigint, orders bigint"
-ORDER_STATE = "live boolean, symbol string, side string, px_raw bigint, rem bigint"
+#: One state holds the live orders of 2**SHIFT neighbouring ids, in arrays of equal lengths: a frame for each id would cost more than its rows.
+SHIFT, HELD = 6, "ids array<bigint>, symbols array<string>, sides array<string>, prices array<bigint>, left array<bigint>"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,33 +33,34 @@ def finished(stream: DataFrame, kind: str) -> DataFrame:
 
 
 def level_changes(messages: DataFrame) -> DataFrame:
-    """CHANGES: what each applied message adds to its level; an order's state goes when the order does."""
+    """CHANGES: what each applied message adds to its level; an order leaves the state when it leaves the book."""
 
-    columns = [*tables.ORDER, "tag", "symbol", "side", "qty", "px_raw"]
+    columns = [*tables.ORDER, "order_id", "tag", "symbol", "side", "qty", "px_raw"]
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = sorted((r for b in batches for r in zip(*(b[c] for c in columns), strict=True)), key=lambda r: r[: len(tables.ORDER)])
-        live, symbol, side, px, rem = state.get if state.exists else (False, None, None, None, 0)
+        live = {r[0]: list(r[1:]) for r in zip(*state.get, strict=True)} if state.exists else {}
         out = []
-        for tag, sym, s, qty, p in (r[len(tables.ORDER) :] for r in rows):
-            qty = int(qty)
+        for order, tag, symbol, side, qty, px in (r[len(tables.ORDER) :] for r in rows):
+            held, qty = live.get(order), int(qty)
             if tag == "A":
-                if not live and key[0] and qty:
-                    live, symbol, side, px, rem = True, sym, s, int(p), qty
-                    out.append((symbol, side, px, qty, 1))
-            elif live and (tag == "D" or qty <= rem):
-                gone = rem if tag == "D" else qty
-                rem -= gone
-                live = rem > 0
-                out.append((symbol, side, px, -gone, 0 if live else -1))
+                if held is None and order and qty:
+                    live[int(order)] = [symbol, side, int(px), qty]
+                    out.append((symbol, side, int(px), qty, 1))
+            elif held and (tag == "D" or qty <= held[3]):
+                gone = held[3] if tag == "D" else qty
+                held[3] -= gone
+                if not held[3]:
+                    del live[order]
+                out.append((*held[:3], -gone, 0 if held[3] else -1))
         if live:
-            state.update((live, symbol, side, px, rem))
+            state.update(tuple(map(list, zip(*((k, *v) for k, v in live.items()), strict=True))))
         elif state.exists:
             state.remove()
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
-    return messages.groupBy("order_id").applyInPandasWithState(follow, CHANGES, ORDER_STATE, "append", GroupStateTimeout.NoTimeout)
+    return messages.withColumn("range", F.shiftright("order_id", SHIFT)).groupBy("range").applyInPandasWithState(follow, CHANGES, HELD, "append", GroupStateTimeout.NoTimeout)
 
 
 def levels(changes: DataFrame) -> DataFrame:

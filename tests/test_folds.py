@@ -190,12 +190,14 @@ def test_fold_over_nothing_and_nulls(spark):
 
 def test_stream_state_outlives_a_batch(spark, tmp_path):
     rows = [(0, 0, 1, "A", "S", "B", 10, 100, 0, 0, 0), (1, 1, 1, "E", None, None, 4, None, 1, 0, 0), (2, 1, 1, "X", None, None, 9, None, 1, 0, 0), (3, 1, 1, "D", None, None, 0, None, 1, 0, 0)]
+    rows += [(1, 0, 2, "A", "T", "S", 5, 200, 0, 0, 0), (2, 1, 2, "X", None, None, 2, None, 1, 0, 0), (3, 1, 3, "D", None, None, 0, None, 1, 0, 0)]  # neighbours in the same state
+    rows = [[r for r in rows if r[0] == t] for t in range(4)]
     kinds = "ts long, kind int, order_id long, tag string, symbol string, side string, qty long, px_raw long, line int, part long, supp long"
     for i, r in enumerate(rows):
-        spark.createDataFrame([r], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+        spark.createDataFrame(r, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     got = replay.finished(replay.level_changes(stream), "test")
-    assert sorted(map(tuple, got.collect())) == [("S", "B", 100, -6, -1), ("S", "B", 100, -4, 0), ("S", "B", 100, 10, 1)]
+    assert sorted(map(tuple, got.collect())) == [("S", "B", 100, -6, -1), ("S", "B", 100, -4, 0), ("S", "B", 100, 10, 1), ("T", "S", 200, -2, 0), ("T", "S", 200, 5, 1)]
 
 
 def test_thousands(spark):
