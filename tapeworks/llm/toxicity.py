@@ -4,7 +4,10 @@ A token in which digits or symbols stand for letters, letters repeat, or
 letters are spaced out is read as a lattice: each character may be itself, a
 letter it imitates, or nothing (a separator or one repetition too many), at
 channel costs. Viterbi decoding under a character trigram model of all
-documents picks the letters that were meant. The text's words, restored ones
+documents picks the letters that were meant, in tokens of any length; where
+there are separators, also the likeliest way to break the token into words. Two
+equal letters in a row count as spelling, and so do spaced runs of fewer than
+four characters. The text's words, restored ones
 included, are then scored: each word's log odds of standing in a toxic
 document, gathered over all labelled documents that may be learned from, and a
 logistic model over the document's strongest words.
@@ -24,6 +27,8 @@ Scale: the character model is a table of fixed size. Texts are only shuffled if
 they may have a label. Word counts are aggregated in each task first.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +40,16 @@ SAMPLE, LEXICON, LEAST = 20_000, 100_000, 2
 HELD_OUT, MODULUS, CUT = 2, 4, 0.3
 #: Letters that digits and symbols stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t"}
-IMITATE, SKIP, DROP, COLLAPSE, LONGEST = -1.0, -0.7, -6.0, -0.5, 40
+IMITATE, SKIP, DROP, COLLAPSE, REMEMBERED = -1.0, -0.7, -6.0, -0.5, 40
 ALPHABET = 28  # 0 a word's edge, 1 to 26 letters, 27 any other
 FOLD = text.LOWER.copy()
 CODE = np.zeros(256, np.int64)
 CODE[0x61:0x7B] = np.arange(1, 27)
 CODE[0x80:] = 27
-LEET_BYTE, INNER_BYTE = np.zeros(256, bool), np.zeros(256, bool)
-LEET_BYTE[[ord(c) for c in "01345789@$"]] = True
-INNER_BYTE[[ord(c) for c in "!|+"]] = True
+LEET_BYTE = np.zeros(256, bool)
+LEET_BYTE[[ord(c) for c in LEET]] = True
+WIDE = re.compile(r"\s{2,}")
+SIGN_BYTE = LEET_BYTE | ~text.NOT_LETTER
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -98,49 +104,80 @@ def readings(c: str, before: str) -> list[tuple[str, float]]:
     return [(c, 0.0), ("", COLLAPSE)] if c == before else [(c, 0.0)]
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a token, by Viterbi over the last two letters."""
+def decode(token: str, model: np.ndarray, parts: bool = False, meant: bool = False) -> str:
+    """The likeliest word behind a token of any length, by Viterbi over the last two letters.
+
+    With parts, a word may also end at each character that is no letter or digit; the words come with blanks between them.
+    With meant, each digit or symbol that can stand for a letter does.
+    """
     token = token.lower()
-    states = {(0, 0): (0.0, "")}
+    cost_of = model.item
+    states: dict = {(0, 0): (0.0, None)}  # to the score and the letters, as a chain from the last one back
     before = ""
     for c in token:
         after: dict = {}
+        options = readings(c, before)[: -1 if meant and c in LEET else None]
+        ends = parts and not c.isalnum()
         for (a, b), (score, out) in states.items():
-            for x, cost in readings(c, before):
-                key = (a, b) if not x else (b, letter(x))
-                value = score + cost + (float(model[a, b, key[1]]) if x else 0.0)
+            for x, cost in options:
+                if x:
+                    key = (b, letter(x))
+                    value = score + cost + cost_of(a, b, key[1])
+                else:
+                    key, value = (a, b), score + cost
                 if key not in after or value > after[key][0]:
-                    after[key] = (value, out + x)
+                    after[key] = (value, (x, out) if x else out)
+            if ends and b:
+                value = score + SKIP + cost_of(a, b, 0)
+                if (0, 0) not in after or value > after[0, 0][0]:
+                    after[0, 0] = (value, (" ", out))
         states, before = after, c
-    return max((score + float(model[a, b, 0]), out) for (a, b), (score, out) in states.items())[1]
+    _, out = max(((score + (cost_of(a, b, 0) if b or not parts else 0.0), out) for (a, b), (score, out) in states.items()), key=lambda x: x[0])
+    letters = []
+    while out:
+        letters.append(out[0])
+        out = out[1]
+    return "".join(reversed(letters)).strip()
+
+
+def words_behind(token: str, model: np.ndarray) -> list[bytes]:
+    """The likeliest words behind a token: as one word, as several where it has separators, and with its substitutes, but a last '!', as letters."""
+    found = {decode(token, model)}
+    if any(not c.isalnum() for c in token):
+        found.update(decode(token, model, True).split(" "))
+        found.update(decode(part, model) for part in WIDE.split(token))
+    if any(c in LEET for c in token.rstrip("!")):
+        found.add(decode(token.rstrip("!"), model, False, True))
+    return [w.encode() for w in sorted(found) if w]
 
 
 def suspects(data: np.ndarray, folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte spans of tokens that may be disguised words."""
     tok = text.words(data, offsets, text.SPACE, lower=False)
-    is_letter = ~text.NOT_LETTER[data]
-    pad = lambda x, k: np.r_[x[k:], np.zeros(k, x.dtype)] if k > 0 else np.r_[np.zeros(-k, x.dtype), x[:k]]
-    left, right = pad(is_letter, -1), pad(is_letter, 1)
-    lone = (data != pad(data, -1)) & (data != pad(data, 1))
-    flag = lone & (LEET_BYTE[data] & (left | right) | INNER_BYTE[data] & left & right)
-    flag |= is_letter & (folded == pad(folded, -1)) & (folded == pad(folded, -2)) & (data < 0x80)
-    which = np.unique(np.searchsorted(tok.start, np.flatnonzero(flag), "right") - 1)
-    which = which[(which >= 0)] if len(tok.start) else which[:0]
-    start, end = tok.start[which], tok.end[which]
-    # single letters, one character apart, four or more
-    run = text.words(folded, offsets, text.NOT_LETTER, lower=False)
-    single = run.end - run.start == 1
+    # runs of what may be letters: tokens of several of them, with a substitute beside another character, or with three equal letters in a row
+    run = text.words(folded, offsets, ~SIGN_BYTE, lower=False)
+    if not len(run.start):
+        return run.start, run.end
+    before = lambda x: np.r_[0, np.cumsum(x)]
+    substitutes, same = before(LEET_BYTE[data]), np.zeros(len(data), bool)
+    same[2:] = (folded[2:] == folded[1:-1]) & (folded[2:] == folded[:-2]) & (data[2:] < 0x80) & ~text.NOT_LETTER[data[2:]]
+    repeats = before(same)
+    size = run.end - run.start
+    flag = (size > 1) & (substitutes[run.end] > substitutes[run.start])
+    flag |= (size > 2) & (repeats[run.end] > repeats[np.minimum(run.start + 2, run.end)])
+    within = np.searchsorted(tok.start, run.start, "right") - 1
+    flag[1:] |= within[1:] == within[:-1]
+    which = np.unique(within[flag])
+    # four or more single characters that may be letters, with nothing but separators between them
+    single = np.diff(before((data & 0xC0) != 0x80)[np.stack([run.start, run.end])], axis=0)[0] == 1
     next_to = np.zeros(len(single), bool)
-    if len(single) > 1:
-        next_to[1:] = single[1:] & single[:-1] & (run.start[1:] - run.start[:-1] == 2)
-        next_to[run.first[1:-1][run.first[1:-1] < len(single)]] = False
+    next_to[1:] = single[1:] & single[:-1]
+    next_to[run.first[:-1][run.first[:-1] < len(single)]] = False
     edge = np.flatnonzero(np.diff(np.r_[False, next_to, False].astype(np.int8)))
     first, last = edge[0::2] - 1, edge[1::2] - 1
     varied = np.array([len(set(folded[run.start[a : b + 1]].tolist())) > 1 for a, b in zip(first.tolist(), last.tolist(), strict=True)], bool)
     long = (last - first >= 3) & varied if len(first) else np.zeros(0, bool)
-    start, end = np.r_[start, run.start[first[long]]], np.r_[end, run.end[last[long]]]
-    short = end - start <= LONGEST
-    return start[short].astype(np.int64), end[short].astype(np.int64)
+    return np.r_[tok.start[which], run.start[first[long]]].astype(np.int64), np.r_[tok.end[which], run.end[last[long]]].astype(np.int64)
 
 
 def doc_words(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, memory: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,12 +190,15 @@ def doc_words(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, memory:
     words, owners = [], []
     for a, b, d in zip(start.tolist(), end.tolist(), (np.searchsorted(offsets, start, "right") - 1).tolist(), strict=True):
         token = raw[a:b].decode(errors="ignore")
-        if token not in memory:
-            if len(memory) > 50_000:
-                memory.clear()
-            memory[token] = decode(token, model).encode()
-        words.append(memory[token])
-        owners.append(d)
+        behind = memory.get(token)
+        if behind is None:
+            behind = words_behind(token, model)
+            if len(token) <= REMEMBERED:
+                if len(memory) > 50_000:
+                    memory.clear()
+                memory[token] = behind
+        words += behind
+        owners += [d] * len(behind)
     if words:
         ends = np.cumsum([len(w) for w in words])
         value.append(text.hash_spans(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends))

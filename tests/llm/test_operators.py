@@ -267,6 +267,31 @@ def test_disguised_words(spark, sf):
         assert toxicity.decode(disguised, model) == word
 
 
+def test_disguised_words_are_suspected(spark):
+    """Through doc_words(): long spans, doubled substitutes, substitutes at a word's edge, spaced runs with substitutes; alike in any company."""
+    import pyarrow as pa
+
+    model = toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text"))
+
+    def found(texts):
+        c = next(text.chunks(pa.array(texts)))
+        value, who, _ = toxicity.doc_words(c.data, c.offsets, model, {})
+        return [set(value[who == i].tolist()) for i in range(len(texts))]
+
+    def hashed(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(text.hash_spans(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    want = {
+        "s t u p i d w o r t h l e s s i d i o t": "stupid", "y o u  a r e  s u c h  a  s t u p i d  m o r o n": "stupid", "y o u a r e a s t u p i d m o r o n": "youareastupidmoron",
+        "stu" + "u" * 60 + "pid": "stupid", "f00l": "fool", "n00b": "noob", "a$$": "ass", "@$$": "ass", "!diot": "idiot", "s t u p 1 d": "stupid", "st-upid": "stupid",
+    }
+    for t, w in want.items():
+        assert hashed(w) in found([t])[0], t
+    texts = ["x4", "b 4", "bb", "b", *want]
+    assert found(texts) == [found([t])[0] for t in texts]
+
+
 def test_pipeline(spark, sf, awkward, empty):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and "sequence_id" in out.columns
