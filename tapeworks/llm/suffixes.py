@@ -22,7 +22,14 @@ so at least shared - w + 1 words follow there. A bitmap of at most 128 MB, folde
 on the executors, tells which such beginnings stand in more than one document;
 only suffixes that have one are sorted. The sort is a range partitioning on the following words and then the
 doc_id, so a passage that a third of all documents share spreads over many
-tasks. Where partitions meet, their outermost suffixes are compared apart.
+tasks.
+
+A neighbour in that order need not share the words to the left, and the nearest
+one may lie in another partition. So a window of `shared` words that some
+neighbour may have, judged by the words after the suffix, and no compared one
+has, is looked up by its 64-bit hash among the windows around all suffixes. The
+other document of such a window is the smallest that has it; for that document
+itself, the largest.
 """
 
 import numpy as np
@@ -71,67 +78,110 @@ def shared_words(a: bytes, b: bytes) -> int:
     return int(miss[0]) if len(miss) else len(x)
 
 
-def neighbours(rows: list, shared: int) -> list[tuple[int, int, int, int]]:
-    """(doc, first word, number of words, other doc) of the sorted suffixes' matches with the nearest ones of other documents."""
+def neighbours(rows: list, shared: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """(doc, first word, number of words, other doc) of the sorted suffixes' matches with the nearest ones of other documents; open windows.
+
+    An open window, (index of the row, words before the suffix), is one that
+    another document may have, because a neighbour shares the words after the
+    suffix, but that no compared neighbour has. At the ends of rows, where the
+    nearest suffix of another document is not seen, all windows are open.
+    """
     out = []
+    seen: list = [[] for _ in rows]  # words shared after and before with the nearest rows of other documents on either side
     last = other = None  # the last row, and the last one from another document than that
-    for row in rows:
-        near = last if last is not None and last[0] != row[0] else other
+    for i, row in enumerate(rows):
+        near = last if last is not None and rows[last][0] != row[0] else other
         if near is not None:
-            right = shared_words(row[2], near[2])
-            left = shared_words(row[3], near[3])
+            beside = rows[near]
+            right = shared_words(row[2], beside[2])
+            left = shared_words(row[3], beside[3])
+            seen[i].append((right, left))
+            if near == i - 1:
+                seen[near].append((right, left))
             if left + right >= shared:
-                out += [(row[0], row[1] - left, left + right, near[0]), (near[0], near[1] - left, left + right, row[0])]
-        if last is None or last[0] != row[0]:
+                out += [(row[0], row[1] - left, left + right, beside[0]), (beside[0], beside[1] - left, left + right, row[0])]
+        if last is None or rows[last][0] != row[0]:
             other = last
-        last = row
+        last = i
     # the other way round, for suffixes whose nearest one of another document comes after a row of their own
     follow = third = None
-    for row in reversed(rows):
-        if follow is not None and follow[0] == row[0] and third is not None:
-            right = shared_words(row[2], third[2])
-            left = shared_words(row[3], third[3])
+    for i in range(len(rows) - 1, -1, -1):
+        row = rows[i]
+        if follow is not None and rows[follow][0] == row[0] and third is not None:
+            beside = rows[third]
+            right = shared_words(row[2], beside[2])
+            left = shared_words(row[3], beside[3])
+            seen[i].append((right, left))
             if left + right >= shared:
-                out += [(row[0], row[1] - left, left + right, third[0])]
-        if follow is None or follow[0] != row[0]:
+                out += [(row[0], row[1] - left, left + right, beside[0])]
+        if follow is None or rows[follow][0] != row[0]:
             third = follow
-        follow = row
-    return out
+        follow = i
+    unsettled = []
+    for i, (row, pairs) in enumerate(zip(rows, seen, strict=True)):
+        least = max(shared - (max(r for r, _ in pairs) if len(pairs) == 2 else shared), shared - len(row[2]) // 4, 0)
+        for right, left in pairs:
+            if shared - right <= least <= left:
+                least = left + 1
+        unsettled += [(i, j) for j in range(least, len(row[3]) // 4 + 1) if not any(shared - right <= j <= left for right, left in pairs)]
+    return out, unsettled
+
+
+def window_hashes(after: list[bytes], before: list[bytes], shared: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, the hash of the shared words from j words before it on, for j below w; and whether there are so many."""
+    words = np.zeros((len(after), w - 1 + shared), np.uint32)
+    n_after, n_before = (np.fromiter((len(x) // 4 for x in side), np.int64, len(side)) for side in (after, before))
+    right = np.frombuffer(b"".join(x.ljust(4 * shared, b"\0") for x in after), np.uint32).reshape(len(after), shared)
+    left = np.frombuffer(b"".join(x.ljust(4 * (w - 1), b"\0") for x in before), np.uint32).reshape(len(after), w - 1)
+    words[:, w - 1 :], words[:, : w - 1] = right, left[:, ::-1]
+    up, down = text.powers(w + shared)
+    total = np.zeros((len(after), w + shared), np.uint64)
+    np.cumsum(text.mix(words.astype(np.uint64)) * up[: w - 1 + shared], axis=1, out=total[:, 1:])
+    j = np.arange(w)
+    begin = w - 1 - j
+    hashes = text.mix((total[:, begin + shared] - total[:, begin]) * down[begin])
+    return hashes, (j <= n_before[:, None]) & (shared - j <= n_after[:, None])
+
+
+def windows_among(shared: int, w: int, asked):
+    """Task function: suffixes to (win, doc_id): their windows whose hash may be asked for."""
 
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hashes, whole = window_hashes(batch.column(2).to_pylist(), batch.column(3).to_pylist(), shared, w)
+            row, j = np.nonzero(whole)
+            win = hashes[row, j]
+            some = text.may_hold(asked.value, win)
+            yield pa.RecordBatch.from_arrays([pa.array(text.signed(win[some])), batch.column(0).take(pa.array(row[some]))], ["win", "doc_id"])
 
-def edge_rows(rows: list) -> list:
-    """The outermost rows of a sorted partition: from each end, up to the first row of a second document."""
-    head = next((i for i, r in enumerate(rows) if r[0] != rows[0][0]), len(rows) - 1)
-    tail = next((i for i in range(len(rows) - 1, -1, -1) if rows[i][0] != rows[-1][0]), 0)
-    keep = sorted({0, head, tail, len(rows) - 1, max(head - 1, 0), min(tail + 1, len(rows) - 1)})
-    return [rows[i] for i in keep]
+    return run
 
 
-def sweep(shared: int, limit: int = 200_000):
-    """Task function: sorted suffixes to matches (kind 0) and edge suffixes (kind 1)."""
+def sweep(shared: int, w: int, limit: int = 200_000):
+    """Task function: sorted suffixes to matches and to open windows, which have a hash."""
 
     def run(batches):
         rows: list = []
-        edges: list = []
         for batch in batches:
             rows += zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
             if len(rows) > limit:
-                yield told(neighbours(rows, shared), [])
-                edges += edge_rows(rows)
+                yield from told(rows)
                 rows = []
         if rows:
-            yield told(neighbours(rows, shared), [])
-            edges += edge_rows(rows)
-        if edges:
-            yield told([], edges)
+            yield from told(rows)
 
-    def told(found, edges):
+    def told(rows):
+        found, unsettled = neighbours(rows, shared)
         cols = [[x[i] for x in found] for i in range(4)]
-        n = len(edges)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([0] * len(found) + [1] * n, pa.int32()), pa.array(cols[0] + [e[0] for e in edges], pa.int64()), pa.array(cols[1] + [e[1] for e in edges], pa.int32()), pa.array(cols[2] + [0] * n, pa.int32()), pa.array(cols[3] + [None] * n, pa.int64()), pa.array([None] * len(found) + [e[2] for e in edges], pa.binary()), pa.array([None] * len(found) + [e[3] for e in edges], pa.binary())],
-            ["kind", "doc_id", "at", "length", "other", "after", "before"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.nulls(len(found), pa.int64())], ["doc_id", "at", "length", "other", "win"])
+        for lo in range(0, len(unsettled), 8192):
+            some = unsettled[lo : lo + 8192]
+            hashes, _ = window_hashes([rows[i][2] for i, _ in some], [rows[i][3] for i, _ in some], shared, w)
+            win = hashes[np.arange(len(some)), [j for _, j in some]]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in some], pa.int64()), pa.array([rows[i][1] - j for i, j in some], pa.int32()), pa.array([shared] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(text.signed(win))], ["doc_id", "at", "length", "other", "win"])
 
     return run
 
@@ -141,10 +191,12 @@ def repeats(docs: DataFrame, shared: int = SHARED, k: int = GRAM, w: int = SPAN)
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = substrings.shared_anchors(docs, k + w - 1, k, shared - w + 1)
     suffixes = jobs.cut(docs.mapInArrow(retained(k, w, shared, known), ROW))
-    out = "kind int, doc_id bigint, at int, length int, other bigint, after binary, before binary"
-    found = jobs.cut(suffixes.repartitionByRange("after", "doc_id", "at").sortWithinPartitions("after", "doc_id", "at").mapInArrow(sweep(shared), out))
-    edges = found.where("kind = 1").select("doc_id", "at", "after", "before").coalesce(1).sortWithinPartitions("after", "doc_id", "at").mapInArrow(sweep(shared), out).where("kind = 0")
-    match = found.where("kind = 0").union(edges).select("doc_id", "at", (F.col("at") + F.col("length")).alias("end"), "other")
+    found = jobs.cut(suffixes.repartitionByRange("after", "doc_id", "at").sortWithinPartitions("after", "doc_id", "at").mapInArrow(sweep(shared, w), "doc_id bigint, at int, length int, other bigint, win bigint"))
+    unsettled = found.where("win is not null")
+    asked = jobs.bitmap(unsettled, "win")
+    held = suffixes.mapInArrow(windows_among(shared, w, asked), "win bigint, doc_id bigint").groupBy("win").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    settled = unsettled.select("win", "doc_id", "at", "length").distinct().join(held, "win").withColumn("other", F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least")))
+    match = found.where("win is null").select("doc_id", "at", "length", "other").union(settled.select("doc_id", "at", "length", "other")).select("doc_id", "at", (F.col("at") + F.col("length")).alias("end"), "other")
     spans = match.groupBy("doc_id", "at", "end").agg(F.min("other").alias("other")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "end", "other"))).alias("spans"))
     none = F.array().cast("array<struct<at: int, end: int, other: bigint>>")
 

@@ -234,6 +234,34 @@ def test_suffix_arrays(spark, sf, docs, awkward, empty):
     assert suffixes.repeats(empty).count() == 0
 
 
+def shared_positions(docs, n):
+    first = collections.defaultdict(set)
+    words = [(d, SPACED.findall(t)) for d, t in docs]
+    for d, w in words:
+        for a in range(len(w) - n + 1):
+            first[tuple(w[a : a + n])].add(d)
+    return {(d, x) for d, w in words for a in range(len(w) - n + 1) if len(first[tuple(w[a : a + n])]) > 1 for x in range(a, a + n)}
+
+
+def test_suffix_arrays_with_a_common_notice(spark, sf, docs):
+    """Words before a notice of many documents, shared by two of them, and runs of equal suffixes over several partitions."""
+    rng = np.random.default_rng(5)
+    own = lambda n: " ".join(f"r{x}" for x in rng.integers(0, 1 << 40, n))
+    rows = []
+    for case in range(6):
+        notice, pair, long = (" ".join(f"{kind}{case}x{i}" for i in range(n)) for kind, n in (("n", 48), ("p", 3), ("q", 70)))
+        lead = own(20)
+        for k in range(30):
+            d = case * 100 + k
+            rows.append((d, f"{own(30)} {pair if k in (4, 21) else own(3)} {notice} {own(9)} {lead if k in (7, 25) else own(20)} {long} {own(5)}"))
+            if k % 5 == 0:
+                rows[-1] = (d, rows[-1][1] + f" {own(4)} {long}" * 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {(r.doc_id, x) for r in suffixes.repeats(df).collect() for x in range(r.start, r.start + r.length)}
+    assert got == shared_positions(rows, 50)
+    assert {(r.doc_id, x) for r in queries.QUERIES["op9_suffix_array_dedup"](spark, sf).collect() for x in range(r.start, r.start + r.length)} == shared_positions([(d, t) for d, t in docs if t], 50)
+
+
 def held_out(spark, sf, name, label):
     known = dict(duckdb.sql(f"SELECT doc_id, {label} FROM '{sf}/labels.parquet'").fetchall())
     rows = [r for r in queries.QUERIES[name](spark, sf).collect()]
