@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import folds
 from ..sources import shared, tables
 
 CHANGES = "symbol string, side string, px_raw bigint, shares bigint, orders bigint"
@@ -73,20 +74,37 @@ AUDITED = "session bigint, arrival bigint, observed bigint, expected bigint, sta
 
 
 def audited(stream: DataFrame) -> DataFrame:
-    """AUDITED: each message against the number expected next, the state of its session."""
+    """AUDITED for all that is there now: each message against the number expected next, the state of its session.
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (following,) = state.get if state.exists else (None,)
-        for rows in batches:
-            out = []
-            for arrival, observed in rows[["arrival", "observed"]].itertuples(index=False):
-                want = observed if following is None else following
-                out.append((key[0], arrival, observed, want, "ok" if observed == want else "gap" if observed > want else "duplicate", max(observed - want, 0)))
-                following = max(want, observed + 1)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in AUDITED.split(", ")])
-        state.update((int(following),))
-
-    return stream.groupBy("session").applyInPandasWithState(follow, AUDITED, "following bigint", "append", GroupStateTimeout.NoTimeout)
+    Each micro-batch is sorted by session and arrival, which spills, and folded;
+    a session's state stands before its messages.
+    """
+    spark = stream.sparkSession
+    to = shared.fresh(spark, "sequence")
+    held = "session bigint, following bigint"
+
+    def judge(key: tuple, rows: Iterator) -> Iterator[tuple]:
+        following = None
+        for r in rows:
+            if not r.message:
+                following = r.observed
+                continue
+            want = r.observed if following is None else following
+            yield (*key, r.arrival, r.observed, want, "ok" if r.observed == want else "gap" if r.observed > want else "duplicate", max(r.observed - want, 0))
+            following = max(want, r.observed + 1)
+
+    def step(batch: DataFrame, n: int) -> None:
+        here = batch.sparkSession
+        before = here.read.schema(held).parquet(f"{to}/state-{n - 1}") if n else here.createDataFrame([], held)
+        rows = batch.select("session", F.lit(True).alias("message"), "arrival", "observed")
+        states = before.select("session", F.lit(False), F.lit(None).cast("bigint"), "following")
+        folds.by_key(rows.union(states), ["session"], ["message", "arrival"], judge, AUDITED).write.mode("overwrite").parquet(f"{to}/rows/batch={n}")
+        now = here.read.schema(AUDITED).parquet(f"{to}/rows/batch={n}").select("session", F.greatest("expected", F.col("observed") + 1).alias("following"))
+        now.union(before).groupBy("session").agg(F.max("following").alias("following")).write.mode("overwrite").parquet(f"{to}/state-{n}")
+
+    spark.createDataFrame([], AUDITED).write.parquet(f"{to}/rows/batch=-1")
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(AUDITED).parquet(f"{to}/rows").select(*(c.split()[0] for c in AUDITED.split(", ")))
 
 
 def once(messages: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:

@@ -203,3 +203,18 @@ def test_stream_state_outlives_a_batch(spark, tmp_path):
 def test_thousands(spark):
     df = spark.createDataFrame([(0,), (1234567,), (-1000,)], "n long")
     assert [r[0] for r in df.select(prices.thousands(F.col("n"))).collect()] == ["0", "1 234 567", "-1 000"]
+
+
+def test_streamed_audit_sorts_by_arrival(spark, tmp_path):
+    """Rows in any order of files and splits, in one micro-batch and in several."""
+    rows = [(s, a, a // 4 - (a % 5 == 0) * (a % 7) + (a % 11 == 0)) for a in range(4000) for s in [a % 3]]
+    df = spark.createDataFrame(rows, "session long, arrival long, observed long")
+    kind = "session long, arrival long, observed long"
+    df.orderBy(F.xxhash64("arrival")).repartition(6).write.parquet(f"{tmp_path}/mixed")
+    for i in range(3):
+        df.where((F.col("arrival") >= 1500 * i) & (F.col("arrival") < 1500 * (i + 1))).orderBy(F.xxhash64("arrival")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/parts")
+    want = sorted(map(tuple, sequence.audited(df).collect()))
+    for stream in (spark.readStream.schema(kind).parquet(f"{tmp_path}/mixed"), spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/parts")):
+        got = replay.audited(stream)
+        got = got if not got.isStreaming else replay.finished(got, "sequence")
+        assert sorted(map(tuple, got.collect())) == want
