@@ -14,8 +14,9 @@ logistic model over the document's strongest words.
 
 Labels are learned from rows whose crc32(doc_id as text) mod 4 is not 2. Word
 counts take all of these; the logistic model is fitted on at most `SAMPLE` of
-them, whose own label is taken out of the counts first. The lexicon holds at
-most `LEXICON` words, the strongest ones. doc_id only chooses rows and is no
+them, whose own label is taken out of the counts first. All words that speak for
+toxicity count; tasks hold the `LEXICON` most frequent ones, the others are
+joined to the texts by their hashes. doc_id only chooses rows and is no
 input of a score, nor are lang and source.
 
 Defined results: null and empty texts get the score of a text without known
@@ -31,6 +32,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,8 +238,11 @@ def strengths(toxic: np.ndarray, clean: np.ndarray, totals: tuple[int, int]) ->
     return np.where((t >= LEAST - 1) & (odds > 0), odds * t / (t + 1.0), 0.0)
 
 
-def evidence(lexicon, model, with_label: bool, weights=None):
-    """Task function: (doc_id, text[, y]) to (doc_id, x[, y]), the strongest words' strengths, or with weights to (doc_id, score).
+FOUND = "doc_id bigint, y int, row bigint, n_words bigint, top array<double>, total double, rare array<bigint>"
+
+
+def evidence(lexicon, rare, model, with_label: bool):
+    """Task function: (doc_id, text[, y]) to FOUND: the strongest strengths and the sum of all, of the words in the lexicon, and hashes of other words that may count.
 
     A label is taken out of the counts first.
     """
@@ -245,30 +250,62 @@ def evidence(lexicon, model, with_label: bool, weights=None):
     def run(batches):
         memory: dict = {}
         keys, toxic, clean, totals = lexicon.value
+        context = TaskContext.get()
+        row = (context.partitionId() if context else 0) << 40
         for batch in batches:
             for c in text.chunks(batch.column(1)):
                 value, who, n_words = doc_words(c.data, c.offsets, model.value, memory)
+                n = len(n_words)
                 where = np.minimum(np.searchsorted(keys, value), max(len(keys) - 1, 0))
-                hit = np.flatnonzero(keys[where] == value) if len(keys) else np.zeros(0, np.int64)
+                known = keys[where] == value if len(keys) else np.zeros(len(value), bool)
+                hit = np.flatnonzero(known)
                 owner, entry = who[hit], where[hit]
-                y = batch.column(2).to_numpy()[c.rows] if with_label else None
+                y = batch.column(2).to_numpy()[c.rows] if with_label else np.zeros(n, np.int32)
                 out = y[owner] if with_label else np.zeros(len(owner))
                 strong = strengths(toxic[entry] - out, clean[entry] - (1 - out) * with_label, totals)
                 order = np.lexsort((-strong, owner))
                 owner, strong = owner[order], strong[order]
-                begin = np.searchsorted(owner, np.arange(len(n_words) + 1))
+                begin = np.searchsorted(owner, np.arange(n + 1))
                 place = np.arange(len(owner)) - begin[owner]
-                x = np.zeros((len(n_words), 4))
+                top = np.zeros((n, 3))
                 for k in range(3):
                     some = place == k
-                    x[owner[some], k] = strong[some]
-                x[:, 3] = np.bincount(owner, strong, len(n_words)) / np.sqrt(1 + n_words)
-                x[:, 2] += x[:, 1]
-                if weights is not None:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start), pa.array(score(weights, x))], ["doc_id", "score"])
-                    continue
-                columns = [batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start), text.lists(pa.array(x.reshape(-1)), np.full(len(x), 4))]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(y.astype(np.int32))] if with_label else [])], ["doc_id", "x", *(["y"] if with_label else [])])
+                    top[owner[some], k] = strong[some]
+                other = np.flatnonzero(~known & text.may_hold(rare.value, value)) if rare else np.zeros(0, np.int64)
+                ids = batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start)
+                rest = text.lists(pa.array(text.signed(value[other])), np.bincount(who[other], minlength=n))
+                columns = [ids, pa.array(y.astype(np.int32)), pa.array(row + np.arange(n)), pa.array(n_words.astype(np.int64)), text.lists(pa.array(top.reshape(-1)), np.full(n, 3)), pa.array(np.bincount(owner, strong, n).astype(np.float64)), rest]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "row", "n_words", "top", "total", "rare"])
+                row += n
+
+    return run
+
+
+def features(found: DataFrame, rest: DataFrame | None, totals: tuple[int, int], with_label: bool) -> DataFrame:
+    """(doc_id, y, x) of FOUND: the strongest word, the second, the second and third, all over the root of the words; rest (word, toxic, clean) joins the words outside the lexicon."""
+    top, total = F.col("top"), F.col("total")
+    if rest is not None:
+        found = jobs.cut(found)
+        out = (F.col("y"), 1 - F.col("y")) if with_label else (F.lit(0), F.lit(0))
+        t, c = F.greatest(F.col("toxic") - out[0], F.lit(0)), F.greatest(F.col("clean") - out[1], F.lit(0))
+        odds = F.log((t + 0.5) / (totals[0] + 1)) - F.log((c + 0.5) / (totals[1] + 1))
+        strong = F.when((t >= LEAST - 1) & (odds > 0), odds * t / (t + 1.0)).otherwise(0.0)
+        more = found.select("row", "y", F.explode("rare").alias("word")).join(rest.hint("merge"), "word").select("row", strong.alias("strong"))
+        more = more.groupBy("row").agg(F.sum("strong").alias("more"), F.collect_list("strong").alias("others"))
+        found = found.join(more.hint("merge"), "row", "left")
+        top = F.slice(F.sort_array(F.concat("top", F.coalesce("others", F.array().cast("array<double>"))), False), 1, 3)
+        total = total + F.coalesce("more", F.lit(0.0))
+    found = found.select("doc_id", "y", "n_words", top.alias("top"), total.alias("total"))
+    return found.select("doc_id", "y", F.array(F.col("top")[0], F.col("top")[1], F.col("top")[1] + F.col("top")[2], F.col("total") / F.sqrt(1 + F.col("n_words"))).alias("x"))
+
+
+def scored(weights):
+    """Task function: (doc_id, x) to (doc_id, score)."""
+
+    def run(batches):
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(weights, x))], ["doc_id", "score"])
 
     return run
 
@@ -290,15 +327,23 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon_s
     both = (totals.get(1, 0), totals.get(0, 0))
     words = train.select("y", "text").mapInArrow(word_counts(model), "word bigint, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (both[0] + 1)) - F.log((F.col("clean") + 0.5) / (both[1] + 1))
-    strongest = words.where(F.col("toxic") >= LEAST).where(odds > 0).orderBy(F.desc(odds * F.col("toxic") / (F.col("toxic") + 1)), "word").limit(lexicon_size).toArrow()
-    keys = strongest["word"].to_numpy().view(np.uint64)
+    words = jobs.cut(words.where(F.col("toxic") >= LEAST).where(odds > 0))
+    often = (F.col("toxic") + F.col("clean")).alias("often")
+    frequent = words.select("word", "toxic", "clean", often).orderBy(F.desc("often"), "word").limit(lexicon_size).toArrow()
+    keys = frequent["word"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    lexicon = spark.sparkContext.broadcast((keys[order], strongest["toxic"].to_numpy()[order], strongest["clean"].to_numpy()[order], both))
+    lexicon = spark.sparkContext.broadcast((keys[order], frequent["toxic"].to_numpy()[order], frequent["clean"].to_numpy()[order], both))
+    rest = rare = None
+    if lexicon_size <= len(frequent):
+        last = frequent.select(["often", "word"]).slice(len(frequent) - 1).to_pylist()[0] if len(frequent) else None
+        rest = words.where((often < last["often"]) | (often == last["often"]) & (F.col("word") > last["word"])) if last else words
+        rare = jobs.bitmap(rest, "word")
     weights = both[0] / max(1, sum(both))
     if min(both):
-        x, y = learn.sample(train.join(train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct(), "doc_id", "left_semi").select("doc_id", "text", "y").mapInArrow(evidence(lexicon, model, True), "doc_id bigint, x array<double>, y int"), sample)
+        some = train.join(train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct(), "doc_id", "left_semi").select("doc_id", "text", "y")
+        x, y = learn.sample(features(some.mapInArrow(evidence(lexicon, rare, model, True), FOUND), rest, both, True), sample)
         weights = learn.logistic(x, y)
-    return docs.mapInArrow(evidence(lexicon, model, False, weights), "doc_id bigint, score double")
+    return features(docs.mapInArrow(evidence(lexicon, rare, model, False), FOUND), rest, both, False).select("doc_id", "x").mapInArrow(scored(weights), "doc_id bigint, score double")
 
 
 def train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

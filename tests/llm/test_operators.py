@@ -295,6 +295,15 @@ def test_disguised_words(spark, sf):
         assert toxicity.decode(disguised, model) == word
 
 
+def test_toxicity_takes_all_words(spark, sf):
+    """However many words of the lexicon tasks hold, the scores are those of all words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(3)).union(spark.createDataFrame([(None, "stupid"), (1, None)], "doc_id long, text string"))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").selectExpr("doc_id", "toxic AS y")
+    whole, parts = (sorted((r.doc_id or -1, round(r.score, 9)) for r in toxicity.classify(docs, labels, lexicon_size=n).collect()) for n in (100_000, 7))
+    assert whole == parts and len(whole) == docs.count()
+
+
 def test_disguised_words_are_suspected(spark):
     """Through doc_words(): long spans, doubled substitutes, substitutes at a word's edge, spaced runs with substitutes; alike in any company."""
     import pyarrow as pa
