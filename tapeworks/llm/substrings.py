@@ -1,14 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-A window is `window` consecutive words of one document. The reference is made
-of blocks: all windows that share a winnowing anchor (the least k-gram hash in
-the window) lie in one block, each with the smallest doc_id that holds it. A
-document is parsed against every block that can hold one of its windows: a
-factor is a maximal run of positions whose windows stand in the reference under
-a smaller doc_id, and it grows as long as the source stays the same. Where a
-factor ends the next window is looked up afresh, so windows that cross a factor
-boundary are judged too. Words covered by factors are removed. Windows are
-judged on the input, not on what is left.
+"""Substring dedup by an exact join of window hashes.
+
+A window is `window` consecutive words of one document. Windows whose winnowing
+anchor (the least k-gram hash in the window) may stand in several documents are
+grouped by their hash, and joined back to the smallest doc_id that holds them.
+This takes the place of relative Lempel-Ziv parsing against indexed reference
+blocks: no block is indexed and no document parsed against its words. Only what
+the join found is named as factors: a factor is a maximal run of positions
+whose windows have the same source, a smaller doc_id. Words covered by factors
+are removed. Windows are judged on the input, not on what is left.
 
 Defined results: null, empty and blank texts have no words and keep the empty
 string; documents with fewer words than a window lose nothing; rows with equal
