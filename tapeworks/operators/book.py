@@ -4,76 +4,151 @@ An order's state depends on its own messages only, so books of any number of
 symbols are built in parallel by order, and levels, totals and the top of the
 book are aggregates of the orders that still live. Reductions beyond what is
 left are rejected and change nothing, which no running sum expresses; so the
-fold is a higher-order function over the order's few messages, in order.
+fold goes through messages that one shuffle has sorted by order and time. It is
+a stream over Arrow batches: a step takes one message of every order in the
+batch at once, and only the last order's state outlives a batch, so an order
+of any length needs no more memory than a batch.
 """
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import hashes
-from ..sources import tables
+from ..sources import shared, tables
 from . import folds
 
 NEW, PARTIAL, FILLED, CANCELLED = 0, 1, 2, 3
-#: One message's outcome and the state after it; {s}: state before, {m}: message.
-OUTCOME = """CASE
-  WHEN {m}tag = 'A' AND ({s}live OR {m}order_id = 0) THEN 'duplicate_order'
-  WHEN {m}tag = 'A' AND {m}qty = 0 THEN 'zero_size'
-  WHEN {m}tag = 'A' THEN 'ok'
-  WHEN NOT {s}live THEN 'unknown_order'
-  WHEN {m}tag <> 'D' AND {m}qty > {s}rem THEN 'over_reduce'
-  ELSE 'ok' END"""
-LIVE = "CASE WHEN {o} <> 'ok' THEN {s}live WHEN {m}tag = 'A' THEN true WHEN {m}tag = 'D' THEN false ELSE {m}qty < {s}rem END"
-LEFT = "CASE WHEN {o} <> 'ok' THEN {s}rem WHEN {m}tag = 'A' THEN {m}qty WHEN {m}tag = 'D' THEN 0 ELSE {s}rem - {m}qty END"
-STATE = """CASE WHEN {o} <> 'ok' THEN {s}state WHEN {m}tag = 'A' THEN 0 WHEN {m}tag = 'D' THEN 3
-  WHEN {m}tag = 'X' THEN CASE WHEN {m}qty = {s}rem THEN 3 ELSE 0 END ELSE CASE WHEN {m}qty = {s}rem THEN 2 ELSE 1 END END"""
-FIELDS = ["tag", "order_id", "symbol", "side", "qty", "px_raw"]
-
-
-LOG = {"tag": "tag", "ts": "ts", "kind": "kind", "line": "line", "part": "part", "supp": "supp"}
-
-
-def lives(messages: DataFrame, log: bool = True) -> DataFrame:
-    """(order_id, last): each order's state after its messages; with log, what each message did."""
-    ops = messages.groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct(*tables.ORDER, *FIELDS))).alias("ops"))
-    s, m = "s.", "m."
-    kinds = dict(messages.dtypes)
-    outcome = OUTCOME.format(s=s, m=m)
-    after = {k: v.format(s=s, m=m, o=f"({outcome})") for k, v in (("live", LIVE), ("rem", LEFT), ("state", STATE))}
-    placed = f"({outcome}) = 'ok' AND m.tag = 'A'"
-    keep = {c: f"CASE WHEN {placed} THEN m.{c} ELSE s.{c} END" for c in ("symbol", "side", "px_raw", "ts")}
-    zero = {"live": "false", "rem": "0L", "state": "0", **{c: f"cast(null AS {kinds[c]})" for c in keep}}
-    step = {**after, **keep}
-    if log:
-        entry = {**{c: f"m.{c}" for c in LOG}, "outcome": outcome, "live": after["live"], "change": f"{after['rem']} - s.rem", "symbol": keep["symbol"], "side": keep["side"], "px_raw": keep["px_raw"]}
-        kind = {**{c: kinds[c] for c in (*LOG, "symbol", "side", "px_raw")}, "outcome": "string", "live": "boolean", "change": "bigint"}
-        zero["log"] = f"cast(array() AS array<struct<{', '.join(f'{c}: {kind[c]}' for c in entry)}>>)"
-        step["log"] = f"concat(s.log, array(named_struct({', '.join(f'{chr(39)}{c}{chr(39)}, {e}' for c, e in entry.items())})))"
-    structs = [", ".join(f"'{c}', {e}" for c, e in x.items()) for x in (zero, step)]
-    return ops.select("order_id", F.expr(f"aggregate(ops, named_struct({structs[0]}), (s, m) -> named_struct({structs[1]}))").alias("last"))
+OUTCOMES = ["ok", "duplicate_order", "zero_size", "unknown_order", "over_reduce"]
+OK, DUPLICATE, ZERO, UNKNOWN, OVER = range(5)
+#: Codes of the tags that change an order; others pass and change nothing.
+CODES = {"A": 0, "E": 1, "C": 1, "X": 2, "D": 3}
+ADD, EXECUTE, CANCEL, DELETE, PASS = range(5)
+#: Where fewer orders than this still have messages in a batch, they are gone through one by one.
+FEW = 4
+
+
+def steps(code: np.ndarray, qty: np.ndarray, named: np.ndarray, given: np.ndarray, first: np.ndarray, live: np.ndarray, left: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each message's outcome, what it added to its order's shares, and the order after it: alive, shares left, state, row of its add.
+
+    first: where each order's messages begin, and the end. named: whether the
+    message names an order (an id of 0 is no order). given: the state that an
+    add starts with. live, left and state are those before the orders' first
+    messages, and are changed; an add before these rows has row -1.
+    """
+    n = len(code)
+    outcome, change = np.zeros(n, np.int8), np.zeros(n, np.int64)
+    after_live, after_left, after_state, after_add = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int8), np.zeros(n, np.int64)
+    count, add = np.diff(first), np.full(len(first) - 1, -1, np.int64)
+    by_size = np.argsort(-count, kind="stable")
+    reach = np.searchsorted(-count[by_size], -np.arange(1, count.max(initial=0) + 1), "right")
+    k = 0
+    while k < len(reach) and reach[k] > FEW:
+        who = by_size[: reach[k]]
+        at = first[who] + k
+        c, q, alive, rem, kind = code[at], qty[at], live[who], left[who], state[who]
+        adds, reduces = c == ADD, (c == EXECUTE) | (c == CANCEL)
+        o = np.where(adds, np.where(alive | ~named[at], DUPLICATE, np.where(q == 0, ZERO, OK)), np.where(~alive & (c != PASS), UNKNOWN, np.where(reduces & (q > rem), OVER, OK)))
+        done = (o == OK) & (c != PASS)
+        now = np.where(done, np.where(adds, q, np.where(c == DELETE, 0, rem - q)), rem)
+        over = done & ~adds & ((c == DELETE) | (now == 0))
+        kind = np.where(done, np.where(over, np.where(c == EXECUTE, FILLED, CANCELLED), np.where(adds, given[at], np.where(c == EXECUTE, PARTIAL, NEW))), kind)
+        alive = np.where(done, ~over, alive)
+        add[who] = np.where(done & adds, at, add[who])
+        live[who], left[who], state[who] = alive, now, kind
+        outcome[at], change[at] = o, now - rem
+        after_live[at], after_left[at], after_state[at], after_add[at] = alive, now, kind, add[who]
+        k += 1
+    for g in by_size[: reach[k]].tolist() if k < len(reach) else []:
+        alive, rem, kind, placed = bool(live[g]), int(left[g]), int(state[g]), int(add[g])
+        for at, (c, q, known) in enumerate(zip(code[first[g] + k : first[g + 1]].tolist(), qty[first[g] + k : first[g + 1]].tolist(), named[first[g] + k : first[g + 1]].tolist(), strict=True), int(first[g]) + k):
+            before, o = rem, OK
+            if c == ADD:
+                o = DUPLICATE if alive or not known else ZERO if q == 0 else OK
+                if o == OK:
+                    alive, rem, kind, placed = True, q, int(given[at]), at
+            elif c != PASS:
+                o = UNKNOWN if not alive else OVER if c != DELETE and q > rem else OK
+                if o == OK:
+                    rem = 0 if c == DELETE else rem - q
+                    alive = c != DELETE and rem > 0
+                    kind = (PARTIAL if c == EXECUTE else NEW) if alive else FILLED if c == EXECUTE else CANCELLED
+            outcome[at], change[at] = o, rem - before
+            after_live[at], after_left[at], after_state[at], after_add[at] = alive, rem, kind, placed
+        live[g], left[g], state[g] = alive, rem, kind
+    return outcome, change, after_live, after_left, after_state, after_add
+
+
+def followed(kinds: dict[str, str], last_only: bool):
+    """Task function: messages sorted by order to what became of them, or to the orders that live after their last one."""
+    held = ["symbol", "side", "px_raw", "placed"]
+    types = {"symbol": "string", "side": "string", "px_raw": "bigint", "placed": kinds["ts"]}
+    fields = {"order_id": "bigint", **types, "size": "bigint", "state": "int"} if last_only else {**{c: kinds[c] for c in (*tables.ORDER, "order_id", "tag")}, "until": kinds["ts"], "outcome": "string", "live": "boolean", "change": "bigint", **types}
+    ddl = ", ".join(f"{c} {t}" for c, t in fields.items())
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    source = {"placed": "ts"}
+
+    def run(batches):
+        carried = None  # the last order: id, alive, left, state and one row of what its add told
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            ids = col["order_id"].to_numpy(zero_copy_only=False)
+            first = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, n]
+            live, left, state = np.zeros(len(first) - 1, bool), np.zeros(len(first) - 1, np.int64), np.zeros(len(first) - 1, np.int8)
+            if carried and carried[0] == ids[0]:
+                live[0], left[0], state[0] = carried[1:4]
+            code, qty = col["code"].to_numpy(), col["qty"].fill_null(0).to_numpy()
+            outcome, change, alive, rem, kind, add = steps(code, qty, ids != 0, col["given"].to_numpy(), first, live, left, state)
+            rows = [pa.concat_arrays([carried[4][i] if carried and carried[0] == ids[0] else pa.nulls(1, col[source.get(c, c)].type), col[source.get(c, c)]]) for i, c in enumerate(held)]
+            keep = np.flatnonzero(alive & (col["final"].to_numpy(zero_copy_only=False))) if last_only else np.arange(n)
+            told = {c: rows[i].take(pa.array(add[keep] + 1)) for i, c in enumerate(held)}
+            if last_only:
+                out = {"order_id": col["order_id"].take(pa.array(keep)), "size": pa.array(rem[keep]), "state": pa.array(kind[keep].astype(np.int32)), **told}
+            else:
+                out = {**col, "outcome": pa.array(OUTCOMES).take(pa.array(outcome)), "live": pa.array(alive), "change": pa.array(change), **told}
+            yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in schema], schema=schema)
+            carried = (ids[-1], live[-1], left[-1], state[-1], [r.slice(int(add[-1]) + 1, 1) for r in rows])
+
+    return run, ddl
+
+
+def by_order(messages: DataFrame) -> DataFrame:
+    """Messages sorted by order and time within partitions of whole orders, with until (when the order's next message came), final, code and given."""
+    w = Window.partitionBy("order_id").orderBy(*tables.ORDER)
+    code = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv)), F.col("tag")), F.lit(PASS)).cast("tinyint")
+    given = F.coalesce(F.col("state"), F.lit(NEW)) if "state" in messages.columns else F.lit(NEW)
+    return messages.select("order_id", *tables.ORDER, "tag", "symbol", "side", "px_raw", "qty", code.alias("code"), given.cast("tinyint").alias("given"), F.lead("ts").over(w).alias("until"), F.lead(F.lit(1)).over(w).isNull().alias("final"))
 
 
 def journal(messages: DataFrame) -> DataFrame:
-    """Messages with what became of them: LOG's columns, order_id, outcome, live, change, symbol, side, px_raw, until.
+    """Messages with what became of them: ORDER's columns, order_id, tag, until, outcome, live, change, symbol, side, px_raw, placed.
 
-    change is what the message added to the order's level; until, when the
-    order's next message came (null: never).
+    change is what the message added to the order's shares; until, when the
+    order's next message came (null: never). Messages may have a column state,
+    which their adds start with (a snapshot's orders).
     """
-    told = F.expr("transform(last.log, (x, i) -> named_struct('x', x, 'until', get(last.log, i + 1).ts))")
-    return lives(messages).select("order_id", F.inline(told)).select("order_id", "x.*", "until")
+    run, kinds = followed(dict(messages.dtypes), last_only=False)
+    return by_order(messages).mapInArrow(run, kinds)
 
 
 def outcomes(messages: DataFrame) -> DataFrame:
     """(tag, outcome, live, n): messages by what became of them; live: whether the order lived on."""
-    log = lives(messages).select(F.explode("last.log").alias("x"))
-    return log.groupBy("x.tag", "x.outcome", "x.live").agg(F.count("*").alias("n"))
+    return journal(messages).groupBy("tag", "outcome", "live").agg(F.count("*").alias("n"))
 
 
 def live_orders(messages: DataFrame) -> DataFrame:
     """(order_id, symbol, side, px_raw, size, state, ts): orders left in the book; ts: when they were placed."""
-    return lives(messages, log=False).where("last.live").select("order_id", "last.symbol", "last.side", "last.px_raw", F.col("last.rem").alias("size"), "last.state", "last.ts")
+    run, kinds = followed(dict(messages.dtypes), last_only=True)
+    needed = ["order_id", "ts", "symbol", "side", "px_raw", "qty", "code", "given", "final"]
+    return by_order(messages).select(*needed).mapInArrow(run, kinds).select("order_id", "symbol", "side", "px_raw", "size", "state", F.col("placed").alias("ts"))
 
 
 def better() -> Column:
@@ -171,32 +246,52 @@ def top_at(messages: DataFrame, first: str, last: str) -> DataFrame:
     return months.groupBy("symbol", F.col("month").cast(kind).alias("month")).agg(F.max(bid).alias("best_bid"), F.min(ask).alias("best_ask"), F.count("*").alias("live_orders"))
 
 
-def tops(messages: DataFrame) -> DataFrame:
+def tops(messages: DataFrame, piece: Column | None = None) -> DataFrame:
     """(symbol, n, ts, tag, best_bid, best_ask): the top of the book after each applied message, n from 0 by symbol.
 
-    A symbol's prices with their sizes are the state, and heaps of prices that
-    drop what is gone when they meet it.
+    Time is cut into pieces (months, unless piece tells otherwise). Each piece
+    of a symbol starts from the levels that were left before it, which are sums
+    of what all earlier pieces added, and is followed by itself: a symbol's
+    prices with their orders are the state, and heaps of prices that drop what
+    is gone when they meet it.
     """
+    ts = dict(messages.dtypes)["ts"]
+    added = F.when(F.col("tag") == "A", 1).when(F.col("live"), 0).otherwise(-1).cast("long")
+    month = F.trunc("ts", "month") if piece is None else piece
+    rows = shared.cut(journal(messages).where("outcome = 'ok' AND px_raw IS NOT NULL").select("symbol", month.alias("piece"), *tables.ORDER, "order_id", "tag", "side", "px_raw", added.alias("orders")))
+    level = Window.partitionBy("symbol", "side", "px_raw").orderBy("piece")
+    changed = rows.groupBy("symbol", "side", "px_raw", "piece").agg(F.sum("orders").alias("change"), F.count("*").alias("rows"))
+    held = changed.select("symbol", "side", "px_raw", "piece", F.sum("change").over(level).alias("orders"), F.lead("piece").over(level).alias("next")).where("orders > 0")
+    numbers = changed.groupBy("symbol", "piece").agg(F.sum("rows").alias("rows"))
+    starts = numbers.select("symbol", "piece", F.coalesce(F.sum("rows").over(Window.partitionBy("symbol").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("orders"))
+    later = numbers.select(F.col("symbol").alias("s"), F.col("piece").alias("p"))
+    opened = held.join(later, (F.col("symbol") == F.col("s")) & (F.col("p") > F.col("piece")) & (F.col("next").isNull() | (F.col("p") <= F.col("next")))).select("symbol", F.col("p").alias("piece"), "side", "px_raw", "orders")
+    bare = {c: F.lit(None).cast(t) for c, t in rows.dtypes if c not in ("symbol", "piece", "orders")}
+    before = opened.withColumns({c: x for c, x in bare.items() if c not in ("side", "px_raw")}).unionByName(starts.withColumns(bare))
 
     def fold(key, rows):
-        sizes, heaps = {}, {"B": [], "S": []}
-        for n, r in enumerate(rows):
+        sizes, heaps, n = {}, {"B": [], "S": []}, 0
+        for r in rows:
+            if r.side is None:
+                n = r.orders
+                continue
             level = (r.side, r.px_raw)
             if level not in sizes:
                 sizes[level] = 0
                 heapq.heappush(heaps[r.side], -r.px_raw if r.side == "B" else r.px_raw)
             sizes[level] += r.orders
+            if r.tag is None:
+                continue
             best = {}
             for side, heap in heaps.items():
                 while heap and not sizes[side, abs(heap[0])]:
                     del sizes[side, abs(heapq.heappop(heap))]
                 best[side] = abs(heap[0]) if heap else None
-            yield (*key, n, r.ts, r.tag, best["B"], best["S"])
+            yield (key[0], n, r.ts, r.tag, best["B"], best["S"])
+            n += 1
 
-    ts = dict(messages.dtypes)["ts"]
-    applied = journal(messages).where("outcome = 'ok'").withColumn("orders", F.when(F.col("tag") == "A", 1).when(F.col("live"), 0).otherwise(-1))
-    rows = applied.select("symbol", *tables.ORDER, "order_id", "tag", "side", "px_raw", "orders")
-    return folds.by_key(rows, ["symbol"], ["ts", "kind", "order_id", "line", "part", "supp"], fold, f"symbol string, n bigint, ts {ts}, tag string, best_bid bigint, best_ask bigint")
+    order = ["ts", "kind", "order_id", "line", "part", "supp"]
+    return folds.by_key(before.unionByName(rows), ["symbol", "piece"], order, fold, f"symbol string, n bigint, ts {ts}, tag string, best_bid bigint, best_ask bigint")
 
 
 def slots(levels: DataFrame, floor: int, tick: int, slots: int) -> DataFrame:

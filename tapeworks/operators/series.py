@@ -1,9 +1,12 @@
 """Series of mids: returns, volatility, quotes, fills, markouts, position and profit."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-WINDOW = 256
+#: Returns in a volatility, observations in a piece of work, and microseconds in a piece of time.
+WINDOW, PIECE, SPAN_US = 256, 1 << 14, 3_600_000_000
 
 
 def by_symbol() -> WindowSpec:
@@ -27,14 +30,53 @@ def moves(obs: DataFrame) -> DataFrame:
     return changes(obs).groupBy("symbol").agg(F.count("*").alias("observations"), F.count_if(F.coalesce(F.col("delta"), F.lit(0)) != 0).alias("moves"))
 
 
-def volatility(obs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(symbol, seq, sigma): root mean square of the last returns, each held within four times their median size."""
-    last = changes(obs).withColumn("d", F.collect_list("delta").over(by_symbol().rowsBetween(1 - window, 0)))
-    middle = F.expr("array_sort(transform(d, x -> abs(x)))[size(d) DIV 2]")
-    held = last.withColumn("m", F.when(F.size("d") > 0, middle))
-    squares = F.aggregate("d", F.lit(0).cast("long"), lambda s, x: s + F.pow(F.when(F.col("m") > 0, F.least(F.greatest(x, -4 * F.col("m")), 4 * F.col("m"))).otherwise(x), 2).cast("long"))
-    sigma = F.when(F.size("d") < 2, F.lit(0.0)).otherwise(F.sqrt(squares / F.size("d")))
-    return held.select("symbol", "seq", F.round(sigma, 6).alias("sigma"), F.round(sigma / F.col("mid_raw"), 9).alias("sigma_fraction"))
+def pieces(obs: DataFrame, size: int, overlap: int, bucket: int = 1 << 16) -> DataFrame:
+    """(symbol, piece, own, seq, mid_raw): each symbol's observations in pieces of size rows, and before each the last overlap rows of the one before.
+
+    own is false for the latter. Rows are numbered by symbol from the counts of
+    buckets of seq, so that no symbol has to be sorted in one task.
+    """
+    rows = obs.select("symbol", "seq", "mid_raw", F.expr(f"seq DIV {bucket}").alias("bucket"))
+    w = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("symbol", "bucket").agg(F.count("*").alias("n")).select("symbol", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
+    n = F.col("start") + F.row_number().over(Window.partitionBy("symbol", "bucket").orderBy("seq")) - 1
+    numbered = rows.join(starts, ["symbol", "bucket"]).select("symbol", "seq", "mid_raw", n.alias("n"))
+    home = F.expr(f"n DIV {size}")
+    both = F.when(F.col("n") % size >= size - overlap, F.array(home, home + 1)).otherwise(F.array(home))
+    return numbered.select("symbol", "seq", "mid_raw", home.alias("home"), F.explode(both).alias("piece")).select("symbol", "piece", (F.col("home") == F.col("piece")).alias("own"), "seq", "mid_raw")
+
+
+def sigmas(mid: np.ndarray, window: int) -> np.ndarray:
+    """After each of the mids in order: the root mean square of the last window returns, each held within four times their median size."""
+    out = np.zeros(len(mid))
+    delta = np.abs(np.diff(mid.astype(np.int64)))
+    for lo in range(2, len(mid), 4096):
+        hi = min(len(mid), lo + 4096)
+        # returns up to each observation, the oldest places empty where there are fewer than window
+        count = np.minimum(np.arange(lo, hi), window)
+        most = int(count.max())
+        padded = np.r_[np.full(max(0, most - lo), -1), delta[max(0, lo - most) : hi - 1]]
+        last = np.lib.stride_tricks.sliding_window_view(padded, most)[: hi - lo]
+        middle = most - count + count // 2  # empty places are the least
+        kth = np.unique(middle)
+        limit = 4 * np.partition(last, kth, axis=1)[np.arange(hi - lo), middle]
+        held = np.where(limit[:, None] > 0, np.minimum(last, limit[:, None]), last)
+        held[last < 0] = 0
+        out[lo:hi] = np.sqrt((held * held).sum(axis=1) / count)
+    return out
+
+
+def volatility(obs: DataFrame, window: int = WINDOW, size: int = PIECE) -> DataFrame:
+    """(symbol, seq, sigma, sigma_fraction, mid_raw): root mean square of the last returns, each held within four times their median size."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        sigma = sigmas(table["mid_raw"].to_numpy(), window)
+        return table.append_column("raw", pa.array(sigma)).filter(table["own"]).select(["symbol", "seq", "mid_raw", "raw"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in obs.select("symbol", "seq", "mid_raw").dtypes)
+    raw = pieces(obs, max(size, window), window).groupBy("symbol", "piece").applyInArrow(run, f"{kinds}, raw double")
+    return raw.select("symbol", "seq", F.round("raw", 6).alias("sigma"), F.round(F.col("raw") / F.col("mid_raw"), 9).alias("sigma_fraction"), "mid_raw")
 
 
 def positions(fills: DataFrame) -> DataFrame:
@@ -50,17 +92,27 @@ def profit(obs: DataFrame, fills: DataFrame) -> DataFrame:
     return held.select("symbol", "seq", "equity", step.alias("step"), (F.greatest(F.max("equity").over(so_far()), F.lit(0)) - F.col("equity")).alias("drawdown"))
 
 
-def markouts(obs: DataFrame, fills: DataFrame, horizon_us: int, threshold: int = 0) -> DataFrame:
+def markouts(obs: DataFrame, fills: DataFrame, horizon_us: int, threshold: int = 0, span_us: int = SPAN_US) -> DataFrame:
     """Each fill with the first mid of its symbol at or after its time plus the horizon, the last one where there is none.
 
-    One union and one window over (symbol, time) stand for an as-of join.
+    One union and one running window stand for an as-of join. Backwards in
+    time, the mid to take is the last one seen. Windows cover a symbol's spans
+    of time one by one; a span that has none left takes the next span's first,
+    from a table of one row for each symbol and span.
     """
-    w = Window.partitionBy("symbol").orderBy("at", "kind", "seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    seen = obs.select("symbol", F.col("ts_us").alias("at"), F.lit(1).alias("kind"), "seq", F.col("mid_raw").alias("mid_h"), *(F.lit(None).cast("long").alias(c) for c in ("mid_raw", "s", "px_raw", "size")))
-    asked = fills.select("symbol", (F.col("ts_us") + horizon_us).alias("at"), F.lit(0).alias("kind"), "seq", F.lit(None).cast("long").alias("mid_h"), "mid_raw", "s", "px_raw", "size")
-    end = Window.partitionBy("symbol").orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    both = seen.union(asked).select("*", F.first("mid_h", ignorenulls=True).over(w).alias("later"), F.last("mid_h", ignorenulls=True).over(end).alias("final"))
-    done = both.where("kind = 0").select("symbol", "seq", "s", "size", "px_raw", "mid_raw", F.coalesce("later", "final").alias("mid_h"))
+    span = F.expr(f"at DIV {span_us}").alias("span")
+    bare = ("mid_raw", "s", "px_raw", "size")
+    seen = obs.select("symbol", F.col("ts_us").alias("at"), F.lit(1).alias("kind"), "seq", F.col("mid_raw").alias("mid_h"), *(F.lit(None).cast("long").alias(c) for c in bare))
+    asked = fills.select("symbol", (F.col("ts_us") + horizon_us).alias("at"), F.lit(0).alias("kind"), "seq", F.lit(None).cast("long").alias("mid_h"), *bare)
+    both = seen.union(asked).select("*", span)
+    key = F.when(F.col("kind") == 1, F.struct("at", "seq"))
+    ends = both.groupBy("symbol", "span").agg(F.min_by("mid_h", key).alias("first_mid"), F.max_by("mid_h", key).alias("last_mid"))
+    back = Window.partitionBy("symbol").orderBy(F.desc("span"))
+    every = back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = ends.select("symbol", "span", F.last("first_mid", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("next_mid"), F.first("last_mid", ignorenulls=True).over(every).alias("final_mid"))
+    w = Window.partitionBy("symbol", "span").orderBy(F.desc("at"), F.desc("kind"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = both.withColumn("later", F.last("mid_h", ignorenulls=True).over(w)).where("kind = 0").join(carried, ["symbol", "span"])
+    done = later.select("symbol", "seq", "s", "size", "px_raw", "mid_raw", F.coalesce("later", "next_mid", "final_mid").alias("mid_h"))
     return done.withColumns({"effective": F.expr("2 * s * (mid_raw - px_raw)"), "markout": F.expr("s * (mid_h - mid_raw)")}).withColumns({"realised": F.col("effective") - 2 * F.col("markout"), "toxic": F.col("markout") < -threshold})
 
 
@@ -71,7 +123,7 @@ def toxicity(resolved: DataFrame) -> DataFrame:
 
 def quotes(obs: DataFrame, gamma: float = 0.0025, k: float = 1.5, horizon: float = 250.0) -> DataFrame:
     """(symbol, seq, bid, ask): risk-averse quotes about the mid at no inventory, never better than a tick from it."""
-    v = volatility(obs).join(obs.select("symbol", "seq", "mid_raw"), ["symbol", "seq"])
+    v = volatility(obs)
     risk = F.lit(gamma) * F.pow(F.col("sigma") / 100, 2) * horizon
     half = 0.5 * (0.5 * risk + (1 / gamma) * F.log1p(F.lit(gamma / k)))
     wide = F.greatest(half, F.lit(1.0))

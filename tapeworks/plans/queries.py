@@ -24,11 +24,25 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+#: For DuckDB: one message's outcome and the state after it; {s}: state before, {m}: message.
+OUTCOME = """CASE
+  WHEN {m}tag = 'A' AND ({s}live OR {m}order_id = 0) THEN 'duplicate_order'
+  WHEN {m}tag = 'A' AND {m}qty = 0 THEN 'zero_size'
+  WHEN {m}tag = 'A' THEN 'ok'
+  WHEN NOT {s}live THEN 'unknown_order'
+  WHEN {m}tag <> 'D' AND {m}qty > {s}rem THEN 'over_reduce'
+  ELSE 'ok' END"""
+LIVE = "CASE WHEN {o} <> 'ok' THEN {s}live WHEN {m}tag = 'A' THEN true WHEN {m}tag = 'D' THEN false ELSE {m}qty < {s}rem END"
+LEFT = "CASE WHEN {o} <> 'ok' THEN {s}rem WHEN {m}tag = 'A' THEN {m}qty WHEN {m}tag = 'D' THEN 0 ELSE {s}rem - {m}qty END"
+STATE = """CASE WHEN {o} <> 'ok' THEN {s}state WHEN {m}tag = 'A' THEN 0 WHEN {m}tag = 'D' THEN 3
+  WHEN {m}tag = 'X' THEN CASE WHEN {m}qty = {s}rem THEN 3 ELSE 0 END ELSE CASE WHEN {m}qty = {s}rem THEN 2 ELSE 1 END END"""
+
+
 def fold_sql() -> str:
     """Orders' lives by recursion over each order's messages, in order."""
     s, m = "f.", "o."
-    outcome = book.OUTCOME.format(s=s, m=m)
-    live, left, state = (x.format(s=s, m=m, o=f"({outcome})") for x in (book.LIVE, book.LEFT, book.STATE))
+    outcome = OUTCOME.format(s=s, m=m)
+    live, left, state = (x.format(s=s, m=m, o=f"({outcome})") for x in (LIVE, LEFT, STATE))
     placed = f"({outcome}) = 'ok' AND o.tag = 'A'"
     keep = ", ".join(f"CASE WHEN {placed} THEN o.{c} ELSE f.{c} END AS {c}" for c in ("symbol", "side", "px_raw", "ts"))
     return f"""WITH RECURSIVE m AS ({tables.MESSAGES_DUCK}),
@@ -212,7 +226,7 @@ s AS (SELECT symbol, seq, mid_raw, CASE WHEN len(d) < 2 THEN 0.0 ELSE sqrt(CAST(
 
 @query("w05_sigma", SIGMA + " SELECT symbol, seq, round(sigma, 6) AS sigma, round(sigma / mid_raw, 9) AS sigma_fraction FROM s")
 def w05(spark, sf_dir):
-    return series.volatility(tables.observations(spark, sf_dir))
+    return series.volatility(tables.observations(spark, sf_dir)).drop("mid_raw")
 
 
 @query("w07_position", OBS + " SELECT symbol, seq, sum(s * size) OVER w AS position, -sum(s * size * px_raw) OVER w AS cash FROM fills WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")

@@ -110,8 +110,7 @@ h AS (SELECT *, 0.0025 * sigma * sigma * 250.0 AS risk FROM x), g AS (SELECT *,
 SELECT symbol, seq, CAST(round(middle - (half + (ln(bid_size) - ln(10)) / 1.5)) AS BIGINT) AS bid, CAST(round(middle + (half + coalesce((ln(ask_size) - ln(10)) / 1.5, 0.0))) AS BIGINT) AS ask FROM g""")
 def t02_model(spark, sf_dir):
     obs = tables.observations(spark, sf_dir)
-    v = series.volatility(obs).join(obs.select("symbol", "seq", "mid_raw"), ["symbol", "seq"])
-    x = v.select("symbol", "seq", "mid_raw", (F.col("sigma") / 100).alias("sigma"), (F.col("seq") % 41 - 20).alias("inventory"), (1 + F.col("seq") % 300).alias("bid_size"), F.when(F.col("seq") % 3 == 0, F.lit(40)).alias("ask_size"))
+    x = series.volatility(obs).select("symbol", "seq", "mid_raw", (F.col("sigma") / 100).alias("sigma"), (F.col("seq") % 41 - 20).alias("inventory"), (1 + F.col("seq") % 300).alias("bid_size"), F.when(F.col("seq") % 3 == 0, F.lit(40)).alias("ask_size"))
     return maker.model_quotes(x).select("symbol", "seq", "bid", "ask")
 
 
