@@ -88,7 +88,7 @@ def followed(kinds: dict[str, str], last_only: bool):
     """Task function: messages sorted by order to what became of them, or to the orders that live after their last one."""
     held = ["symbol", "side", "px_raw", "placed"]
     types = {"symbol": "string", "side": "string", "px_raw": "bigint", "placed": kinds["ts"]}
-    fields = {"order_id": "bigint", **types, "size": "bigint", "state": "int"} if last_only else {**{c: kinds[c] for c in (*tables.ORDER, "order_id", "tag")}, "until": kinds["ts"], "outcome": "string", "live": "boolean", "change": "bigint", **types}
+    fields = {"order_id": "bigint", **types, "size": "bigint", "state": "int"} if last_only else {**{c: kinds[c] for c in (*tables.ORDER, "order_id", "tag")}, "until": kinds["ts"], "outcome": "string", "live": "boolean", "change": "bigint", "left": "bigint", "state": "int", **types}
     ddl = ", ".join(f"{c} {t}" for c, t in fields.items())
     schema = to_arrow_schema(StructType.fromDDL(ddl))
     source = {"placed": "ts"}
@@ -113,7 +113,7 @@ def followed(kinds: dict[str, str], last_only: bool):
             if last_only:
                 out = {"order_id": col["order_id"].take(pa.array(keep)), "size": pa.array(rem[keep]), "state": pa.array(kind[keep].astype(np.int32)), **told}
             else:
-                out = {**col, "outcome": pa.array(OUTCOMES).take(pa.array(outcome)), "live": pa.array(alive), "change": pa.array(change), **told}
+                out = {**col, "outcome": pa.array(OUTCOMES).take(pa.array(outcome)), "live": pa.array(alive), "change": pa.array(change), "left": pa.array(rem), "state": pa.array(kind), **told}
             yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in schema], schema=schema)
             carried = (ids[-1], live[-1], left[-1], state[-1], [r.slice(int(add[-1]) + 1, 1) for r in rows])
 
@@ -129,9 +129,10 @@ def by_order(messages: DataFrame) -> DataFrame:
 
 
 def journal(messages: DataFrame) -> DataFrame:
-    """Messages with what became of them: ORDER's columns, order_id, tag, until, outcome, live, change, symbol, side, px_raw, placed.
+    """Messages with what became of them: ORDER's columns, order_id, tag, until, outcome, live, change, left, state, symbol, side, px_raw, placed.
 
-    change is what the message added to the order's shares; until, when the
+    change is what the message added to the order's shares, left and state are
+    the order's after it, placed is the time of its add; until, when the
     order's next message came (null: never). Messages may have a column state,
     which their adds start with (a snapshot's orders).
     """
@@ -209,10 +210,11 @@ def orphans(messages: DataFrame) -> DataFrame:
     return early.groupBy("order_id").agg(F.count("*").alias("n"))
 
 
-def checksums(orders: DataFrame) -> DataFrame:
-    """(symbol, checksum): FNV-1a over id, price, size and state, 8 little-endian bytes each, of bids, then asks, by priority.
+def checksums(orders: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(*keys, checksum): FNV-1a over id, price, size and state, 8 little-endian bytes each, of bids, then asks, by priority.
 
-    A fold in total order within a symbol; symbols are independent.
+    orders: (*keys, side, order_id, px_raw, size, state, ts). A fold in total
+    order within a key; keys are independent.
     """
 
     def fold(key, rows):
@@ -221,29 +223,81 @@ def checksums(orders: DataFrame) -> DataFrame:
             value = hashes.fnv1a(b"".join(int(x).to_bytes(8, "little") for x in (r.order_id, r.px_raw, r.size, r.state)), value)
         yield (*key, f"{value:016x}")
 
-    return folds.by_key(priority(orders), ["symbol"], ["side", "priority"], fold, "symbol string, checksum string")
+    kinds = dict(orders.dtypes)
+    rows = orders.select(*keys, "side", better().alias("rank"), "ts", "order_id", "px_raw", "size", "state")
+    return folds.by_key(rows, list(keys), ["side", "rank", "ts", "order_id"], fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", checksum string")
 
 
-def combined(sums: DataFrame) -> DataFrame:
-    """(checksum): one value of all symbols' checksums, whatever their order."""
+def combined(sums: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, checksum): one value of all checksums, whatever their order."""
     halves = [F.bit_xor(F.conv(F.substring("checksum", i, 8), 16, 10).cast("long")) for i in (1, 9)]
-    return sums.agg(F.lower(F.concat(*(F.lpad(F.hex(h), 8, "0") for h in halves))).alias("checksum"))
+    return sums.groupBy(*keys).agg(F.lower(F.concat(*(F.lpad(F.hex(h), 8, "0") for h in halves))).alias("checksum"))
 
 
-def top_at(messages: DataFrame, first: str, last: str) -> DataFrame:
-    """(symbol, month, best_bid, best_ask, live_orders): the top of the book at the start of each month, before its messages.
+def fingerprints(orders: DataFrame, ladder: bool = False) -> DataFrame:
+    """(symbol, fingerprint): FNV-1a over each side's numbers of levels, of orders, and shares; with ladder over the levels too.
+
+    The ladder tells each side's number of levels, then each level's price,
+    shares and number of orders, best first, bids before asks.
+    """
+
+    def fold(key, rows):
+        sums = {"B": [0, 0, 0], "S": [0, 0, 0]}
+        told: dict = {"B": [], "S": []}
+        for r in rows:
+            for i, x in enumerate((1, r.order_count, r.agg_size)):
+                sums[r.side][i] += x
+            if ladder:
+                told[r.side] += [r.px_raw, r.agg_size, r.order_count]
+        numbers = [sums[side][i] for i in range(3) for side in "BS"]
+        if ladder:
+            numbers += [x for side in "BS" for x in (sums[side][0], *told[side])]
+        value = hashes.BASIS
+        for x in numbers:
+            value = hashes.fnv1a(int(x).to_bytes(8, "little"), value)
+        yield (*key, f"{value:016x}")
+
+    return folds.by_key(levels(orders).withColumn("rank", better()), ["symbol"], ["side", "rank"], fold, "symbol string, fingerprint string")
+
+
+def canonical(prints: DataFrame) -> DataFrame:
+    """(books, fingerprint): one FNV-1a over the number of books, and each one's symbol and fingerprint, by symbol."""
 
-    Each order tells for itself at which of those times it lived, so there is
-    no join of orders with times, and the maxima are combined before the shuffle.
+    def fold(key, rows):
+        books, value = 0, None
+        for r in rows:
+            if r.symbol is None:
+                books, value = r.books, hashes.fnv1a(int(r.books).to_bytes(8, "little"))
+            else:
+                value = hashes.fnv1a(int(r.fingerprint, 16).to_bytes(8, "little"), hashes.fnv1a(r.symbol.encode(), value))
+        yield books, f"{value:016x}"
+
+    count = prints.agg(F.count("*").alias("books")).select(F.lit(0).alias("one"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("fingerprint"), "books")
+    rows = prints.select(F.lit(0).alias("one"), "symbol", "fingerprint", F.lit(None).cast("long").alias("books"))
+    return folds.by_key(count.unionByName(rows), ["one"], ["symbol"], fold, "books bigint, fingerprint string")
+
+
+def lived(messages: DataFrame, first: str, last: str, step: str) -> DataFrame:
+    """(at, symbol, side, order_id, px_raw, size, state, ts): the orders that lived at each of the times, before their messages.
+
+    Times go from first to last by step (year or month). Each order tells for
+    itself at which of them it lived, so there is no join of orders with times.
     """
     kind = dict(messages.dtypes)["ts"]
     end = F.least(F.coalesce("until", F.lit(last).cast(kind)), F.lit(last).cast(kind))
-    start = F.greatest(F.add_months(F.trunc(F.col("ts"), "month"), F.when(F.col("ts") == F.trunc("ts", "month"), 0).otherwise(1)), F.lit(first).cast("date"))
-    start = F.when(start.cast(kind) > F.col("ts"), start).otherwise(F.add_months(start, 1))
-    spans = journal(messages).where("live").select("symbol", "side", "px_raw", start.cast("date").alias("a"), F.trunc(end, "month").alias("b")).where("a <= b")
-    months = spans.select("symbol", "side", "px_raw", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
+    on = F.trunc("ts", step)
+    next_on = F.add_months(on, 12 if step == "year" else 1)
+    start = F.greatest(next_on, F.lit(first).cast("date"))
+    spans = journal(messages).where("live").withColumns({"a": start.cast("date"), "b": F.trunc(end, step)}).where("a <= b")
+    at = F.explode(F.expr(f"sequence(a, b, interval 1 {step})"))
+    return spans.select(at.alias("at"), "symbol", "side", "order_id", "px_raw", F.col("left").alias("size"), "state", F.col("placed").alias("ts"))
+
+
+def top_at(messages: DataFrame, first: str, last: str) -> DataFrame:
+    """(symbol, month, best_bid, best_ask, live_orders): the top of the book at the start of each month, before its messages; maxima are combined before the shuffle."""
+    kind = dict(messages.dtypes)["ts"]
     bid, ask = F.when(F.col("side") == "B", F.col("px_raw")), F.when(F.col("side") == "S", F.col("px_raw"))
-    return months.groupBy("symbol", F.col("month").cast(kind).alias("month")).agg(F.max(bid).alias("best_bid"), F.min(ask).alias("best_ask"), F.count("*").alias("live_orders"))
+    return lived(messages, first, last, "month").groupBy("symbol", F.col("at").cast(kind).alias("month")).agg(F.max(bid).alias("best_bid"), F.min(ask).alias("best_ask"), F.count("*").alias("live_orders"))
 
 
 def tops(messages: DataFrame, piece: Column | None = None) -> DataFrame:

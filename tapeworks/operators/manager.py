@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import folds
-from .risk import LIMITS, NEXT_STATES, Account
+from .risk import FINAL_STATES, LIMITS, NEXT_STATES, Account
 
-FINAL = {"filled", "cancelled", "rejected"}
+FINAL = set(FINAL_STATES)
 #: The state that a venue's or a user's event asks for.
 ASKS = {"ack": "working", "reject": "rejected", "cancel": "pending_cancel", "replace": "pending_replace", "cancel_ack": "cancelled", "replace_ack": "working"}
 MANAGED = "account bigint, seq bigint, slot bigint, event string, status string, state string, leaves bigint, price bigint, original bigint"

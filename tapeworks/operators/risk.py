@@ -8,6 +8,8 @@ from . import folds
 #: Default limits, in shares, raw price (1/10000) and orders a second.
 LIMITS = {"order_notional": 500_000_000, "band": 10_000, "position": 50_000, "gross": 50_000, "rate": 1_000}
 MOST = 2**63 - 1
+#: The states in which an order is over.
+FINAL_STATES = ["filled", "cancelled", "rejected"]
 #: The states that each state may be followed by.
 NEXT_STATES = {
     "pending_new": ["working", "rejected", "filled", "partially_filled", "cancelled"],

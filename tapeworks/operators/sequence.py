@@ -18,6 +18,22 @@ def audited(stream: DataFrame) -> DataFrame:
     return rows.select("session", "arrival", "observed", "expected", state.alias("state"), F.greatest(F.col("observed") - F.col("expected"), F.lit(0).cast("long")).alias("missing"))
 
 
+def resynced(stream: DataFrame, rebase: bool = False) -> DataFrame:
+    """(session, resyncs, accepted, missing, gaps, rejects, clean) of (session, arrival, observed, resync).
+
+    A resync before a message is only counted; with rebase it also makes that
+    message's number the one that was expected.
+    """
+    so_far = by_arrival().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = stream.withColumn("part", F.sum(F.col("resync").cast("long")).over(so_far) if rebase else F.lit(0).cast("long"))
+    w = Window.partitionBy("session", "part").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    seen = parts.withColumn("expected", F.coalesce(F.max(F.col("observed") + 1).over(w), F.col("observed")))
+    gap = F.greatest(F.col("observed") - F.col("expected"), F.lit(0))
+    late = F.count_if(F.col("observed") < F.col("expected"))
+    missing = F.sum(gap)
+    return seen.groupBy("session").agg(F.count_if("resync").alias("resyncs"), F.count_if(F.col("observed") >= F.col("expected")).alias("accepted"), missing.alias("missing"), F.count_if(gap > 0).alias("gaps"), late.alias("rejects"), ((missing == 0) & (late == 0)).alias("clean"))
+
+
 def audited_packets(packets: DataFrame) -> DataFrame:
     """(session, arrival, first, n, expected, state, missing): packets of n messages from number first on.
 

@@ -1 +1 @@
-from . import flow, queries, records, streams, trading  # noqa: F401
+from . import flow, queries, records, recovery, streams, trading  # noqa: F401

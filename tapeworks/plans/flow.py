@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import book, replaces, routing
+from ..operators import book, routing
 from ..sources import tables
 from .queries import FOLD, live, query
 
@@ -18,12 +18,6 @@ def j11(spark, sf_dir):
     return book.top_at(tables.messages(spark, sf_dir), FIRST, LAST)
 
 
-@query("j06_book_asof")
-def j06(spark, sf_dir):
-    """The top of each symbol's book after every message that changed it, and how many were there so far."""
-    return book.tops(tables.messages(spark, sf_dir))
-
-
 SPLIT = "1996-01-01"
 LEVELS = "SELECT symbol, side, px_raw, CAST(sum({s}) AS BIGINT) AS agg_size, count(*) AS order_count FROM {f} GROUP BY symbol, side, px_raw"
 STATE_AT = f", early AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY rn DESC) AS back FROM fold WHERE told IS NULL OR told < TIMESTAMP '{SPLIT}') x WHERE back = 1 AND live), l1 AS ({LEVELS.format(s='rem', f='early')}), l2 AS ({LEVELS.format(s='size', f='live')})"
@@ -41,22 +35,12 @@ def b10(spark, sf_dir):
     return book.slots(book.levels(live(spark, sf_dir)), 998_000, 200, 20).select("symbol", "side", "px_raw", "slot")
 
 
-@query("o09_combined_checksum")
-def o09(spark, sf_dir):
-    return book.combined(book.checksums(live(spark, sf_dir)))
-
-
 @query("o10_fingerprint", FOLD + " SELECT symbol, count(*) AS orders, CAST(sum(size) AS BIGINT) AS shares, CAST(sum(size * px_raw) AS BIGINT) AS notional, count(DISTINCT CASE WHEN side = 'B' THEN px_raw END) AS bid_levels, count(DISTINCT CASE WHEN side = 'S' THEN px_raw END) AS ask_levels FROM live GROUP BY symbol")
 def o10(spark, sf_dir):
     levels = book.levels(live(spark, sf_dir)).withColumn("notional", F.expr("agg_size * px_raw"))
     return levels.groupBy("symbol").agg(F.sum("order_count").alias("orders"), F.sum("agg_size").alias("shares"), F.sum("notional").alias("notional"), F.count_if(F.col("side") == "B").alias("bid_levels"), F.count_if(F.col("side") == "S").alias("ask_levels"))
 
 
-@query("b05_replace")
-def b05(spark, sf_dir):
-    return replaces.live_orders(tables.with_replaces(spark, sf_dir))
-
-
 @query("j04_replace_pairs", f"WITH u AS ({tables.REPLACES_DUCK}) SELECT u.order_id, u.new_id, v.new_id AS then_id FROM u LEFT JOIN u v ON v.order_id = u.new_id")
 def j04(spark, sf_dir):
     u = tables.replaces(spark, sf_dir).select("order_id", "new_id")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prices
 from ..operators import book, risk, sequence, series
-from ..sources import tables, wire
+from ..sources import snapshots, tables, wire
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -59,6 +59,8 @@ live AS (SELECT order_id, symbol, side, px_raw, rem AS size, state, ts FROM (SEL
 
 FOLD = fold_sql()
 OBS = f"WITH obs AS ({tables.OBS_DUCK}), fills AS ({tables.FILLS_DUCK})"
+#: For DuckDB: FNV-1a over numbers of 8 little-endian bytes.
+HASH_BYTES = "list_reduce(flatten(list_transform({s}, lambda x: [x & 255, (x >> 8) & 255, (x >> 16) & 255, (x >> 24) & 255, (x >> 32) & 255, (x >> 40) & 255, (x >> 48) & 255, (x >> 56) & 255])), lambda h, b: (xor(CAST(h AS HUGEINT), CAST(b AS HUGEINT)) * 1099511628211) % 18446744073709551616, CAST(14695981039346656037 AS HUGEINT))"
 BETTER = "CASE WHEN side = 'B' THEN -px_raw ELSE px_raw END"
 
 
@@ -117,11 +119,6 @@ def o07(spark, sf_dir):
     return book.queue_positions(live(spark, sf_dir))
 
 
-@query("o08_checksum")
-def o08(spark, sf_dir):
-    return book.checksums(live(spark, sf_dir))
-
-
 @query("o13_mid", FOLD + " SELECT symbol, (max(CASE WHEN side = 'B' THEN px_raw END) + min(CASE WHEN side = 'S' THEN px_raw END)) // 2 AS mid_raw FROM live GROUP BY symbol HAVING count(DISTINCT side) = 2")
 def o13(spark, sf_dir):
     return book.mids(live(spark, sf_dir))
@@ -155,13 +152,10 @@ def j03(spark, sf_dir):
 
 @query("p09_recovery", FOLD + " SELECT symbol, side, px_raw, sum(size) AS agg_size, count(*) AS order_count FROM live GROUP BY symbol, side, px_raw")
 def p09(spark, sf_dir):
-    """A snapshot's orders as adds, and the messages after it, give the book that all messages give."""
+    """A snapshot's orders, and the messages after it, give the book that all messages give."""
     m = tables.messages(spark, sf_dir)
     at = F.lit("1996-01-01").cast("timestamp_ntz")
-    before, after = m.where(F.col("ts") < at), m.where(F.col("ts") >= at)
-    zero = {"line": F.lit(0), "part": F.lit(0).cast("long"), "supp": F.lit(0).cast("long")}
-    snapshot = book.live_orders(before).withColumns({"kind": F.lit(0), "tag": F.lit("A"), "qty": F.col("size"), **zero}).select(*m.columns)
-    return book.levels(book.live_orders(snapshot.unionByName(after)))
+    return book.levels(snapshots.restored(book.live_orders(m.where(F.col("ts") < at)), m.where(F.col("ts") >= at)))
 
 
 @query("s04_walk", f"SELECT tag, count(*) AS n, CASE tag WHEN 'A' THEN 36 WHEN 'E' THEN 31 WHEN 'C' THEN 36 WHEN 'X' THEN 23 ELSE 19 END AS shortest, CASE tag WHEN 'A' THEN 36 WHEN 'E' THEN 31 WHEN 'C' THEN 36 WHEN 'X' THEN 23 ELSE 19 END AS longest, 0 AS bad, sum(qty) FILTER (tag <> 'D') AS shares, sum(order_id) AS ids FROM ({tables.MESSAGES_DUCK}) m GROUP BY tag")

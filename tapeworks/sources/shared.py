@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder, and in it one for this application, which clear() removes.
+
+    Where none is set, a local session gets a temporary one; on a cluster that
+    would be another folder on each machine, so it is an error there.
+    """
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or (held.get() if held.isDefined() else os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getuid()}"))
+    named = named or (held.get() if held.isDefined() else None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getuid()}")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named}/{spark.sparkContext.applicationId}"
 
 
 def fresh(spark: SparkSession, kind: str) -> str:
@@ -19,7 +29,14 @@ def fresh(spark: SparkSession, kind: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again."""
+    """df, written to the shared folder and read again, so that lost executors cost no recomputation."""
     to = fresh(df.sparkSession, "cut")
     df.write.parquet(to)
     return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has cut; DataFrames that read it must be done with."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(conf).delete(path, True)

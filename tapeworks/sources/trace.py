@@ -91,6 +91,30 @@ def dump(orders: DataFrame) -> DataFrame:
     return parts.select("symbol", n.alias("n"), F.concat_ws(" ", n.cast("string"), "text").alias("line"))
 
 
+def write_dump(orders: DataFrame, path: str) -> None:
+    """Each symbol's dump, and its checksum as a comment, as text in a folder of its own."""
+    sums = book.checksums(orders).select("symbol", F.lit(None).cast("long").alias("n"), F.concat(F.lit("# checksum "), "checksum").alias("line"))
+    lines = dump(orders).unionByName(sums)
+    lines.repartition("symbol").sortWithinPartitions("symbol", F.asc_nulls_last("n")).select("symbol", "line").write.partitionBy("symbol").text(path)
+
+
+def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Dumps read back: levels (symbol, n, side, px_raw, order_count, agg_size), orders (symbol, n, side, order_id, px_raw, size, state, position) and checksums (symbol, checksum).
+
+    Blank lines and other comments are skipped; numbers that don't parse are null.
+    """
+    text = spark.read.schema("value string, symbol string").text(path).select("symbol", F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"))
+    p = F.split("line", " ")
+    number = lambda i: F.conv(F.get("p", F.lit(i)), 16, 10).try_cast("bigint")
+    plain = lambda i, kind: F.get("p", F.lit(i)).try_cast(kind)
+    side = F.when(F.get("p", F.lit(2)) == "B", "B").otherwise("S").alias("side")
+    rows = text.where("line <> '' AND NOT startswith(line, '#')").withColumn("p", p)
+    levels = rows.where("get(p, 1) = 'L'").select("symbol", plain(0, "bigint").alias("n"), side, number(3).alias("px_raw"), plain(4, "bigint").alias("order_count"), number(5).alias("agg_size"))
+    orders = rows.where("get(p, 1) = 'O'").select("symbol", plain(0, "bigint").alias("n"), side, number(3).alias("order_id"), number(4).alias("px_raw"), number(5).alias("size"), plain(6, "int").alias("state"), plain(7, "bigint").alias("position"))
+    sums = text.where("startswith(line, '# checksum ')").select("symbol", F.substring_index("line", " ", -1).alias("checksum"))
+    return levels, orders, sums
+
+
 def inspected(frames: DataFrame) -> DataFrame:
     """(tag, n, last_length, expected, verdict): messages by tag, against the length that the tag should have."""
     lengths = {t: n for t, (n, _) in wire.FIELDS.items()}

@@ -6,9 +6,11 @@ Arrow batches, one row for each frame.
 """
 
 import struct
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values: (name, offset, bytes) of each message's fields after the tag, and its length.
@@ -36,33 +38,54 @@ def number(body: Column, at: int, size: int) -> Column:
     return F.conv(F.hex(F.substring(body, at + 1, size)), 16, 10).cast("decimal(20,0)")
 
 
-def big_endian(value: Column, size: int) -> Column:
-    return F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+def big_endian(value: Column, size: int, kind: str = "bigint") -> Column:
+    """The hex of a number in size bytes; null for one that is negative or too wide. kind: its type, decimal(20,0) for unsigned 64 bits."""
+    if kind.startswith("decimal"):
+        digits, most = F.conv(value.cast("string"), 10, 16), F.lit(str(256**size)).cast("decimal(20,0)")
+        return F.when((value >= 0) & (value < most), F.lpad(digits, 2 * size, "0"))
+    value = value.cast("long")
+    return F.when((value >= 0) & (value < 256**size) if size < 8 else value >= 0, F.lpad(F.hex(value), 2 * size, "0"))
 
 
 def encode(messages: DataFrame) -> DataFrame:
-    """Adds frame, the body of each message (tag A, E, C, X or D) with missing numbers as 0."""
-    hexed = {"side": F.hex(F.coalesce("side", F.lit(" "))), "stock": F.hex(F.rpad(F.coalesce("symbol", F.lit("")), 8, " ")), "printable": F.lit("59")}
-    columns = set(messages.columns)
+    """Adds frame and fits: the body of each message, by its tag, with missing fields as 0 (texts as blanks, printable as Y).
+
+    fits is false, and frame null, where a number is negative or too wide for
+    its field, a text is longer than its field or has characters outside
+    ISO-8859-1, or the tag has no layout. Numbers may come as bigint or
+    decimal(20,0).
+    """
+    kinds = dict(messages.dtypes)
+    columns = set(kinds)
 
     def field(name, size):
-        if name in hexed:
-            return hexed[name]
-        return big_endian(F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long")) if name in columns else F.lit(0), size)
+        name = "symbol" if name == "stock" and "stock" not in columns else name
+        if name not in columns:
+            return F.lit("59" if name == "printable" else "20" * size if name in (*TEXT, "symbol") else "00" * size)
+        if name in (*TEXT, "symbol"):
+            text = F.coalesce(F.col(name).cast("string"), F.lit("Y" if name == "printable" else ""))
+            return F.when((F.length(text) <= size) & ~text.rlike("[^\\x00-\\xFF]"), F.hex(F.encode(F.rpad(text, size, " "), "ISO-8859-1")))
+        return big_endian(F.coalesce(F.col(name), F.lit(0).cast(kinds[name])), size, kinds[name])
 
     body = F.lit(None).cast("string")
-    for tag in "AECXD":
-        parts = [F.lit(f"{ord(tag):02X}"), *(field(n, s) for n, _, s in [*HEADER, *FIELDS[tag][1]])]
-        body = F.when(F.col("tag") == tag, F.concat(*parts)).otherwise(body)
-    return messages.withColumn("frame", F.unhex(body))
+    for tag, (_, fields) in FIELDS.items():
+        body = F.when(F.col("tag") == tag, F.concat(F.lit(f"{ord(tag):02X}"), *(field(n, s) for n, _, s in [*HEADER, *fields]))).otherwise(body)
+    return messages.withColumn("frame", F.unhex(body)).withColumn("fits", F.col("frame").isNotNull())
 
 
-def packets(frames: DataFrame, blocks: int = 64) -> DataFrame:
-    """(session, packet_no, content): frames of (session, seq, frame), seq from 1 on, blocks to a packet."""
-    no = F.expr(f"(seq - 1) DIV {blocks}")
-    block = F.concat(F.lpad(F.hex(F.length("frame").cast("long")), 4, "0"), F.hex("frame"))
+def packets(frames: DataFrame, blocks: int = 64, name: Column | None = None) -> DataFrame:
+    """(session, packet_no, content): frames of (session, seq, frame), blocks to a packet with seq from 1 on, or by a column packet_no.
+
+    A packet tells its first frame's seq, and the session as S and its number
+    unless name tells otherwise. Rows without a frame fail the query: a packet
+    must not count what it doesn't hold.
+    """
+    no = F.col("packet_no") if "packet_no" in frames.columns else F.expr(f"(seq - 1) DIV {blocks}")
+    frame = F.coalesce("frame", F.raise_error(F.concat(F.lit("no frame for message "), F.col("seq").cast("string"))).cast("binary"))
+    block = F.concat(F.lpad(F.hex(F.length(frame).cast("long")), 4, "0"), F.hex(frame))
     grouped = frames.groupBy("session", no.alias("packet_no")).agg(F.array_sort(F.collect_list(F.struct("seq", block.alias("block")))).alias("b"))
-    head = F.concat(F.hex(F.rpad(F.concat(F.lit("S"), F.col("session").cast("string")), 10, " ")), big_endian(F.element_at("b", 1)["seq"], 8), big_endian(F.size("b"), 2))
+    told = F.concat(F.lit("S"), F.col("session").cast("string")) if name is None else name
+    head = F.concat(F.hex(F.rpad(told, 10, " ")), big_endian(F.element_at("b", 1)["seq"], 8), big_endian(F.size("b"), 2))
     return grouped.select("session", "packet_no", F.unhex(F.concat(head, F.array_join("b.block", ""))).alias("content"))
 
 
@@ -73,7 +96,8 @@ def walk(contents: DataFrame, emit_partial: bool = False) -> DataFrame:
     """Frames of (source, content): packets one after the other in each content.
 
     Heartbeats hold no frames; the end-of-session packet ends the walk, and so
-    does a cut header. A cut frame is left out, or told with complete = false.
+    does a cut header. A cut frame is left out, or told with complete = false,
+    and with no declared length where even that is cut.
     """
 
     def frames(batches):
@@ -88,6 +112,8 @@ def walk(contents: DataFrame, emit_partial: bool = False) -> DataFrame:
                         break
                     for i in range(count):
                         if at + 2 > len(data):
+                            if emit_partial:
+                                out.append((source, packet, session.decode("latin-1").rstrip(" "), seq + i, i, None, False, data[at:]))
                             at = len(data)
                             break
                         (size,) = struct.unpack_from(">H", data, at)
@@ -104,11 +130,14 @@ def walk(contents: DataFrame, emit_partial: bool = False) -> DataFrame:
 
 
 def decode(frames: DataFrame) -> DataFrame:
-    """Adds tag, status and every field: ok, truncated, bad_length, unknown_type or malformed, the first that holds."""
+    """Adds tag, status and every field: ok, truncated, truncated_body, bad_length, unknown_type or malformed, the first that holds.
+
+    truncated: fewer than the two bytes of a length were there (declared is
+    null); truncated_body: the body was cut.
+    """
     body = F.col("frame")
     tag = F.when(F.length(body) > 0, F.decode(F.substring(body, 1, 1), "ISO-8859-1"))
     known = F.create_map(*(F.lit(x) for t, (n, _) in FIELDS.items() for x in (t, n)))
-    skipped = tag.isin("F", "R", "M", "Z")
     df = frames.withColumns({"tag": tag}).withColumn("want", F.try_element_at(known, F.col("tag")))
     fields: dict = {n: F.when(F.length(body) >= 11, number(body, o, s).cast("long")) for n, o, s in HEADER}
     for name in dict.fromkeys(n for _, f in FIELDS.values() for n, _, _ in f):
@@ -121,11 +150,13 @@ def decode(frames: DataFrame) -> DataFrame:
         fields[name] = value.cast("string") if name in TEXT else value if name in WIDE else value.cast("long")
     complete = F.col("complete") if "complete" in frames.columns else F.lit(True)
     df = df.withColumns(fields)
-    bad_id = F.col("tag").isin(*"AECXDU") & ((F.col("order_id") == 0) | (F.coalesce(F.col("new_id"), F.lit(1)) == 0))
+    bad_id = F.col("tag").isin(*"AECXDU") & (F.col("order_id") == 0)
+    cut = F.col("declared").isNull() if "declared" in frames.columns else F.lit(False)
     status = (
-        F.when(~complete, "truncated_body")
+        F.when(cut, "truncated")
+        .when(~complete, "truncated_body")
         .when(F.length(body) < 1, "bad_length")
-        .when(F.col("want").isNull(), F.when(skipped, "unknown_type").otherwise("unknown_type"))
+        .when(F.col("want").isNull(), "unknown_type")
         .when(F.length(body) != F.col("want"), "bad_length")
         .when(bad_id | ((F.col("tag") == "A") & ~F.col("side").isin("B", "S")), "malformed")
         .otherwise("ok")
@@ -133,18 +164,78 @@ def decode(frames: DataFrame) -> DataFrame:
     return df.withColumn("status", status).drop("want")
 
 
+def write_captures(contents: DataFrame, folder: str) -> int:
+    """Each row of (source, content) as a file of its own, <source>.bin; the number of files.
+
+    Tasks write under a name of their own first and then move it, so a task
+    that runs again leaves the same files.
+    """
+
+    def put(batches):
+        where, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        for batch in batches:
+            for source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mine = f"{root}/_{source}-{uuid.uuid4().hex}"
+                with where.open_output_stream(mine) as out:
+                    out.write(data)
+                where.move(mine, f"{root}/{source}.bin")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["source"])
+
+    if folder.startswith("file:") or "://" not in folder:
+        fs.LocalFileSystem().create_dir(folder.removeprefix("file://").removeprefix("file:"))
+    return contents.select(F.col("source").cast("long").alias("source"), "content").mapInArrow(put, "source bigint").count()
+
+
+def captures(spark: SparkSession, path: str) -> DataFrame:
+    """(path, source, content): capture files (*.bin) whole, a row for each; source is a number of the path's hash.
+
+    A file is one row, of at most 2 GB; longer captures should be cut between packets. Empty files give none.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
+    return files.select("path", F.xxhash64("path").alias("source"), "content")
+
+
 def inspect(frames: DataFrame) -> DataFrame:
     """(tag, n, shortest, longest, bad): messages by type, their lengths, and how many don't decode."""
     return decode(frames).groupBy("tag").agg(F.count("*").alias("n"), F.min(F.length("frame")).cast("long").alias("shortest"), F.max(F.length("frame")).cast("long").alias("longest"), F.count_if(F.col("status") != "ok").alias("bad"))
 
 
+def same_symbol(one: Column, other: Column) -> Column:
+    """Whether two symbols are the same, whatever their case and the blanks after them."""
+    return F.upper(F.rtrim(one)) == F.upper(F.rtrim(other))
+
+
+def repacked(frames: DataFrame, session: str, skip_to: str | None = None, most_bytes: int | None = None, blocks: int = 64) -> DataFrame:
+    """(source, packet_no, content): raw frames (source, idx, declared, complete, frame) as packets of a session with a name of 10 characters.
+
+    Packets are numbered by their first frame's idx. A source ends at a cut or
+    empty frame. With skip_to it begins at its first message of that tag; with
+    most_bytes it ends at the first frame that would not fit after all packets
+    before its own.
+    """
+    by_idx = Window.partitionBy("source").orderBy("idx")
+    so_far = by_idx.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.col("declared").cast("long") + 2
+    rows = frames.withColumn("whole", F.min(F.coalesce(F.col("complete") & (F.col("declared") > 0), F.lit(False))).over(so_far)).where("whole")
+    if skip_to:
+        hit = F.when(F.substring("frame", 1, 1) == F.lit(skip_to.encode()), F.col("idx"))
+        rows = rows.withColumn("begin", F.min(hit).over(Window.partitionBy("source"))).where("idx >= begin")
+    rows = rows.withColumn("packet_no", F.expr(f"(row_number() OVER (PARTITION BY source ORDER BY idx) - 1) DIV {blocks}"))
+    if most_bytes is not None:
+        rows = rows.withColumn("past", F.sum(size).over(so_far) - size)
+        rows = rows.withColumn("fits", F.min("past").over(Window.partitionBy("source", "packet_no")) + 20 * F.col("packet_no") + size <= most_bytes)
+        rows = rows.withColumn("fits", F.min("fits").over(so_far)).where("fits")
+    made = packets(rows.select(F.col("source").alias("session"), "packet_no", F.col("idx").alias("seq"), "frame"), blocks, F.lit(session))
+    return made.withColumnRenamed("session", "source")
+
+
 def packet_list(frames: DataFrame) -> DataFrame:
     """(source, packet_no, session, first, n): the packets that walked frames come from."""
     return frames.groupBy("source", "packet_no").agg(F.min("session").alias("session"), F.min("seq").cast("long").alias("first"), F.count("*").alias("n"))
 
 
 def walk_raw(contents: DataFrame) -> DataFrame:
-    """(source, idx, declared, complete, frame) of (source, content): frames without packets around them."""
+    """(source, idx, declared, complete, frame) of (source, content): frames without packets around them; a last one may be cut, without declared if its length is."""
 
     def frames(batches):
         for batch in batches:
@@ -156,6 +247,8 @@ def walk_raw(contents: DataFrame) -> DataFrame:
                     body = data[at + 2 : at + 2 + size]
                     out.append((source, i, size, len(body) == size, body))
                     at, i = at + 2 + size, i + 1
+                if data is not None and at < len(data):
+                    out.append((source, i, None, False, data[at:]))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["source", "idx", "declared", "complete", "frame"])
@@ -163,7 +256,12 @@ def walk_raw(contents: DataFrame) -> DataFrame:
     return contents.select("source", "content").mapInArrow(frames, "source bigint, idx bigint, declared int, complete boolean, frame binary")
 
 
+def turned(digits: Column, size: int = 8) -> Column:
+    """Hex digits of size bytes with the bytes in the other order."""
+    return F.concat(*(F.substring(digits, 2 * i - 1, 2) for i in range(size, 0, -1)))
+
+
 def receive_time(payload: Column) -> Column:
     """Nanoseconds of a 16-byte little-endian (seconds, nanoseconds); null where cut or with nanoseconds out of range."""
-    part = [number(F.reverse(F.substring(payload, i, 8)), 0, 8) for i in (1, 9)]
+    part = [F.conv(turned(F.hex(F.substring(payload, i, 8))), 16, 10).cast("decimal(20,0)") for i in (1, 9)]
     return F.when((F.length(payload) >= 16) & (part[1] < 1_000_000_000), (part[0] * 1_000_000_000 + part[1]).cast("decimal(38,0)"))

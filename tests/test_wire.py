@@ -1,5 +1,7 @@
 """Frames written by hand, byte by byte."""
 
+from decimal import Decimal
+
 from tapeworks.functions import prices
 from tapeworks.sources import wire
 from pyspark.sql import functions as F
@@ -49,3 +51,69 @@ def test_prices(spark):
     df = spark.createDataFrame([("1",), ("12.3",), ("0.0001",), ("1.23456",), ("-1",), ("1e3",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(prices.parse_price(F.col("t"))).collect()]
     assert got == [10000, 123000, 1, None, None, None, None, None]
+
+
+def test_encode_fits_or_tells(spark):
+    """Every tag comes back as it went; what doesn't fit its field gets no frame."""
+    kinds = "tag string, order_id decimal(20,0), new_id decimal(20,0), qty long, px_raw long, symbol string, side string, match decimal(20,0), printable string, cross_type string, event_code string, ts_ns long"
+    most = Decimal(2**64 - 1)
+    rows = [(t, most, Decimal(8), 2**32 - 1, 2**32 - 1, "ABCDEFGH", "S", most, "N", "O", "C", 2**48 - 1) for t in wire.FIELDS]
+    back = {r.tag: r for r in wire.decode(wire.encode(spark.createDataFrame(rows, kinds)).where("fits").select("frame")).collect()}
+    assert sorted(back) == sorted(wire.FIELDS) and {r.status for r in back.values()} == {"ok"}
+    assert all(back[t].order_id == 2**64 - 1 and back[t].ts_ns == 2**48 - 1 for t in "AECXDUP")
+    assert (back["U"].new_id, back["U"].px_raw, back["Q"].match, back["Q"].cross_type, back["S"].event_code, back["C"].printable) == (8, 2**32 - 1, 2**64 - 1, "O", "C", "N")
+    odd = [("A", 1, 0, 2**32, 1, "A", "B"), ("A", 1, 0, -1, 1, "A", "B"), ("A", 1, 0, 1, 2**32, "A", "B"), ("A", 1, 0, 1, 1, "TOOLONGNAME", "B"), ("A", 1, 0, 1, 1, "€", "B"), ("K", 1, 0, 1, 1, "A", "B"), ("A", None, None, None, None, None, None)]
+    made = wire.encode(spark.createDataFrame(odd, "tag string, order_id long, new_id long, qty long, px_raw long, symbol string, side string"))
+    assert [r.fits for r in made.collect()] == [False] * 6 + [True]
+    numbered = made.withColumns({"session": F.lit(1), "seq": F.lit(1).cast("long")})
+    try:
+        wire.packets(numbered).collect()
+        raise AssertionError("a packet of frames that are not there")
+    except Exception as e:
+        assert "no frame for message" in str(e)
+
+
+def test_replace_into_nothing_decodes(spark):
+    frame = CASES["replace"][0].replace("0000000000000008", "0000000000000000")
+    assert wire.decode(spark.createDataFrame([(bytearray.fromhex(frame),)], "frame binary")).first().status == "ok"
+
+
+def test_files_are_walked(spark, tmp_path):
+    one = bytes.fromhex(CASES["delete"][0])
+    data = {5: packet(5, 1, one) + packet(6, 2, one, one), 9: packet(1, 3, one, one, one)[:-1], 11: b"", 12: packet(1, 2, one, one)[: -len(one) - 1]}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "source long, content binary")
+    assert wire.write_captures(df, f"{tmp_path}/caps") == 4
+    assert wire.write_captures(df, f"{tmp_path}/caps") == 4
+    files = wire.captures(spark, f"{tmp_path}/caps")
+    assert sorted(bytes(r.content) for r in files.collect()) == sorted(v for v in data.values() if v)
+    w = wire.decode(wire.walk(files, emit_partial=True))
+    assert sorted((r.status, int(r.seq)) for r in w.collect()) == [("ok", 1), ("ok", 1), ("ok", 2), ("ok", 5), ("ok", 6), ("ok", 7), ("truncated", 2), ("truncated_body", 3)]
+
+
+def test_raw_to_packets(spark):
+    tags = "SADAX"
+    raw = b"".join(len(b).to_bytes(2, "big") + b for b in (t.encode() + bytes(i) for i, t in enumerate(tags)))
+    df = lambda data: wire.walk_raw(spark.createDataFrame([(1, bytearray(data))], "source long, content binary"))
+    made = lambda data, **k: [bytes(r.content) for r in sorted(wire.repacked(df(data), "SAMPLE0000", **k).collect(), key=lambda r: r.packet_no)]
+    head = lambda first, n: b"SAMPLE0000" + first.to_bytes(8, "big") + n.to_bytes(2, "big")
+    cuts = [0, 3, 7, 12, 18, 25]
+    assert made(raw) == [head(0, 5) + raw]
+    assert made(raw[:-1], skip_to="A", blocks=2) == [head(1, 2) + raw[3:12], head(3, 1) + raw[12:18]]
+    assert made(raw, skip_to="Z") == []
+    assert made(raw[:7] + b"\0\0" + raw[7:]) == [head(0, 2) + raw[:7]]
+    for most in range(0, 80, 7):
+        want, out, i = [], 0, 0
+        while i < 5:
+            first = i
+            while i < 5 and i - first < 2 and out + cuts[i + 1] - cuts[i] <= most:
+                i += 1
+            if i == first:
+                break
+            want.append(head(first, i - first) + raw[cuts[first] : cuts[i]])
+            out += len(want[-1])
+        assert made(raw, most_bytes=most, blocks=2) == want
+
+
+def test_symbols_alike(spark):
+    df = spark.createDataFrame([("abc  ", "ABC"), ("abc", "abd"), (" abc", "abc")], "a string, b string")
+    assert [r[0] for r in df.select(wire.same_symbol(F.col("a"), F.col("b"))).collect()] == [True, False, False]
