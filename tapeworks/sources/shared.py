@@ -20,7 +20,6 @@ def folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", named)
     return f"{named}/{spark.sparkContext.applicationId}"
 
 

@@ -1,5 +1,7 @@
 """Snapshots, dumps and the shared folder."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,15 +48,16 @@ def test_a_resync_counts_or_sets_the_base(spark):
     assert tuple(sequence.resynced(df, rebase=True).first()) == (0, 1, 6, 8, 2, 0, False)
 
 
-def test_the_folder_is_shared_or_refused(spark, monkeypatch):
+def test_the_folder_is_shared_or_refused(spark):
+    """Without a folder that is shared, a local session gets one of its own, and a cluster an error."""
     assert shared.folder(spark).endswith(spark.sparkContext.applicationId)
-    held = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.unset("spark.checkpoint.dir")
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://there:7077"))
-    try:
-        if not spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
-            with pytest.raises(ValueError):
-                shared.folder(spark)
-    finally:
-        if held:
-            spark.conf.set("spark.checkpoint.dir", held)
+
+    def session(master):
+        nothing = SimpleNamespace(get=lambda *_: None)
+        held = SimpleNamespace(isDefined=lambda: False)
+        context = SimpleNamespace(master=master, applicationId="app", getConf=lambda: nothing, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: held)))
+        return SimpleNamespace(conf=nothing, sparkContext=context)
+
+    assert shared.folder(session("local[4]")).endswith("/app")
+    with pytest.raises(ValueError):
+        shared.folder(session("spark://there:7077"))
