@@ -11,13 +11,17 @@ its own length.
 
 Defined results: null and empty texts, and texts without words, have no words
 and are never hit; items that are null or without words hit nothing; equal
-item_ids count once; rows with equal doc_id are separate documents; extra
-columns, whatever their names, are ignored; empty tables give empty results.
+item_ids count once; rows with equal or null doc_id are separate documents;
+extra columns, whatever their names, are ignored; empty tables give empty
+results.
 
 Scale: documents are read once and shuffled only as counts and hits. A bitmap
-of benchmark fingerprints, of fixed size, spares documents the join where
-nothing can match. It is built while the benchmark has at most
-`FILTER_LIMIT` fingerprints; beyond that every fingerprint goes to the join.
+of benchmark fingerprints (128 MB at most, however large the benchmark) spares
+documents the join where nothing can match. A short item is one hit for each
+document that has it, with all its places. The join takes the benchmark's
+fingerprints to the documents if there are at most `CARRIED` of them; beyond
+that both sides are shuffled by fingerprint, and hits are dealt over `SALTS`
+keys, so that a passage that a third of all documents hold is no single task's.
 """
 
 import numpy as np
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 from . import jobs, text
 
 WINDOW, GRAM = 10, 5
-FILTER_LIMIT, FILTER_BITS = 1_000_000, 26
-#: left: words before a fingerprint, nearest first; right: words after it.
-HIT = "array<struct<fp: bigint, at: int, words: int, before: array<bigint>, after: array<bigint>>>"
+CARRIED, SALTS = 100_000, 16
+#: at: where the words stand; before: words before a fingerprint, nearest first; after: words after it.
+HIT = "array<struct<fp: bigint, at: array<int>, words: int, before: array<bigint>, after: array<bigint>>>"
 
 
 def around(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, k: int, reach: int) -> tuple[pa.Array, pa.Array]:
@@ -73,11 +77,11 @@ def item_rows(window: int, k: int):
 
 
 def doc_rows(window: int, k: int, short: list[int], known):
-    """Task function: (doc_id, text) to doc_id, number of words and possible hits."""
+    """Task function: (row, doc_id, text) to row, doc_id, number of words and possible hits."""
 
     def rows(batches):
         for batch in batches:
-            for c in text.chunks(batch.column(1)):
+            for c in text.chunks(batch.column(2)):
                 w = text.words(c.data, c.offsets, text.PUNCT)
                 who, left, parts = text.owner(w.first), text.room(w.first), []
                 for n in [0, *short]:
@@ -86,16 +90,23 @@ def doc_rows(window: int, k: int, short: list[int], known):
                         at = np.flatnonzero(left[: len(fp)] >= n)
                     else:
                         fp, at = text.grams(w.hash, k), fingerprints(w, window, k)
-                    if known is not None:
-                        at = at[text.may_hold(known.value, fp[at])]
-                    parts.append((at, fp[at], np.full(len(at), n or k)))
+                    at = at[text.may_hold(known.value, fp[at])]
+                    parts.append((at, fp[at], np.full(len(at), n)))
                 at, fp, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.argsort(who[at], kind="stable")
+                order = np.lexsort((at, fp, n, who[at]))
                 at, fp, n = at[order], fp[order], n[order]
-                before, after = around(w.hash, w.first[who[at]], w.first[who[at] + 1], at, k, window - k)
-                hits = pa.StructArray.from_arrays([pa.array(text.signed(fp)), pa.array((at - w.first[who[at]]).astype(np.int32)), pa.array(n.astype(np.int32)), before, after], ["fp", "at", "words", "before", "after"])
-                count = np.bincount(who[at], minlength=len(w.first) - 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start), pa.array(np.diff(w.first)), text.lists(hits, count)], ["doc_id", "n_words", "hits"])
+                owner = who[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (n[1:] == 0) | (n[1:] != n[:-1]) | (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])
+                one = np.flatnonzero(new)
+                places = text.lists(pa.array((at - w.first[owner]).astype(np.int32)), np.diff(np.r_[one, len(at)]))
+                at, fp, n, owner = at[one], fp[one], n[one], owner[one]
+                lo, hi = np.where(n == 0, w.first[owner], at), np.where(n == 0, w.first[owner + 1], at)  # a short item is whole
+                before, after = around(w.hash, lo, hi, at, k, window - k)
+                hits = pa.StructArray.from_arrays([pa.array(text.signed(fp)), places, pa.array(np.where(n == 0, k, n).astype(np.int32)), before, after], ["fp", "at", "words", "before", "after"])
+                count = np.bincount(owner, minlength=len(w.first) - 1)
+                kept = [batch.column(i).slice(c.rows.start, c.rows.stop - c.rows.start) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(w.first)), text.lists(hits, count)], ["row", "doc_id", "n_words", "hits"])
 
     return rows
 
@@ -114,41 +125,44 @@ def covered(spans):
     return F.aggregate(F.array_sort(spans), zero, add, lambda s: s["sum"])
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, n_words, spans, items.
-
-    spans: array of (start, end) word positions hit, overlapping ones apart;
-    items: the item_ids, as strings in order, with windows in the text.
-    """
-    spark = docs.sparkSession
+def by_row(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = GRAM, carried: int = CARRIED) -> DataFrame:
+    """A row for each row of docs (row, doc_id, text): row, doc_id, n_words, spans, items; see find()."""
     index = jobs.cut(items.select("item_id", "text").where("item_id is not null").mapInArrow(item_rows(window, k), "fp bigint, item_id string, words int, before array<bigint>, after array<bigint>").distinct())
-    short = sorted(r["words"] for r in index.where("size(before) + size(after) = 0").select("words").distinct().collect())
-    known = None
-    if index.count() <= FILTER_LIMIT:
-        bits = text.bitmap(FILTER_BITS)
-        text.set_bits(bits, index.select("fp").toArrow()["fp"].to_numpy().view(np.uint64))
-        known = spark.sparkContext.broadcast(bits)
-    found = (
-        docs.select("doc_id", "text")
-        .mapInArrow(doc_rows(window, k, short, known), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint, hits {HIT}")
-        .withColumn("row", F.monotonically_increasing_id())
-        .select("doc_id", "row", "n_words", F.explode_outer("hits").alias("hit"))
-        .select("doc_id", "row", "n_words", "hit.*")
-    )
-    index = index.toDF("fp", "item_id", "item_words", "item_before", "item_after")
+    short = sorted(r["words"] for r in index.where("size(before) + size(after) = 0").select("words").distinct().collect())  # one to window - 1
+    known = jobs.bitmap(index, "fp")
+    kind = dict(docs.dtypes)["doc_id"]
+    found = docs.select("row", "doc_id", "text").mapInArrow(doc_rows(window, k, short, known), f"row bigint, doc_id {kind}, n_words bigint, hits {HIT}")
+    found = found.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "n_words", "hit.*")
     # a row without hits gets a key of its own, or all of them would meet in one partition
-    hits = found.withColumn("fp", F.coalesce("fp", F.xxhash64("row"))).join(index, "fp", "left")
+    found = found.withColumn("fp", F.coalesce("fp", F.xxhash64("row")))
+    told = index.toDF("fp", "item_id", "item_words", "item_before", "item_after")
+    if index.count() <= carried:
+        hits = found.join(F.broadcast(told), "fp", "left")
+    else:
+        spread = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        hits = found.withColumn("salt", F.pmod("row", F.lit(SALTS))).join(spread, ["fp", "salt"], "left")
     left, right = run_length("before", "item_before"), run_length("after", "item_after")
     hits = hits.withColumns({"short": F.size("item_before") + F.size("item_after") == 0, "left": left, "right": right})
     good = F.col("item_id").isNotNull() & (F.col("words") == F.col("item_words")) & (F.col("short") | (F.col("left") + F.col("right") + k >= window))
-    span = F.when(F.col("short"), F.struct(F.col("at").alias("start"), (F.col("at") + F.col("words")).alias("end"))).otherwise(F.struct((F.col("at") - F.col("left")).alias("start"), (F.col("at") + k + F.col("right")).alias("end")))
+    whole = F.transform("at", lambda a: F.struct(a.alias("start"), (a + F.col("words")).alias("end")))
+    grown = F.transform("at", lambda a: F.struct((a - F.col("left")).alias("start"), (a + k + F.col("right")).alias("end")))
+    spans = F.collect_set(F.when(good, F.when(F.col("short"), whole).otherwise(grown)))
     return (
         hits.groupBy("row", "doc_id")
-        .agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(good, span))).alias("spans"), F.array_sort(F.collect_set(F.when(good, F.col("item_id")))).alias("items"))
-        .select("doc_id", "n_words", "spans", "items")
+        .agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(spans))).alias("spans"), F.array_sort(F.collect_set(F.when(good, F.col("item_id")))).alias("items"))
+        .select("row", "doc_id", "n_words", "spans", "items")
     )
 
 
+def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = GRAM, carried: int = CARRIED) -> DataFrame:
+    """A row for each row of docs (doc_id, text): doc_id, n_words, spans, items.
+
+    spans: array of (start, end) word positions hit, overlapping ones apart;
+    items: the item_ids, as strings in order, with windows in the text.
+    """
+    return by_row(jobs.with_rows(docs.select("doc_id", "text")), items, window, k, carried).drop("row")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by the whole benchmark."""
     hits = find(jobs.read(spark, sf_dir, "documents"), jobs.read(spark, sf_dir, "benchmark"))
@@ -157,6 +171,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a word in any benchmark window."""
-    hits = find(docs, jobs.read(spark, sf_dir, "benchmark")).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    """Pipeline stage: documents without a word in any benchmark window.
+
+    Rows are judged each by its own text, whatever their doc_id, null ones and
+    repeated ones too; null and empty texts stay; all columns stay as they are,
+    whatever their names; an empty table gives an empty one.
+    """
+    name = jobs.unused(docs, "row")
+    rows = jobs.with_rows(docs, name)
+    found = by_row(rows.select(F.col(name).alias("row"), "doc_id", "text"), jobs.read(spark, sf_dir, "benchmark"))
+    return jobs.without(rows, name, found.where(F.size("spans") > 0))

@@ -1,17 +1,21 @@
 """What several of these operators need from Spark."""
 
-import os
-import tempfile
-import uuid
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
+from ..sources.shared import cut
 from . import text
 
+#: Steps of a plan under which a file's row is still one row.
+PLAIN = {"Project", "Filter", "Relation", "SubqueryAlias", "GlobalLimit", "LocalLimit", "LogicalRelation"}
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
@@ -19,25 +23,44 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Long texts go to Python in batches of so many rows, so that a worker's memory stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Long texts go to Python in batches of so many rows, so that a worker's memory stays small; a setting of one's own that is lower stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getuid()}")
-    return folder
+    return shared.folder(spark)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, whatever the case."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+def with_rows(docs: DataFrame, name: str = "row") -> DataFrame:
+    """docs with a number for each row, the same whenever docs is computed again; doc_id need be neither unique nor there.
+
+    Rows of files are numbered by place in their file from a hash of its name
+    on (below 2**62, so that files of a million rows overlap as good as never),
+    whoever reads them in whatever splits. Any other docs are numbered and
+    written to the shared folder first.
+    """
+    steps = re.findall(r"^[ :+-]*(\w+)", docs._jdf.queryExecution().analyzed().toString(), re.M)
+    if set(steps) <= PLAIN and "_metadata" not in docs.columns:
+        place = F.shiftrightunsigned(F.xxhash64(F.col("_metadata.file_path")), 2) + F.col("_metadata.row_index")
+        try:
+            return docs.select("*", place.alias(name))
+        except AnalysisException:  # files of a format that doesn't number its rows
+            pass
+    return cut(docs.select("*", F.monotonically_increasing_id().alias(name)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    to = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+def without(docs: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """docs, which has rows numbered by name, less the rows in gone (row), with its own columns."""
+    return docs.join(gone.select(F.col("row").alias(name)), name, "left_anti").drop(name)
 
 
 def bitmap(hashes: DataFrame, column: str, bits_each: int = 16, least: int = 24, most: int = 30) -> Broadcast:
@@ -63,17 +86,17 @@ def id_hashes(column: pa.Array) -> np.ndarray:
 
 
 def id_bitmap(ids: DataFrame) -> Broadcast:
-    """A bitmap of the values of doc_id."""
+    """A bitmap of the values of the one column of ids, a bigint."""
 
     def hashed(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(text.signed(id_hashes(b.column(0))))], ["h"])
 
-    return bitmap(ids.select("doc_id").mapInArrow(hashed, "h bigint"), "h")
+    return bitmap(ids.mapInArrow(hashed, "h bigint"), "h")
 
 
 def with_ids(known: Broadcast, wanted: bool):
-    """Task function: the rows whose doc_id, the first column, may be in the bitmap, or those whose cannot."""
+    """Task function: the rows whose first column may be in the bitmap, or those whose cannot."""
 
     def run(batches):
         for b in batches:

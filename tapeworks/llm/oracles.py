@@ -62,6 +62,19 @@ BARE = "replace(x, ' ', '')"
 TURNED = f"concat(substr({BARE}, 5), substr({BARE}, 1, 4))"
 MOD_97 = f"list_reduce(list_transform(string_split({TURNED}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda v, c: CASE WHEN c < 58 THEN (v * 10 + c - 48) % 97 ELSE (v * 100 + c - 55) % 97 END, 0::BIGINT) = 1"
 KINDS = ["email", "ip", "card", "phone"]
+
+
+def scored() -> str:
+    """One more column for every span: its score, by the words in the characters before it."""
+    from . import pii
+
+    kinds = [*pii.BASE, *pii.ADDED]
+    near = f"lower(substr(t, greatest(starts - {pii.LOOK}, 0) + 1, least(starts, {pii.LOOK})))"
+    base = " ".join(f"WHEN '{k.name}' THEN {k.score}" for k in kinds)
+    lift = " ".join(f"WHEN kind = '{k.name}' AND regexp_matches({near}, '(?:^|[^a-z0-9_])(?:{k.context})') THEN {k.lift}" for k in kinds)
+    return f"SELECT *, CASE kind {base} END + CASE {lift} ELSE 0 END AS score FROM every JOIN (SELECT r, t FROM d) USING (r)"
+
+
 OP7_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 {spans("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")},
@@ -69,10 +82,13 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 {spans("card", r"[0-9](?:[\x20-]?[0-9])+", f"length(digits) BETWEEN 13 AND 19 AND {LUHN}")},
 {spans("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 9 AND 15")},
 {spans("iban", r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b", f"length({BARE}) BETWEEN 15 AND 34 AND {MOD_97}", "replace(t, '_', '-')")},
-every AS ({" UNION ALL ".join(f"SELECT {n} AS k, * FROM s_{kind}" for n, kind in enumerate([*KINDS, "iban"]))}),
+{spans("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(x, '^(?:000|666|9)|-00-|-0000$')")},
+{spans("secret", r"[A-Za-z0-9_-]{20,}", "length(digits) >= 4 AND length(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= 4")},
+every AS ({" UNION ALL ".join(f"SELECT {n} AS k, * FROM s_{kind}" for n, kind in enumerate([*KINDS, "iban", "ssn", "secret"]))}),
+kept AS (SELECT * FROM ({scored()}) WHERE k < 4 OR score >= 0.5),
 told AS (SELECT r, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in KINDS)},
-  string_agg(concat(kind, ':', starts, ':', ends), ',' ORDER BY k, starts) FILTER (WHERE k < 4) AS base, string_agg(concat(kind, ':', starts, ':', ends), ',' ORDER BY k, starts) AS spans FROM every GROUP BY r)
-SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  string_agg(concat(kind, ':', starts, ':', ends), ',' ORDER BY k, starts) FILTER (WHERE k < 4) AS base, string_agg(concat(kind, ':', starts, ':', ends), ',' ORDER BY k, starts) AS spans, string_agg(CAST(CAST(round(score * 100) AS INTEGER) AS VARCHAR), ',' ORDER BY k, starts) AS scores FROM kept GROUP BY r)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN told USING (r)"""
 
 ORACLES = {"op1_decontamination": OP1_SQL, "op5_minhash_neardup": OP5_SQL, "op6_exact_topk": topk.OP6_SQL, "op7_pii": OP7_SQL, "op8_substring_dedup": OP8_SQL}

@@ -208,5 +208,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents, with their ids."""
+    """Pipeline stage: the pieces of all documents, with their ids.
+
+    A null text counts as empty; rows are packed each, whatever their doc_id;
+    other columns are left behind; an empty table gives no pieces.
+    """
     return pack(docs)

@@ -11,13 +11,20 @@ where the pattern itself could begin inside the run) and is never given back
 (possessive quantifiers), which changes none of the leftmost matches.
 
 Positions are code points. They come from the lengths of the matches and of the
-pieces between them.
+pieces between them, added up within groups of `GROUP` matches and then over
+groups, so that a text with very many matches costs no square of them.
+
+Every span has a score: its kind's, more if one of the kind's words stands in
+the `LOOK` characters before it. The base kinds (email, ip, card, phone) are
+all reported, whatever their score; the added ones with a score of at least
+`ADDED_SCORE`. A bank account (iban) has that by its check sum alone, while a
+social security number (ssn) and a key or password (secret), whose checks are
+weak, have it only by the words before them.
 
 Defined results: null texts count as empty and have no spans; matches of one
-kind do not overlap, of different kinds may; rows with equal doc_id are separate
-documents; extra columns are ignored; an empty table gives an empty result. The
-base kinds (email, ip, card, phone) are all reported whatever their score; bank
-accounts (iban) with a score of at least `ADDED_SCORE`.
+kind do not overlap, of different kinds may; rows with equal or null doc_id are
+separate documents; extra columns, whatever their names, are ignored; an empty
+table gives an empty result.
 """
 
 from typing import NamedTuple
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import jobs
 
-LOOK, RAISE, ADDED_SCORE = 40, 0.15, 0.5
+LOOK, ADDED_SCORE, GROUP = 40, 0.5, 256
 
 
 class Kind(NamedTuple):
@@ -35,38 +42,48 @@ class Kind(NamedTuple):
     pattern: str
     hint: str | None  # the text must hold this for a match
     score: float
+    lift: float  # what context adds to the score
     context: str  # words before that raise the score
 
 
 BASE = [
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, "mail|contact|write|reach"),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", None, 0.6, "ip|host|server|address|login"),
-    Kind("card", r"(?<![0-9])[0-9](?:[ -]?[0-9])++", None, 0.7, "card|visa|credit|debit|pay|amex"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.7, "phone|tel|call|mobile|fax|cell"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, 0.15, "mail|contact|write|reach"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", None, 0.6, 0.15, "ip|host|server|address|login"),
+    Kind("card", r"(?<![0-9])[0-9](?:[ -]?[0-9])++", None, 0.7, 0.15, "card|visa|credit|debit|pay|amex"),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.7, 0.15, "phone|tel|call|mobile|fax|cell"),
+]
+ADDED = [
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", None, 0.7, 0.15, "iban|account|bank|transfer"),
+    Kind("ssn", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", "-", 0.35, 0.3, "ssn|social security|tax id"),
+    Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", None, 0.3, 0.4, "token|secret|passw|pwd|api|key|credential"),
 ]
-ADDED = [Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", None, 0.7, "iban|account|bank|transfer")]
 
 
-def proposals(kind: Kind) -> tuple[Column, Column]:
-    """All matches, and the pieces of text between them, if there is a match."""
-    held = F.lit(True) if kind.hint is None else F.contains("text", F.lit(kind.hint))
-    found = F.when(held, F.regexp_extract_all("text", F.lit(kind.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return found, F.when(F.size(f"m_{kind.name}") > 0, F.split("text", kind.pattern, -1))
+def proposals(kind: Kind, text: str, m: str) -> tuple[Column, Column]:
+    """All matches in the column text, and the pieces of text between them, if there is a match; m: the column of the matches."""
+    held = F.lit(True) if kind.hint is None else F.contains(F.col(text), F.lit(kind.hint))
+    found = F.when(held, F.regexp_extract_all(F.col(text), F.lit(kind.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return found, F.when(F.size(m) > 0, F.split(F.col(text), kind.pattern, -1))
+
+
+def group_starts(m: str, p: str) -> Column:
+    """Where each group of matches starts: the lengths of all matches m and pieces p before it, or null without a match."""
+    size = f"aggregate(sequence(g * {GROUP}, least(size({m}), (g + 1) * {GROUP}) - 1), 0, (s, i) -> s + length({p}[i]) + length({m}[i]))"
+    sums = f"transform(sequence(0, (size({m}) - 1) DIV {GROUP}), g -> {size})"
+    return F.when(F.size(m) > 0, F.expr(f"aggregate({sums}, struct(0 AS at, cast(array() AS array<int>) AS out), (s, n) -> struct(s.at + n AS at, concat(s.out, array(s.at)) AS out), s -> s.out)"))
 
 
-def confirmed(kind: Kind) -> Column:
-    """array<struct<kind, start, end, score>> from the columns m_<kind> and p_<kind>."""
-    m, p = f"m_{kind.name}", f"p_{kind.name}"
-    where = F.expr(
-        f"""aggregate(sequence(0, size({m}) - 1), struct(0 AS at, cast(array() AS array<struct<start: int, end: int, x: string>>) AS out),
-        (s, i) -> struct(s.at + length({p}[i]) + length({m}[i]) AS at, concat(s.out, array(struct(s.at + length({p}[i]) AS start, s.at + length({p}[i]) + length({m}[i]) AS end, {m}[i] AS x))) AS out), s -> s.out)"""
-    )
+def confirmed(kind: Kind, text: str, m: str, p: str, g: str) -> Column:
+    """array<struct<kind, start, end, score>> from the columns of matches, pieces and groups' starts."""
+    step = f"struct(s.at + length({p}[i]) + length({m}[i]) AS at, concat(s.out, array(struct(s.at + length({p}[i]) AS start, s.at + length({p}[i]) + length({m}[i]) AS end, {m}[i] AS x))) AS out)"
+    within = f"aggregate(sequence(n * {GROUP}, least(size({m}), (n + 1) * {GROUP}) - 1), struct(at AS at, cast(array() AS array<struct<start: int, end: int, x: string>>) AS out), (s, i) -> {step}, s -> s.out)"
+    where = F.expr(f"flatten(transform({g}, (at, n) -> {within}))")
     good = F.filter(where, lambda s: checks()[kind.name](s["x"]))
 
     def told(s):
-        near = F.lower(F.substring(F.col("text"), F.greatest(s["start"] - LOOK, F.lit(0)) + 1, F.least(s["start"], F.lit(LOOK))))
-        score = F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{kind.context})"), F.lit(RAISE)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
+        near = F.lower(F.substring(F.col(text), F.greatest(s["start"] - LOOK, F.lit(0)) + 1, F.least(s["start"], F.lit(LOOK))))
+        score = F.lit(kind.score) + F.when(near.rlike(rf"(?<![a-z0-9_])(?:{kind.context})"), F.lit(kind.lift)).otherwise(F.lit(0.0))
+        return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(score, 2).alias("score"))
 
     return F.when(F.size(m) > 0, F.transform(good, told)).otherwise(F.array().cast("array<struct<kind: string, start: int, end: int, score: double>>"))
 
@@ -99,42 +116,61 @@ def checks() -> dict:
         "card": lambda x: F.length(digits(x)).between(13, 19) & luhn(x),
         "phone": lambda x: F.length(digits(x)).between(9, 15),
         "iban": mod_97,
+        "ssn": lambda x: ~x.rlike("^(?:000|666|9)|-00-|-0000$"),
+        "secret": lambda x: (F.length(digits(x)) >= 4) & (F.length(F.regexp_replace(x, "[^A-Za-z]", "")) >= 4),
     }
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with base and spans: arrays of (kind, start, end, score) by kind and start."""
+def spanned(docs: DataFrame, base: str, spans: str) -> DataFrame:
+    """docs with two more columns, of names that it doesn't have: the base kinds' spans, and all spans, each by kind and start."""
     kinds = [*BASE, *ADDED]
-    df = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    df = df.withColumns({f"m_{k.name}": proposals(k)[0] for k in kinds})
-    df = df.withColumns({f"p_{k.name}": proposals(k)[1] for k in kinds})
-    df = df.withColumns({f"s_{k.name}": confirmed(k) for k in kinds})
-    added = [F.filter(f"s_{k.name}", lambda s: s["score"] >= ADDED_SCORE) for k in ADDED]
-    base = F.concat(*(F.col(f"s_{k.name}") for k in BASE))
-    return df.withColumns({"base": base, "spans": F.concat(base, *added)}).drop(*(f"{x}_{k.name}" for x in "mps" for k in kinds))
+    name = {(x, k.name): jobs.unused(docs, f"{x}_{k.name}") for x in "mpgs" for k in kinds}
+    text = jobs.unused(docs, "whole_text")
+    df = docs.withColumn(text, F.coalesce("text", F.lit("")))
+    df = df.withColumns({name["m", k.name]: proposals(k, text, name["m", k.name])[0] for k in kinds})
+    df = df.withColumns({name["p", k.name]: proposals(k, text, name["m", k.name])[1] for k in kinds})
+    df = df.withColumns({name["g", k.name]: group_starts(name["m", k.name], name["p", k.name]) for k in kinds})
+    df = df.withColumns({name["s", k.name]: confirmed(k, text, *(name[x, k.name] for x in "mpg")) for k in kinds})
+    added = [F.filter(name["s", k.name], lambda s: s["score"] >= ADDED_SCORE) for k in ADDED]
+    first = F.concat(*(F.col(name["s", k.name]) for k in BASE))
+    return df.withColumns({base: first, spans: F.concat(first, *added)}).drop(text, *name.values())
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, spans) for each row of docs (doc_id, text): arrays of (kind, start, end, score) by kind and start."""
+    return spanned(docs.select("doc_id", "text"), "base", "spans").drop("text")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document."""
-    found = find(jobs.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Personal data in every document; scores: those of spans, in hundredths, in the same order."""
+    found = find(jobs.read(spark, sf_dir, "documents"))
     listed = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     number = lambda name: F.size(F.filter("base", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     counts = [number(k.name) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    scores = F.concat_ws(",", F.transform("spans", lambda s: F.round(s["score"] * 100).cast("int").cast("string")))
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), scores.alias("scores"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every span gives way to its kind in brackets; overlapping spans to the first one's."""
-    found = find(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s, x):
-        gap = F.substring(F.col("text"), s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        out = F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], gap, F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
-
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    clean = F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
+    """Pipeline stage: every span gives way to its kind in brackets; overlapping spans to the first one's.
+
+    All rows stay, whatever their doc_id; a null text stays null; n_chars, if
+    there is such a column, is told anew; all other columns stay as they are,
+    whatever their names; an empty table gives an empty one.
+    """
+    base, spans, parts = (jobs.unused(docs, x) for x in ("base", "spans", "parts"))
+    found = spanned(docs, base, spans)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    # spans that begin within an earlier one go; what is kept of the text are the gaps between the others
+    reach = f"aggregate(sequence(n * {GROUP}, least(size({parts}), (n + 1) * {GROUP}) - 1), 0, (s, i) -> greatest(s, {parts}[i].end))"
+    found = found.withColumn(parts, ordered)
+    ends = jobs.unused(docs, "ends")
+    groups = f"sequence(0, (size({parts}) - 1) DIV {GROUP})"
+    found = found.withColumn(ends, F.when(F.size(parts) > 0, F.expr(f"aggregate(transform({groups}, n -> {reach}), struct(0 AS at, cast(array() AS array<int>) AS out), (s, e) -> struct(greatest(s.at, e) AS at, concat(s.out, array(s.at)) AS out), s -> s.out)")))
+    piece = "concat(substring(text, s.at + 1, x.start - s.at), '[', upper(x.kind), ']')"
+    step = f"CASE WHEN x.start < s.at THEN struct(greatest(s.at, x.end) AS at, s.out AS out) ELSE struct(x.end AS at, concat(s.out, {piece}) AS out) END"
+    within = f"aggregate(slice({parts}, n * {GROUP} + 1, {GROUP}), struct(e AS at, '' AS out), (s, x) -> {step}, s -> s.out)"
+    clean = F.concat(F.array_join(F.expr(f"transform({ends}, (e, n) -> {within})"), ""), F.expr(f"substring(text, array_max(transform({parts}, x -> x.end)) + 1, length(text))"))
+    text = F.when(F.size(parts) > 0, clean).otherwise(F.col("text"))
     done = found.withColumn("text", text)
-    return done.select(*(F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+    return done.select(*(F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))

@@ -10,17 +10,21 @@ whose windows have the same source, a smaller doc_id. Words covered by factors
 are removed. Windows are judged on the input, not on what is left.
 
 Defined results: null, empty and blank texts have no words and keep the empty
-string; documents with fewer words than a window lose nothing; rows with equal
-doc_id are judged alike, and never against each other; extra columns are
-ignored; an empty table gives an empty result.
+string; documents with fewer words than a window lose nothing; each row is a
+document of its own, and rows with equal doc_id never take words from each
+other; a null doc_id is neither smaller nor greater than any, so such rows
+lose nothing and nothing is lost to them; extra columns, whatever their names,
+are ignored; an empty table gives an empty result.
 
 Scale: a first pass counts, for each anchor, whether more than one document
-holds it; the answer is a bitmap of at most 128 MB (anchors that share a bit
-only add lookups). Only windows with such anchors are shuffled, once for each
-document, by their hash, and the least doc_id is aggregated before the shuffle,
-so a passage that a third of all documents share is a few partial rows. Texts of
-documents without hits stay where they are read. Windows are told apart by
-64-bit hashes.
+holds it, as a bitmap of at most 128 MB (anchors that share a bit only add
+lookups). Only windows with such anchors are shuffled, once for each document,
+and the least and the greatest doc_id are aggregated before the shuffle, so a
+passage that a third of all documents share is a few partial rows. A second
+bitmap holds the windows that stand in two doc_ids; only those are shuffled
+again, to learn their sources, and windows of more than `COMMON` rows are dealt
+over `SALTS` keys there. Texts of documents without hits stay where they are
+read. Windows are told apart by 64-bit hashes.
 """
 
 import hashlib
@@ -33,6 +37,7 @@ from pyspark.sql import functions as F
 from . import jobs, text
 
 WINDOW, GRAM = 13, 7
+COMMON, SALTS = 100_000, 64
 
 
 def anchors(window: int, k: int, length: int):
@@ -43,7 +48,7 @@ def anchors(window: int, k: int, length: int):
 
     def rows(batches):
         for batch in batches:
-            for c in text.chunks(batch.column(0), 4 << 20):
+            for c in text.chunks(batch.column(0)):
                 w = text.words(c.data, c.offsets, text.SPACE, lower=False)
                 gram = text.grams(w.hash, k)
                 at = text.minimisers(gram, window - k + 1, text.room(w.first), k)
@@ -61,25 +66,50 @@ def anchors(window: int, k: int, length: int):
     return rows
 
 
-def windows(window: int, k: int, known):
-    """Task function: (doc_id, text) to (win, doc_id, at): each text's different windows whose anchor may be shared."""
+def windows(window: int, k: int, known, shared=None, common=None):
+    """Task function: (row, doc_id, text) to (win, salt, row, doc_id, at): each text's different windows whose anchor is in the bitmap known, or which are in shared themselves.
+
+    salt spreads the rows of a window in the bitmap common.
+    """
 
     def rows(batches):
         for batch in batches:
-            for c in text.chunks(batch.column(1)):
+            keys = batch.column(0).to_numpy()
+            for c in text.chunks(batch.column(2)):
                 w = text.words(c.data, c.offsets, text.SPACE, lower=False)
-                gram = text.grams(w.hash, k)
-                anchor = text.minimisers(gram, window - k + 1, text.room(w.first), k)
-                at = np.flatnonzero(anchor >= 0)
-                at = at[text.may_hold(known.value, gram[anchor[at]])]
-                win, who = text.grams(w.hash, window)[at], text.owner(w.first)[at]
+                if shared is None:
+                    gram = text.grams(w.hash, k)
+                    anchor = text.minimisers(gram, window - k + 1, text.room(w.first), k)
+                    at = np.flatnonzero(anchor >= 0)
+                    at = at[text.may_hold(known.value, gram[anchor[at]])]
+                    win = text.grams(w.hash, window)[at]
+                else:
+                    win = text.grams(w.hash, window)
+                    at = np.flatnonzero((text.room(w.first)[: len(win)] >= window) & text.may_hold(shared.value, win))
+                    win = win[at]
+                who = text.owner(w.first)[at]
                 order = np.lexsort((at, win, who))
                 at, win, who = at[order], win[order], who[order]
                 new = np.ones(len(at), bool)
                 new[1:] = (win[1:] != win[:-1]) | (who[1:] != who[:-1])
                 at, win, who = at[new], win[new], who[new]
-                ids = batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start)
-                yield pa.RecordBatch.from_arrays([pa.array(text.signed(win)), ids.take(pa.array(who)), pa.array((at - w.first[who]).astype(np.int32))], ["win", "doc_id", "at"])
+                row = keys[c.rows][who]
+                salt = np.where(text.may_hold(common.value, win), row % SALTS, 0) if common else np.zeros(len(win), np.int64)
+                ids = batch.column(1).slice(c.rows.start, c.rows.stop - c.rows.start)
+                yield pa.RecordBatch.from_arrays([pa.array(text.signed(win)), pa.array(salt.astype(np.int32)), pa.array(row), ids.take(pa.array(who)), pa.array((at - w.first[who]).astype(np.int32))], ["win", "salt", "row", "doc_id", "at"])
+
+    return rows
+
+
+def spread(common):
+    """Task function: (win, source) to (win, source, salt), once for each salt that windows() gives the window."""
+
+    def rows(batches):
+        for batch in batches:
+            times = np.where(text.may_hold(common.value, batch.column(0).to_numpy().view(np.uint64)), SALTS, 1)
+            which = pa.array(np.repeat(np.arange(batch.num_rows), times))
+            salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(salt.astype(np.int32))], ["win", "source", "salt"])
 
     return rows
 
@@ -145,24 +175,28 @@ def shared_anchors(docs: DataFrame, window: int, k: int, length: int):
     return jobs.bitmap(found.groupBy("anchor").agg(F.sum("docs").alias("docs")).where("docs > 1"), "anchor")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, k: int = GRAM, keep_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, k: int = GRAM, keep_text: bool = True, common: int = COMMON) -> DataFrame:
     """A row for each row of docs (doc_id long, text): doc_id, n_words, n_removed, kept and factors.
 
     kept: the words left, joined by one space, or with keep_text=False their
     SHA-256 in hex. start, length, source: arrays of the factors' first words,
     numbers of words and source documents.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = shared_anchors(docs, window, k, k)
-    win = docs.where("doc_id is not null").mapInArrow(windows(window, k, known), "win bigint, doc_id bigint, at int")
-    first = win.groupBy("win").agg(F.min("doc_id").alias("source"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    hits = win.join(first, "win").where("doc_id > source").groupBy("doc_id").agg(F.collect_set(F.struct("at", "source")).alias("hit"))
-    hits = jobs.cut(hits.select("doc_id", F.col("hit.at").alias("at"), F.col("hit.source").alias("source")))
-    hit = jobs.id_bitmap(hits)
-    plain, schema = "doc_id bigint, text string", "doc_id bigint, n_words bigint, n_removed bigint, kept string, start array<bigint>, length array<bigint>, source array<bigint>"
-    some = docs.mapInArrow(jobs.with_ids(hit, True), plain).join(hits, "doc_id", "left")
+    docs = jobs.with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("row", "doc_id", "text")
+    known, kinds = shared_anchors(docs, window, k, k), "win bigint, salt int, row bigint, doc_id bigint, at int"
+    named = docs.where("doc_id is not null")
+    seen = named.mapInArrow(windows(window, k, known), kinds).groupBy("win").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most"), F.count("*").alias("rows"))
+    first = jobs.cut(seen.where("source < most").select("win", "source", "rows"))
+    shared, often = jobs.bitmap(first, "win"), jobs.bitmap(first.where(F.col("rows") > common), "win", least=16)
+    win = named.mapInArrow(windows(window, k, known, shared, often), kinds)
+    sources = first.select("win", "source").mapInArrow(spread(often), "win bigint, source bigint, salt int")
+    hits = win.join(sources, ["win", "salt"]).where("doc_id > source").groupBy("row").agg(F.collect_set(F.struct("at", "source")).alias("hit"))
+    hits = jobs.cut(hits.select("row", F.col("hit.at").alias("at"), F.col("hit.source").alias("source")))
+    hit = jobs.id_bitmap(hits.select("row"))
+    plain, schema = "row bigint, doc_id bigint, text string", "doc_id bigint, n_words bigint, n_removed bigint, kept string, start array<bigint>, length array<bigint>, source array<bigint>"
+    some = docs.mapInArrow(jobs.with_ids(hit, True), plain).join(hits, "row", "left")
     none = docs.mapInArrow(jobs.with_ids(hit, False), plain).withColumns({"at": F.lit(None).cast("array<int>"), "source": F.lit(None).cast("array<bigint>")})
-    return some.select("doc_id", "text", "at", "source").unionByName(none).mapInArrow(parse(window, keep_text), schema)
+    return some.select("doc_id", "text", "at", "source").unionByName(none.select("doc_id", "text", "at", "source")).mapInArrow(parse(window, keep_text), schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,12 @@ matches of one document are merged to spans, so spans of any length come out
 whole though a suffix carries only `shared` words to its right and w - 1 to its
 left.
 
-Defined results: one row for each span of each document: doc_id, its first
-word, its number of words, and the smallest neighbouring document that shares a
-part of it. Null, blank and short texts give no rows; a span that repeats only
-within one doc_id gives none; extra columns are ignored; an empty table gives an
-empty result.
+Defined results: one row for each span of each row: doc_id, its first word, its
+number of words, and the smallest neighbouring document that shares a part of
+it. Null, blank and short texts give no rows, and neither do rows with a null
+doc_id; a span that repeats only within one doc_id gives none, and rows with
+equal doc_id have spans of their own; extra columns, whatever their names, are
+ignored; an empty table gives an empty result.
 
 Scale: a span of `shared` words has its first minimiser in its first w places,
 so at least shared - w + 1 words follow there. A bitmap of at most 128 MB, folded
@@ -40,15 +41,15 @@ from pyspark.sql import functions as F
 from . import jobs, substrings, text
 
 SHARED, GRAM, SPAN = 50, 8, 24
-ROW = "doc_id bigint, at int, after binary, before binary"
+ROW = "doc_id bigint, at int, after binary, before binary, row bigint"
 
 
 def retained(k: int, w: int, shared: int, known):
-    """Task function: (doc_id, text) to suffixes: doc_id, at, the words after and before (nearest first), 4 bytes each."""
+    """Task function: (row, doc_id, text) to suffixes: doc_id, at, the words after and before (nearest first), 4 bytes each, and row."""
 
     def run(batches):
         for batch in batches:
-            for c in text.chunks(batch.column(1)):
+            for c in text.chunks(batch.column(2)):
                 words = text.words(c.data, c.offsets, text.SPACE, lower=False)
                 gram = text.grams(words.hash, k)
                 at = text.minimisers(gram, w, text.room(words.first), k)
@@ -63,8 +64,8 @@ def retained(k: int, w: int, shared: int, known):
                 here = at.tolist()
                 after = [code[4 * p : 4 * min(p + shared, b)] for p, b in zip(here, hi, strict=True)]
                 before = [back[4 * (n - p) : 4 * (n - max(a, p - w + 1))] for p, a in zip(here, lo, strict=True)]
-                ids = batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), pa.array((at - words.first[who]).astype(np.int32)), pa.array(after, pa.binary()), pa.array(before, pa.binary())], ["doc_id", "at", "after", "before"])
+                keys, ids = (batch.column(i).slice(c.rows.start, c.rows.stop - c.rows.start) for i in range(2))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), pa.array((at - words.first[who]).astype(np.int32)), pa.array(after, pa.binary()), pa.array(before, pa.binary()), keys.take(pa.array(who))], ["doc_id", "at", "after", "before", "row"])
 
     return run
 
@@ -78,8 +79,8 @@ def shared_words(a: bytes, b: bytes) -> int:
     return int(miss[0]) if len(miss) else len(x)
 
 
-def neighbours(rows: list, shared: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """(doc, first word, number of words, other doc) of the sorted suffixes' matches with the nearest ones of other documents; open windows.
+def neighbours(rows: list, shared: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
+    """(doc, first word, number of words, other doc, row) of the sorted suffixes' matches with the nearest ones of other documents; open windows.
 
     An open window, (index of the row, words before the suffix), is one that
     another document may have, because a neighbour shares the words after the
@@ -99,7 +100,7 @@ def neighbours(rows: list, shared: int) -> tuple[list[tuple[int, int, int, int]]
             if near == i - 1:
                 seen[near].append((right, left))
             if left + right >= shared:
-                out += [(row[0], row[1] - left, left + right, beside[0]), (beside[0], beside[1] - left, left + right, row[0])]
+                out += [(row[0], row[1] - left, left + right, beside[0], row[4]), (beside[0], beside[1] - left, left + right, row[0], beside[4])]
         if last is None or rows[last][0] != row[0]:
             other = last
         last = i
@@ -113,7 +114,7 @@ def neighbours(rows: list, shared: int) -> tuple[list[tuple[int, int, int, int]]
             left = shared_words(row[3], beside[3])
             seen[i].append((right, left))
             if left + right >= shared:
-                out += [(row[0], row[1] - left, left + right, beside[0])]
+                out += [(row[0], row[1] - left, left + right, beside[0], row[4])]
         if follow is None or rows[follow][0] != row[0]:
             third = follow
         follow = i
@@ -165,7 +166,7 @@ def sweep(shared: int, w: int, limit: int = 200_000):
     def run(batches):
         rows: list = []
         for batch in batches:
-            rows += zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            rows += zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
             if len(rows) > limit:
                 yield from told(rows)
                 rows = []
@@ -174,39 +175,48 @@ def sweep(shared: int, w: int, limit: int = 200_000):
 
     def told(rows):
         found, unsettled = neighbours(rows, shared)
-        cols = [[x[i] for x in found] for i in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.nulls(len(found), pa.int64())], ["doc_id", "at", "length", "other", "win"])
+        cols = [[x[i] for x in found] for i in range(5)]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "at", "length", "other", "win", "row"])
         for lo in range(0, len(unsettled), 8192):
             some = unsettled[lo : lo + 8192]
             hashes, _ = window_hashes([rows[i][2] for i, _ in some], [rows[i][3] for i, _ in some], shared, w)
             win = hashes[np.arange(len(some)), [j for _, j in some]]
             n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in some], pa.int64()), pa.array([rows[i][1] - j for i, j in some], pa.int32()), pa.array([shared] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(text.signed(win))], ["doc_id", "at", "length", "other", "win"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in some], pa.int64()), pa.array([rows[i][1] - j for i, j in some], pa.int32()), pa.array([shared] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(text.signed(win)), pa.array([rows[i][4] for i, _ in some], pa.int64())], ["doc_id", "at", "length", "other", "win", "row"])
 
     return run
 
 
+def merge(batches):
+    """Task function: (doc_id, spans) to (doc_id, start, length, match_doc_id): overlapping and touching spans as one, with the least other document."""
+    for batch in batches:
+        out: list[list[int]] = []
+        for doc, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            mine: list[list[int]] = []
+            for s in spans:
+                if mine and s["at"] <= mine[-1][2]:
+                    mine[-1][2], mine[-1][3] = max(mine[-1][2], s["end"]), min(mine[-1][3], s["other"])
+                else:
+                    mine.append([doc, s["at"], s["end"], s["other"]])
+            out += mine
+        yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in out], pa.int64()) for f in (lambda x: x[0], lambda x: x[1], lambda x: x[2] - x[1], lambda x: x[3])], ["doc_id", "start", "length", "match_doc_id"])
+
+
 def repeats(docs: DataFrame, shared: int = SHARED, k: int = GRAM, w: int = SPAN) -> DataFrame:
     """(doc_id, start, length, match_doc_id): spans of words that other documents share."""
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = jobs.with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("row", "doc_id", "text").where("doc_id is not null and text is not null")
     known = substrings.shared_anchors(docs, k + w - 1, k, shared - w + 1)
     suffixes = jobs.cut(docs.mapInArrow(retained(k, w, shared, known), ROW))
-    found = jobs.cut(suffixes.repartitionByRange("after", "doc_id", "at").sortWithinPartitions("after", "doc_id", "at").mapInArrow(sweep(shared, w), "doc_id bigint, at int, length int, other bigint, win bigint"))
+    order = ["after", "doc_id", "at", "row"]
+    found = jobs.cut(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep(shared, w), "doc_id bigint, at int, length int, other bigint, win bigint, row bigint"))
     unsettled = found.where("win is not null")
     asked = jobs.bitmap(unsettled, "win")
     held = suffixes.mapInArrow(windows_among(shared, w, asked), "win bigint, doc_id bigint").groupBy("win").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    settled = unsettled.select("win", "doc_id", "at", "length").distinct().join(held, "win").withColumn("other", F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least")))
-    match = found.where("win is null").select("doc_id", "at", "length", "other").union(settled.select("doc_id", "at", "length", "other")).select("doc_id", "at", (F.col("at") + F.col("length")).alias("end"), "other")
-    spans = match.groupBy("doc_id", "at", "end").agg(F.min("other").alias("other")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "end", "other"))).alias("spans"))
-    none = F.array().cast("array<struct<at: int, end: int, other: bigint>>")
-
-    def add(done, x):
-        last = F.element_at(done, -1)
-        longer = F.struct(last["at"].alias("at"), F.greatest(last["end"], x["end"]).alias("end"), F.least(last["other"], x["other"]).alias("other"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["at"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
-
-    merged = spans.select("doc_id", F.explode(F.aggregate("spans", none, add)).alias("s"))
-    return merged.select("doc_id", F.col("s.at").cast("long").alias("start"), (F.col("s.end") - F.col("s.at")).cast("long").alias("length"), F.col("s.other").alias("match_doc_id"))
+    settled = unsettled.select("win", "row", "doc_id", "at", "length").distinct().join(held, "win").withColumn("other", F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least")))
+    columns = ["row", "doc_id", "at", "length", "other"]
+    match = found.where("win is null").select(columns).union(settled.select(columns)).withColumn("end", F.col("at") + F.col("length"))
+    spans = match.groupBy("row", "doc_id", "at", "end").agg(F.min("other").alias("other")).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "end", "other"))).alias("spans"))
+    return spans.select("doc_id", "spans").mapInArrow(merge, "doc_id bigint, start bigint, length bigint, match_doc_id bigint")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,9 @@ number of tokens, and the texts look it up.
 The trie is laid out by depth: all nodes of one depth are found at once as the
 distinct prefix hashes, and their scores come from those of their up to
 `longest` ancestors in numpy, so no Python loop runs over pre-tokens or nodes.
+Pre-tokens of more than `DEEP` bytes, which share next to nothing past that
+depth, are not put in: in slices of each, all pieces at all places are found at
+once, and one pass over the slice's bytes takes the best scores along.
 
 The model: the pieces of a public vocabulary, scored -ln(rank + 2) in
 thousandths, and single bytes, which every text can fall back to, scored
@@ -19,7 +22,8 @@ Defined results: null and blank texts have no tokens; rows with equal doc_id are
 counted each; extra columns are ignored; an empty table gives an empty result.
 
 Scale: one pass without a shuffle; a task holds one trie at a time, over about
-`CHUNK` bytes of text, so memory does not grow with the input.
+`CHUNK` bytes of text, so memory does not grow with the input. A pre-token's
+time is in proportion to its length, however long it is.
 """
 
 import math
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 from . import jobs, text
 
 MODEL, BYTE, CHUNK = "piece_bpe_32k.model", -25_000, 8 << 20
+#: Bytes of a pre-token that goes into the trie at most, and of a slice of a longer one.
+DEEP, SLICE = 128, 1 << 18
 MARK = "▁"
 #: A score and a number of tokens in one number that is compared at once.
 WEIGHT = 1 << 24
@@ -129,6 +135,53 @@ def trie_counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, model: Mod
     return out
 
 
+def long_count(data: np.ndarray, model: Model) -> int:
+    """The token count of one pre-token of any length, with a space put before."""
+    data = np.r_[np.uint8(32), data]
+    longest = max(model.lengths)
+    # best scores, and tokens with them, of the last prefixes: at i % longest that of i bytes
+    score, tokens = [0] * longest, [0] * longest
+    for lo in range(0, len(data), SLICE):
+        hi = min(len(data), lo + SLICE)
+        part = data[max(0, lo - longest + 1) : hi]
+        shift = lo - max(0, lo - longest + 1)
+        up, down = text.powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+        ends, backs, values = [], [], []
+        for back in model.lengths:
+            if back > len(part):
+                break
+            hit, value = model.find(text.mix((total[back:] - total[:-back]) * down[: len(part) + 1 - back]))
+            ends.append(hit + back - shift)
+            backs.append(np.full(len(hit), back))
+            values.append(value)
+        end, back, value = (np.concatenate(x) for x in (ends, backs, values))
+        order = np.argsort(end, kind="stable")
+        order = order[np.searchsorted(end[order], 1) :]
+        bounds = np.searchsorted(end[order], np.arange(1, hi - lo + 2)).tolist()
+        back, value = back[order].tolist(), value[order].tolist()
+        for i in range(lo + 1, hi + 1):
+            before = (i - 1) % longest
+            top, n = score[before] + BYTE, tokens[before] + 1
+            for x in range(bounds[i - lo - 1], bounds[i - lo]):
+                at = (i - back[x]) % longest
+                own = score[at] + value[x]
+                if own > top or own == top and tokens[at] + 1 < n:
+                    top, n = own, tokens[at] + 1
+            score[i % longest], tokens[i % longest] = top, n
+    return tokens[len(data) % longest]
+
+
+def counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model) -> np.ndarray:
+    """Token counts of distinct pre-tokens of any length."""
+    out = np.zeros(len(start), np.int64)
+    deep = end - start > DEEP
+    out[~deep] = trie_counts(data, start[~deep], end[~deep], model)
+    out[deep] = [long_count(data[a:b], model) for a, b in zip(start[deep].tolist(), end[deep].tolist(), strict=True)]
+    return out
+
+
 def count(path: str):
     """Task function: (doc_id, text) to (doc_id, n_pretokens, n_tokens)."""
 
@@ -138,7 +191,7 @@ def count(path: str):
             for c in text.chunks(batch.column(1), CHUNK):
                 w = text.words(c.data, c.offsets, text.SPACE, lower=False)
                 _, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-                each = trie_counts(c.data, w.start[first], w.end[first], model)[back]
+                each = counts(c.data, w.start[first], w.end[first], model)[back]
                 sums = np.r_[0, np.cumsum(each)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start), pa.array(np.diff(w.first)), pa.array(sums[w.first[1:]] - sums[w.first[:-1]])], ["doc_id", "n_pretokens", "n_tokens"])
 

@@ -1,22 +1,25 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Candidates lie in blocks of bounded size, dealt by a hash of the id. In a block
-each dimension has a list of its vectors sorted by that component. A query reads
-all lists from the end that its own component favours, some entries deeper each
-time; every vector met is scored exactly. No unmet vector can score more than
-the sum of the query's components times the list values reached; once the k-th
-best score exceeds that bound the block is done. The best k of all blocks are
-the answer.
+Candidates come to a task in blocks of bounded size. In a block each dimension
+has a list of its vectors sorted by that component. A query reads all lists
+from the end that its own component favours, some entries deeper each time;
+every vector met is scored exactly. No unmet vector can score more than the sum
+of the query's components times the list values reached; once the k-th best
+score, those of earlier blocks included, exceeds that bound the block is done.
+The best k of all blocks are the answer.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite
 component take no part; an inner product is taken only between vectors of equal
 length; rows with a query's own vec_id are no candidates of it; rows that repeat
-another vec_id are candidates each; a repeated query row counts once; ties go to
-the smaller vec_id; extra columns are ignored; empty tables give empty results.
-
-Scale: queries are dealt into blocks too, and each pair of a query block and a
-candidate block is one unit of work, so neither side has to fit anywhere. Only
-k scores for each query and block are shuffled.
+another vec_id are candidates each; of query rows that repeat a vec_id the
+least vector counts; ties go to the smaller vec_id; extra columns are ignored;
+empty tables give empty results.
+
+Scale: candidates are dealt into slices and queries into groups, both by the
+bytes there are, and each pair of them is one key of a single shuffle: no join,
+and no key that all rows share. A task holds one group of queries and k scores
+for each, and goes through its candidates as a stream, in blocks of `BLOCK`
+bytes. A candidate is sent once for each `GROUP` bytes of queries.
 """
 
 import numpy as np
@@ -26,14 +29,9 @@ from pyspark.sql import functions as F
 
 from . import jobs
 
-BLOCK, QUERIES, K, SCALE, EVERY = 8192, 1024, 5, 256, 50
-BLOB = "dim int, block int, ids binary, vectors binary"
-
-
-def blob(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """A block's rows as two strings of 64-bit numbers."""
-    vectors = table["vector"].combine_chunks()
-    return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "ids": [table["vec_id"].to_numpy().astype(np.int64).tobytes()], "vectors": [vectors.flatten().to_numpy().astype(np.int64).tobytes()]}, pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+#: Bytes of candidates in a block and in a slice, and of queries in a group, at 8 a component.
+BLOCK, SLICE, GROUP = 4 << 20, 64 << 20, 16 << 20
+K, SCALE, EVERY = 5, 256, 50
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -45,12 +43,12 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def threshold_search(vectors: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the query's best k in a block; order[d] sorts the block by component d."""
+def threshold_search(vectors: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, top: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the query's best k among a block's vectors and top, those known before; order[d] sorts the block by component d."""
     n = len(ids)
     up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
     unmet = ids != own
-    top_id, top_score = ids[:0], vectors[:0, 0]
+    top_id, top_score = top or (ids[:0], vectors[:0, 0])
     lo, hi = 0, max(16, n // 64)
     while True:
         hi = min(hi, n)
@@ -69,37 +67,95 @@ def threshold_search(vectors: np.ndarray, order: np.ndarray, ids: np.ndarray, qu
         lo, hi = hi, 4 * hi
 
 
-def search(k: int):
-    """Task function: (dim, ids, vectors, query_ids, query_vectors) to (query_id, vec_id, score)."""
+class Group:
+    """Queries of one length and their best k so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.top: list = [None] * len(ids)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        largest = max(int(np.abs(x).max(initial=0)) for x in (vectors, self.vectors))
+        kind = np.float64 if largest * largest * vectors.shape[1] < 2**53 else np.int64  # doubles hold such sums exactly
+        vectors, queries = vectors.astype(kind), self.vectors.astype(kind)
+        order = np.argsort(vectors, axis=0, kind="stable").T.copy()
+        for i, (own, q) in enumerate(zip(self.ids.tolist(), queries, strict=True)):
+            found, score = threshold_search(vectors, order, ids, q, own, self.k, self.top[i])
+            self.top[i] = (found, score.astype(np.int64))
+
+    def told(self) -> pa.RecordBatch:
+        some = [(i, t) for i, t in zip(self.ids.tolist(), self.top, strict=True) if t is not None]
+        n = [len(t[0]) for _, t in some]
+        whole = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([i for i, _ in some], np.int64), n)), whole([t[0] for _, t in some]), whole([t[1] for _, t in some])], ["query_id", "vec_id", "score"])
+
+
+def search(k: int, block: int):
+    """Task function: rows (slice, part, dim, side, vec_id, vector) sorted by the first four to (query_id, vec_id, score).
+
+    Side 0 are a key's queries, side 1 the candidates that they meet.
+    """
 
     def run(batches):
-        for batch in batches:
-            for dim, *raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                ids, flat, query_ids, query_flat = (np.frombuffer(x, np.int64) for x in raw)
-                vectors, queries = flat.reshape(-1, dim), query_flat.reshape(-1, dim)
-                largest = max(int(np.abs(x).max(initial=0)) for x in (vectors, queries))
-                if largest * largest * dim < 2**53:  # doubles hold such sums exactly
-                    vectors, queries = vectors.astype(np.float64), queries.astype(np.float64)
-                order = np.argsort(vectors, axis=0, kind="stable").T.copy()
-                found = [threshold_search(vectors, order, ids, q, own, k) for own, q in zip(query_ids.tolist(), queries, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], ["query_id", "vec_id", "score"])
+        key, group, ids, parts, held = None, None, [], [], 0
 
-    return run
+        def flush():
+            nonlocal ids, parts, held
+            if ids and group is not None:
+                group.meet(np.concatenate(ids), np.concatenate(parts))
+            ids, parts, held = [], [], 0
 
+        asked_ids: list = []
+        asked: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            edge = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)]
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                now, side, dim = tuple(keys[a, :3].tolist()), int(keys[a, 3]), int(keys[a, 2])
+                if now != key:
+                    flush()
+                    if group is not None:
+                        yield group.told()
+                    key, group, asked_ids, asked = now, None, [], []
+                own = batch.column(4).slice(a, b - a).to_numpy()
+                vectors = batch.column(5).slice(a, b - a).flatten().to_numpy().reshape(-1, dim)
+                if side == 0:
+                    asked_ids.append(own)
+                    asked.append(vectors)
+                    continue
+                if group is None and asked:
+                    group = Group(np.concatenate(asked_ids), np.concatenate(asked), k)
+                if group is None:
+                    continue
+                for at in range(0, b - a, max(1, block // (8 * dim))):
+                    some = slice(at, min(b - a, at + max(1, block // (8 * dim))))
+                    ids.append(own[some])
+                    parts.append(vectors[some])
+                    held += vectors[some].nbytes
+                    if held >= block:
+                        flush()
+        flush()
+        if group is not None:
+            yield group.told()
 
-def blocks(vectors: DataFrame, size: int) -> DataFrame:
-    count = vectors.groupBy("dim").agg(F.count("*").alias("rows")).select("dim", F.ceil(F.col("rows") / size).cast("int").alias("blocks"))
-    dealt = vectors.join(F.broadcast(count.limit(1000)), "dim", "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    return dealt.select("dim", "block", "vec_id", "vector").groupBy("dim", "block").applyInArrow(blob, BLOB)
+    return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, slice_bytes: int = SLICE, group_bytes: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score) for vectors and queries of (vec_id long, vector array<bigint>)."""
-    good = lambda df: df.select("vec_id", "vector", F.size("vector").alias("dim"))
-    candidates = blocks(good(vectors), BLOCK)
-    asked = blocks(good(queries.dropDuplicates(["vec_id"])), QUERIES).select("dim", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-    units = candidates.join(asked, "dim").repartition("block", "query_block").select("dim", "ids", "vectors", "query_ids", "query_vectors")
-    found = units.mapInArrow(search(k), "query_id bigint, vec_id bigint, score bigint")
+    spark = vectors.sparkSession
+    vectors = jobs.with_rows(vectors.select("vec_id", "vector")).select("row", "vec_id", "vector", F.size("vector").alias("dim"))
+    queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vec_id", "vector", F.size("vector").alias("dim"))
+    many = lambda df, size: 1 + (df.agg(F.sum(F.col("dim").cast("long"))).first()[0] or 0) * 8 // size
+    slices, groups = max(many(vectors, slice_bytes), spark.sparkContext.defaultParallelism), many(queries, group_bytes)
+    dealt = lambda n, *what: F.pmod(F.xxhash64(*what), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = vectors.select(dealt(slices, "row").alias("slice"), every(groups).alias("part"), "dim", F.lit(1).alias("side"), "vec_id", "vector")
+    asked = queries.select(every(slices).alias("slice"), dealt(groups, "vec_id").alias("part"), "dim", F.lit(0).alias("side"), "vec_id", "vector")
+    units = asked.union(candidates).repartition("slice", "part").sortWithinPartitions("slice", "part", "dim", "side")
+    found = units.mapInArrow(search(k, block), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

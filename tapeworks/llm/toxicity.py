@@ -20,9 +20,10 @@ joined to the texts by their hashes. doc_id only chooses rows and is no
 input of a score, nor are lang and source.
 
 Defined results: null and empty texts get the score of a text without known
-words; rows with equal doc_id are scored each; labels that are null or of no
-document are ignored; without labels of both kinds every score is the share of
-label 1, or 0 without any; extra columns are ignored.
+words; rows with equal or null doc_id are scored each; labels that are null or
+of no document are ignored; without labels of both kinds every score is the
+share of label 1, or 0 without any; extra columns, whatever their names, are
+ignored; an empty table gives an empty result.
 
 Scale: the character model is a table of fixed size. Texts are only shuffled if
 they may have a label. Word counts are aggregated in each task first.
@@ -32,7 +33,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,11 +238,11 @@ def strengths(toxic: np.ndarray, clean: np.ndarray, totals: tuple[int, int]) ->
     return np.where((t >= LEAST - 1) & (odds > 0), odds * t / (t + 1.0), 0.0)
 
 
-FOUND = "doc_id bigint, y int, row bigint, n_words bigint, top array<double>, total double, rare array<bigint>"
+FOUND = "row bigint, doc_id bigint, y int, n_words bigint, top array<double>, total double, rare array<bigint>"
 
 
 def evidence(lexicon, rare, model, with_label: bool):
-    """Task function: (doc_id, text[, y]) to FOUND: the strongest strengths and the sum of all, of the words in the lexicon, and hashes of other words that may count.
+    """Task function: (row, doc_id, text[, y]) to FOUND: the strongest strengths and the sum of all, of the words in the lexicon, and hashes of other words that may count.
 
     A label is taken out of the counts first.
     """
@@ -250,17 +250,15 @@ def evidence(lexicon, rare, model, with_label: bool):
     def run(batches):
         memory: dict = {}
         keys, toxic, clean, totals = lexicon.value
-        context = TaskContext.get()
-        row = (context.partitionId() if context else 0) << 40
         for batch in batches:
-            for c in text.chunks(batch.column(1)):
+            for c in text.chunks(batch.column(2)):
                 value, who, n_words = doc_words(c.data, c.offsets, model.value, memory)
                 n = len(n_words)
                 where = np.minimum(np.searchsorted(keys, value), max(len(keys) - 1, 0))
                 known = keys[where] == value if len(keys) else np.zeros(len(value), bool)
                 hit = np.flatnonzero(known)
                 owner, entry = who[hit], where[hit]
-                y = batch.column(2).to_numpy()[c.rows] if with_label else np.zeros(n, np.int32)
+                y = batch.column(3).to_numpy()[c.rows] if with_label else np.zeros(n, np.int32)
                 out = y[owner] if with_label else np.zeros(len(owner))
                 strong = strengths(toxic[entry] - out, clean[entry] - (1 - out) * with_label, totals)
                 order = np.lexsort((-strong, owner))
@@ -272,17 +270,16 @@ def evidence(lexicon, rare, model, with_label: bool):
                     some = place == k
                     top[owner[some], k] = strong[some]
                 other = np.flatnonzero(~known & text.may_hold(rare.value, value)) if rare else np.zeros(0, np.int64)
-                ids = batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start)
+                ids = [batch.column(i).slice(c.rows.start, c.rows.stop - c.rows.start) for i in range(2)]
                 rest = text.lists(pa.array(text.signed(value[other])), np.bincount(who[other], minlength=n))
-                columns = [ids, pa.array(y.astype(np.int32)), pa.array(row + np.arange(n)), pa.array(n_words.astype(np.int64)), text.lists(pa.array(top.reshape(-1)), np.full(n, 3)), pa.array(np.bincount(owner, strong, n).astype(np.float64)), rest]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "row", "n_words", "top", "total", "rare"])
-                row += n
+                columns = [*ids, pa.array(y.astype(np.int32)), pa.array(n_words.astype(np.int64)), text.lists(pa.array(top.reshape(-1)), np.full(n, 3)), pa.array(np.bincount(owner, strong, n).astype(np.float64)), rest]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "y", "n_words", "top", "total", "rare"])
 
     return run
 
 
 def features(found: DataFrame, rest: DataFrame | None, totals: tuple[int, int], with_label: bool) -> DataFrame:
-    """(doc_id, y, x) of FOUND: the strongest word, the second, the second and third, all over the root of the words; rest (word, toxic, clean) joins the words outside the lexicon."""
+    """(row, doc_id, y, x) of FOUND: the strongest word, the second, the second and third, all over the root of the words; rest (word, toxic, clean) joins the words outside the lexicon."""
     top, total = F.col("top"), F.col("total")
     if rest is not None:
         found = jobs.cut(found)
@@ -295,17 +292,17 @@ def features(found: DataFrame, rest: DataFrame | None, totals: tuple[int, int],
         found = found.join(more.hint("merge"), "row", "left")
         top = F.slice(F.sort_array(F.concat("top", F.coalesce("others", F.array().cast("array<double>"))), False), 1, 3)
         total = total + F.coalesce("more", F.lit(0.0))
-    found = found.select("doc_id", "y", "n_words", top.alias("top"), total.alias("total"))
-    return found.select("doc_id", "y", F.array(F.col("top")[0], F.col("top")[1], F.col("top")[1] + F.col("top")[2], F.col("total") / F.sqrt(1 + F.col("n_words"))).alias("x"))
+    found = found.select("row", "doc_id", "y", "n_words", top.alias("top"), total.alias("total"))
+    return found.select("row", "doc_id", "y", F.array(F.col("top")[0], F.col("top")[1], F.col("top")[1] + F.col("top")[2], F.col("total") / F.sqrt(1 + F.col("n_words"))).alias("x"))
 
 
 def scored(weights):
-    """Task function: (doc_id, x) to (doc_id, score)."""
+    """Task function: (row, doc_id, x) to (row, doc_id, score)."""
 
     def run(batches):
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(weights, x))], ["doc_id", "score"])
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score(weights, x))], ["row", "doc_id", "score"])
 
     return run
 
@@ -315,13 +312,14 @@ def score(weights, x: np.ndarray) -> np.ndarray:
     return learn.sigmoid(np.c_[x, np.ones(len(x))] @ weights) if isinstance(weights, np.ndarray) else np.full(len(x), float(weights))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon_size: int = LEXICON) -> DataFrame:
-    """(doc_id, score) for each row of docs (doc_id long, text); labels: (doc_id, y) to learn from."""
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon_size: int = LEXICON, numbered: bool = False) -> DataFrame:
+    """(row, doc_id, score) for each row of docs (doc_id long, text), which has numbers of its rows in row if numbered; labels: (doc_id, y) to learn from."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs if numbered else jobs.with_rows(docs.select("doc_id", "text"))
+    docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.where("doc_id is not null and y is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"))
     model = spark.sparkContext.broadcast(character_model(docs))
-    train = docs.where("doc_id is not null").mapInArrow(jobs.with_ids(jobs.id_bitmap(known), True), "doc_id bigint, text string").join(known.hint("merge"), "doc_id").select("doc_id", "text", "y")
+    train = docs.where("doc_id is not null").select("doc_id", "row", "text").mapInArrow(jobs.with_ids(jobs.id_bitmap(known.select("doc_id")), True), "doc_id bigint, row bigint, text string").join(known.hint("merge"), "doc_id").select("row", "doc_id", "text", "y")
     train = jobs.cut(train)
     totals = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     both = (totals.get(1, 0), totals.get(0, 0))
@@ -340,10 +338,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon_s
         rare = jobs.bitmap(rest, "word")
     weights = both[0] / max(1, sum(both))
     if min(both):
-        some = train.join(train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct(), "doc_id", "left_semi").select("doc_id", "text", "y")
+        some = train.join(train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct(), "doc_id", "left_semi").select("row", "doc_id", "text", "y")
         x, y = learn.sample(features(some.mapInArrow(evidence(lexicon, rare, model, True), FOUND), rest, both, True), sample)
         weights = learn.logistic(x, y)
-    return features(docs.mapInArrow(evidence(lexicon, rare, model, False), FOUND), rest, both, False).select("doc_id", "x").mapInArrow(scored(weights), "doc_id bigint, score double")
+    return features(docs.mapInArrow(evidence(lexicon, rare, model, False), FOUND), rest, both, False).select("row", "doc_id", "x").mapInArrow(scored(weights), "row bigint, doc_id bigint, score double")
 
 
 def train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,6 +355,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score below the cut."""
-    gone = classify(docs, train_labels(spark, sf_dir)).where(F.col("score") >= CUT).select(F.col("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Pipeline stage: documents that score below the cut.
+
+    Rows are judged each by its own text, whatever their doc_id, null ones and
+    repeated ones too; null and empty texts have no known words, so they stay
+    unless most labels are toxic; all columns stay as they are, whatever their
+    names; an empty table gives an empty one.
+    """
+    name = jobs.unused(docs, "row")
+    rows = jobs.with_rows(docs, name)
+    found = classify(rows.select(F.col(name).alias("row"), "doc_id", "text"), train_labels(spark, sf_dir), numbered=True)
+    return jobs.without(rows, name, found.where(F.col("score") >= CUT))
