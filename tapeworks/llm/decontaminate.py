@@ -139,7 +139,7 @@ def by_row(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = GRA
     if index.count() <= carried:
         hits = found.join(F.broadcast(told), "fp", "left")
     else:
-        spread = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = told.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         hits = found.withColumn("salt", F.pmod("row", F.lit(SALTS))).join(spread, ["fp", "salt"], "left")
     left, right = run_length("before", "item_before"), run_length("after", "item_after")
     hits = hits.withColumns({"short": F.size("item_before") + F.size("item_after") == 0, "left": left, "right": right})

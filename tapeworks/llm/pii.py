@@ -12,7 +12,8 @@ where the pattern itself could begin inside the run) and is never given back
 
 Positions are code points. They come from the lengths of the matches and of the
 pieces between them, added up within groups of `GROUP` matches and then over
-groups, so that a text with very many matches costs no square of them.
+groups, and what stands at a position is looked up in parts of `PART` characters,
+so that a long text with very many matches costs no square of them.
 
 Every span has a score: its kind's, more if one of the kind's words stands in
 the `LOOK` characters before it. The base kinds (email, ip, card, phone) are
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import jobs
 
-LOOK, ADDED_SCORE, GROUP = 40, 0.5, 256
+LOOK, ADDED_SCORE, GROUP, PART = 40, 0.5, 256, 4096
 
 
 class Kind(NamedTuple):
@@ -73,15 +74,18 @@ def group_starts(m: str, p: str) -> Column:
     return F.when(F.size(m) > 0, F.expr(f"aggregate({sums}, struct(0 AS at, cast(array() AS array<int>) AS out), (s, n) -> struct(s.at + n AS at, concat(s.out, array(s.at)) AS out), s -> s.out)"))
 
 
-def confirmed(kind: Kind, text: str, m: str, p: str, g: str) -> Column:
-    """array<struct<kind, start, end, score>> from the columns of matches, pieces and groups' starts."""
+def confirmed(kind: Kind, parts: str, m: str, p: str, g: str) -> Column:
+    """array<struct<kind, start, end, score>> from the columns of the text's parts, matches, pieces and groups' starts."""
     step = f"struct(s.at + length({p}[i]) + length({m}[i]) AS at, concat(s.out, array(struct(s.at + length({p}[i]) AS start, s.at + length({p}[i]) + length({m}[i]) AS end, {m}[i] AS x))) AS out)"
     within = f"aggregate(sequence(n * {GROUP}, least(size({m}), (n + 1) * {GROUP}) - 1), struct(at AS at, cast(array() AS array<struct<start: int, end: int, x: string>>) AS out), (s, i) -> {step}, s -> s.out)"
     where = F.expr(f"flatten(transform({g}, (at, n) -> {within}))")
     good = F.filter(where, lambda s: checks()[kind.name](s["x"]))
 
     def told(s):
-        near = F.lower(F.substring(F.col(text), F.greatest(s["start"] - LOOK, F.lit(0)) + 1, F.least(s["start"], F.lit(LOOK))))
+        first = F.greatest(s["start"] - LOOK, F.lit(0))
+        part = F.floor(first / PART).cast("int")
+        two = F.concat(F.get(F.col(parts), part), F.coalesce(F.get(F.col(parts), part + 1), F.lit("")))
+        near = F.lower(F.substring(two, first - part * PART + 1, F.least(s["start"], F.lit(LOOK))))
         score = F.lit(kind.score) + F.when(near.rlike(rf"(?<![a-z0-9_])(?:{kind.context})"), F.lit(kind.lift)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(score, 2).alias("score"))
 
@@ -125,15 +129,17 @@ def spanned(docs: DataFrame, base: str, spans: str) -> DataFrame:
     """docs with two more columns, of names that it doesn't have: the base kinds' spans, and all spans, each by kind and start."""
     kinds = [*BASE, *ADDED]
     name = {(x, k.name): jobs.unused(docs, f"{x}_{k.name}") for x in "mpgs" for k in kinds}
-    text = jobs.unused(docs, "whole_text")
+    text, parts = jobs.unused(docs, "whole_text"), jobs.unused(docs, "text_parts")
     df = docs.withColumn(text, F.coalesce("text", F.lit("")))
     df = df.withColumns({name["m", k.name]: proposals(k, text, name["m", k.name])[0] for k in kinds})
     df = df.withColumns({name["p", k.name]: proposals(k, text, name["m", k.name])[1] for k in kinds})
     df = df.withColumns({name["g", k.name]: group_starts(name["m", k.name], name["p", k.name]) for k in kinds})
-    df = df.withColumns({name["s", k.name]: confirmed(k, text, *(name[x, k.name] for x in "mpg")) for k in kinds})
+    some = F.greatest(*(F.size(name["m", k.name]) for k in kinds)) > 0
+    df = df.withColumn(parts, F.when(some, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))))
+    df = df.withColumns({name["s", k.name]: confirmed(k, parts, *(name[x, k.name] for x in "mpg")) for k in kinds})
     added = [F.filter(name["s", k.name], lambda s: s["score"] >= ADDED_SCORE) for k in ADDED]
     first = F.concat(*(F.col(name["s", k.name]) for k in BASE))
-    return df.withColumns({base: first, spans: F.concat(first, *added)}).drop(text, *name.values())
+    return df.withColumns({base: first, spans: F.concat(first, *added)}).drop(text, parts, *name.values())
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -158,19 +164,17 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     there is such a column, is told anew; all other columns stay as they are,
     whatever their names; an empty table gives an empty one.
     """
-    base, spans, parts = (jobs.unused(docs, x) for x in ("base", "spans", "parts"))
+    base, spans, sorted_, reach, parts = (jobs.unused(docs, x) for x in ("base", "spans", "sorted_spans", "reach", "text_parts"))
     found = spanned(docs, base, spans)
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    # spans that begin within an earlier one go; what is kept of the text are the gaps between the others
-    reach = f"aggregate(sequence(n * {GROUP}, least(size({parts}), (n + 1) * {GROUP}) - 1), 0, (s, i) -> greatest(s, {parts}[i].end))"
-    found = found.withColumn(parts, ordered)
-    ends = jobs.unused(docs, "ends")
-    groups = f"sequence(0, (size({parts}) - 1) DIV {GROUP})"
-    found = found.withColumn(ends, F.when(F.size(parts) > 0, F.expr(f"aggregate(transform({groups}, n -> {reach}), struct(0 AS at, cast(array() AS array<int>) AS out), (s, e) -> struct(greatest(s.at, e) AS at, concat(s.out, array(s.at)) AS out), s -> s.out)")))
-    piece = "concat(substring(text, s.at + 1, x.start - s.at), '[', upper(x.kind), ']')"
-    step = f"CASE WHEN x.start < s.at THEN struct(greatest(s.at, x.end) AS at, s.out AS out) ELSE struct(x.end AS at, concat(s.out, {piece}) AS out) END"
-    within = f"aggregate(slice({parts}, n * {GROUP} + 1, {GROUP}), struct(e AS at, '' AS out), (s, x) -> {step}, s -> s.out)"
-    clean = F.concat(F.array_join(F.expr(f"transform({ends}, (e, n) -> {within})"), ""), F.expr(f"substring(text, array_max(transform({parts}, x -> x.end)) + 1, length(text))"))
-    text = F.when(F.size(parts) > 0, clean).otherwise(F.col("text"))
-    done = found.withColumn("text", text)
+    found = found.withColumn(sorted_, ordered).withColumn(parts, F.when(F.size(spans) > 0, F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))))
+    # how far the spans before each group of spans reach; spans that begin within an earlier one go
+    groups = f"sequence(0, (size({sorted_}) - 1) DIV {GROUP})"
+    most = f"aggregate(slice({sorted_}, n * {GROUP} + 1, {GROUP}), 0, (s, x) -> greatest(s, x.end))"
+    found = found.withColumn(reach, F.when(F.size(sorted_) > 0, F.expr(f"aggregate(transform({groups}, n -> {most}), struct(0 AS at, cast(array() AS array<int>) AS out), (s, e) -> struct(greatest(s.at, e) AS at, concat(s.out, array(s.at)) AS out), s -> s.out)")))
+    between = f"substring(array_join(slice({parts}, s.at DIV {PART} + 1, greatest(x.start - 1, s.at) DIV {PART} - s.at DIV {PART} + 1), ''), s.at % {PART} + 1, x.start - s.at)"
+    step = f"CASE WHEN x.start < s.at THEN struct(greatest(s.at, x.end) AS at, s.out AS out) ELSE struct(x.end AS at, concat(s.out, {between}, '[', upper(x.kind), ']') AS out) END"
+    within = f"aggregate(slice({sorted_}, n * {GROUP} + 1, {GROUP}), struct(e AS at, '' AS out), (s, x) -> {step}, s -> s.out)"
+    clean = F.concat(F.array_join(F.expr(f"transform({reach}, (e, n) -> {within})"), ""), F.expr(f"substring(text, array_max(transform({sorted_}, x -> x.end)) + 1, length(text))"))
+    done = found.withColumn("text", F.when(F.size(sorted_) > 0, clean).otherwise(F.col("text")))
     return done.select(*(F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
