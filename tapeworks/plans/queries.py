@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import prices
 from ..operators import book, risk, sequence, series
 from ..sources import snapshots, tables, wire
+from . import steps
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -314,7 +315,7 @@ def a09(spark, sf_dir):
     return risk.verdicts(risk_orders(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("r04_token_bucket")
+@query("r04_token_bucket", steps.BUCKET)
 def r04(spark, sf_dir):
     return risk.token_bucket(risk_orders(spark, sf_dir), rate=1)
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import book, replaces, risk, sequence
 from ..sources import shared, snapshots, tables, trace, wire
+from . import steps
 from .queries import BETTER, FOLD, HASH_BYTES, live, query
 from .records import NUMBERED, frames
 
@@ -258,7 +259,7 @@ def j10_bbo(spark, sf_dir):
     return book.differences(book.bbo(book.live_orders(early)), book.bbo(book.live_orders(m).where("order_id % 97 > 3")))
 
 
-@query("b05_replace")
+@query("b05_replace", steps.replaced(FOLD))
 def b05(spark, sf_dir):
     return replaces.live_orders(tables.with_replaces(spark, sf_dir))
 

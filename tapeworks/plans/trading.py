@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.prices import thousands
 from ..operators import book, maker, manager, risk, series, session
 from ..sources import tables
+from . import steps
 from .queries import OBS, SIGMA, query
 
 EVENTS = ["order", "order", "order", "fill", "order", "order", "unfill", "order"]
@@ -23,10 +24,13 @@ def flow(spark, sf_dir, kinds: list[str]):
     return e.select("account", F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), kind.alias("event"), F.when(F.expr("event_id DIV 3 % 2 = 0"), "B").otherwise("S").alias("side"), "price", (F.col("event_id") % 401).alias("qty"), F.lag("price").over(w).alias("reference"), (F.col("event_id") % 5).alias("slot"))
 
 
-@query("r05_checked")
+TIGHT = {**risk.LIMITS, "position": 3000, "gross": 5000}
+
+
+@query("r05_checked", steps.checked(TIGHT, EVENTS))
 def r05(spark, sf_dir):
     """The whole chain of checks with positions that fills move."""
-    return risk.checked(flow(spark, sf_dir, EVENTS), {**risk.LIMITS, "position": 3000, "gross": 5000})
+    return risk.checked(flow(spark, sf_dir, EVENTS), TIGHT)
 
 
 @query("r06_kill_switch", "WITH e AS (SELECT user_id % 16 AS account, event_id AS seq, CASE WHEN event_id % 1500 = 1499 THEN true WHEN event_id % 1500 < 16 THEN false END AS kill FROM events) SELECT account, seq, coalesce(last_value(kill IGNORE NULLS) OVER (PARTITION BY account ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS engaged FROM e")
@@ -45,12 +49,15 @@ def managed(spark, sf_dir):
     return manager.managed(e.withColumn("qty", qty))
 
 
-@query("m02_order_manager")
+MANAGED = steps.managed(risk.LIMITS, STEPS)
+
+
+@query("m02_order_manager", f"{MANAGED} SELECT * FROM managed")
 def m02(spark, sf_dir):
     return managed(spark, sf_dir)
 
 
-@query("a10_reconciled")
+@query("a10_reconciled", f"{MANAGED}, z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account, slot ORDER BY seq DESC) AS back FROM managed WHERE state IS NOT NULL) x WHERE back = 1) SELECT state, count(*) AS orders, CAST(sum(leaves) AS BIGINT) AS leaves FROM z GROUP BY state")
 def a10(spark, sf_dir):
     return manager.reconciled(managed(spark, sf_dir))
 
