@@ -289,6 +289,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = jobs.unused(docs, "row")
     rows = jobs.with_rows(docs, name)
     found = jobs.cut(near_duplicates(rows.select(F.col(name).alias("row"), "doc_id", "text"), words=5, percent=80, perms=48, numbered=True))
-    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
-    gone = found.where("component is not null").join(first, "component").where("row <> stays").select("row")
+    grouped = found.where("component is not null")
+    stays = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    gone = grouped.select("row").join(stays.select("row"), "row", "left_anti")  # by row, as one component may hold a third of all
     return jobs.without(rows, name, gone)
