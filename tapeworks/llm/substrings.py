@@ -38,6 +38,8 @@ from . import jobs, text
 
 WINDOW, GRAM = 13, 7
 COMMON, SALTS = 100_000, 64
+#: Bytes of text that a task works on at once.
+CHUNK = 1 << 18
 
 
 def anchors(window: int, k: int, length: int):
@@ -48,7 +50,7 @@ def anchors(window: int, k: int, length: int):
 
     def rows(batches):
         for batch in batches:
-            for c in text.chunks(batch.column(0)):
+            for c in text.chunks(batch.column(0), CHUNK):
                 w = text.words(c.data, c.offsets, text.SPACE, lower=False)
                 gram = text.grams(w.hash, k)
                 at = text.minimisers(gram, window - k + 1, text.room(w.first), k)
@@ -75,7 +77,7 @@ def windows(window: int, k: int, known, shared=None, common=None):
     def rows(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for c in text.chunks(batch.column(2)):
+            for c in text.chunks(batch.column(2), CHUNK):
                 w = text.words(c.data, c.offsets, text.SPACE, lower=False)
                 if shared is None:
                     gram = text.grams(w.hash, k)
@@ -143,7 +145,7 @@ def parse(window: int, keep_text: bool):
         for batch in batches:
             out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": [], "start": [], "length": [], "source": []}
             at_list, source_list = batch.column(2), batch.column(3)
-            for c in text.chunks(batch.column(1)):
+            for c in text.chunks(batch.column(1), CHUNK):
                 w = text.words(c.data, c.offsets, text.SPACE, lower=False)
                 raw = c.data.tobytes()
                 for i in range(c.rows.stop - c.rows.start):

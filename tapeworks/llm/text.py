@@ -77,7 +77,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int, made: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     """BASE**i and BASE**-i modulo 2**64 for i below n at least; grown as texts ask for it."""
-    size = 1 << max(21, (n - 1).bit_length())
+    size = 1 << max(19, (n - 1).bit_length())
     if made.get("size", 0) < size:
         made["up"], made["down"] = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, b, np.uint64)]) for b in (np.uint64(BASE), np.uint64(pow(BASE, -1, 2**64))))
         made["size"] = size
