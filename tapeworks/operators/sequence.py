@@ -4,16 +4,17 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from . import folds
+from .prefix import before
 
 
 def by_arrival() -> WindowSpec:
     return Window.partitionBy("session").orderBy("arrival")
 
 
-def audited(stream: DataFrame) -> DataFrame:
+def audited(stream: DataFrame, bucket: int = 1 << 16) -> DataFrame:
     """(session, arrival, observed, expected, state, missing): the first message sets the base."""
-    expected = F.coalesce(F.max(F.col("observed") + 1).over(by_arrival().rowsBetween(Window.unboundedPreceding, -1)), F.col("observed"))
-    rows = stream.withColumn("expected", expected)
+    seen = before(stream.select("session", "arrival", "observed"), {"most": ("observed", "max")}, bucket, "session", "arrival")
+    rows = seen.withColumn("expected", F.coalesce(F.col("most") + 1, F.col("observed")))
     state = F.when(F.col("observed") == F.col("expected"), "ok").when(F.col("observed") > F.col("expected"), "gap").otherwise("duplicate")
     return rows.select("session", "arrival", "observed", "expected", state.alias("state"), F.greatest(F.col("observed") - F.col("expected"), F.lit(0).cast("long")).alias("missing"))
 

@@ -2,27 +2,18 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import before
+
 #: Returns in a volatility, observations in a piece of work, and microseconds in a piece of time.
 WINDOW, PIECE, SPAN_US = 256, 1 << 14, 3_600_000_000
 
 
-def by_symbol() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("seq")
-
-
-def before() -> WindowSpec:
-    return by_symbol().rowsBetween(Window.unboundedPreceding, -1)
-
-
-def so_far() -> WindowSpec:
-    return by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-
-
-def changes(obs: DataFrame) -> DataFrame:
-    return obs.select("symbol", "seq", "mid_raw", (F.col("mid_raw") - F.lag("mid_raw").over(by_symbol())).alias("delta"))
+def changes(obs: DataFrame, bucket: int = 1 << 16) -> DataFrame:
+    rows = before(obs.select("symbol", "seq", "mid_raw"), {"last": ("mid_raw", "last")}, bucket)
+    return rows.select("symbol", "seq", "mid_raw", (F.col("mid_raw") - F.col("last")).alias("delta"))
 
 
 def moves(obs: DataFrame) -> DataFrame:
@@ -79,17 +70,20 @@ def volatility(obs: DataFrame, window: int = WINDOW, size: int = PIECE) -> DataF
     return raw.select("symbol", "seq", F.round("raw", 6).alias("sigma"), F.round(F.col("raw") / F.col("mid_raw"), 9).alias("sigma_fraction"), "mid_raw")
 
 
-def positions(fills: DataFrame) -> DataFrame:
+def positions(fills: DataFrame, bucket: int = 1 << 16) -> DataFrame:
     """(symbol, seq, position, cash) after each fill."""
-    return fills.select("symbol", "seq", F.sum(F.expr("s * size")).over(so_far()).alias("position"), (-F.sum(F.expr("s * size * px_raw")).over(so_far())).alias("cash"))
+    rows = fills.select("symbol", "seq", F.expr("s * size").alias("q"), F.expr("s * size * px_raw").alias("paid"))
+    held = before(rows, {"had": ("q", "sum"), "spent": ("paid", "sum")}, bucket)
+    return held.select("symbol", "seq", (F.col("had") + F.col("q")).alias("position"), (-F.col("spent") - F.col("paid")).alias("cash"))
 
 
-def profit(obs: DataFrame, fills: DataFrame) -> DataFrame:
+def profit(obs: DataFrame, fills: DataFrame, bucket: int = 1 << 16) -> DataFrame:
     """(symbol, seq, equity, step, drawdown) at each observation; it is marked before its own fill counts."""
     both = obs.select("symbol", "seq", "mid_raw").join(fills.select("symbol", "seq", F.expr("s * size").alias("q"), F.expr("s * size * px_raw").alias("paid")), ["symbol", "seq"], "left")
-    held = both.select("symbol", "seq", (F.coalesce(F.sum("q").over(before()), F.lit(0)) * F.col("mid_raw") - F.coalesce(F.sum("paid").over(before()), F.lit(0))).alias("equity"))
-    step = F.col("equity") - F.coalesce(F.lag("equity").over(by_symbol()), F.lit(0))
-    return held.select("symbol", "seq", "equity", step.alias("step"), (F.greatest(F.max("equity").over(so_far()), F.lit(0)) - F.col("equity")).alias("drawdown"))
+    held = before(both, {"had": ("q", "sum"), "spent": ("paid", "sum")}, bucket).select("symbol", "seq", (F.col("had") * F.col("mid_raw") - F.col("spent")).alias("equity"))
+    seen = before(held, {"last": ("equity", "last"), "most": ("equity", "max")}, bucket)
+    zero = F.lit(0).cast("long")
+    return seen.select("symbol", "seq", "equity", (F.col("equity") - F.coalesce("last", zero)).alias("step"), (F.greatest("most", "equity", zero) - F.col("equity")).alias("drawdown"))
 
 
 def markouts(obs: DataFrame, fills: DataFrame, horizon_us: int, threshold: int = 0, span_us: int = SPAN_US) -> DataFrame:

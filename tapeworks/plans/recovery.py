@@ -276,3 +276,21 @@ SELECT num.symbol, num.n, num.ts, num.tag, bid.px AS best_bid, ask.px AS best_as
 def j06(spark, sf_dir):
     """The top of each symbol's book after every message that changed it, and how many were there so far."""
     return book.tops(tables.messages(spark, sf_dir))
+
+
+#: The fields of the messages that the tables give, and their bytes.
+SPECS = {
+    "A": [("order_id", 8), ("side", 1), ("qty", 4), ("stock", 8), ("px_raw", 4)],
+    "E": [("order_id", 8), ("qty", 4), ("match", 8)],
+    "C": [("order_id", 8), ("qty", 4), ("match", 8), ("printable", 1), ("px_raw", 4)],
+    "X": [("order_id", 8), ("qty", 4)],
+    "D": [("order_id", 8)],
+}
+TOLD = ", ".join(f"('{t}', {i}, '{n}', {b})" for t, x in SPECS.items() for i, (n, b) in enumerate([("locate", 2), ("tracking", 2), ("ts_ns", 6), *x]))
+
+
+@query("d12_field_specs", f"WITH spec(tag, place, field, bytes) AS (VALUES {TOLD}), n AS (SELECT tag, count(*) AS n FROM ({tables.MESSAGES_DUCK}) m GROUP BY tag) SELECT tag, place, field, bytes, n, n * bytes AS total FROM spec JOIN n USING (tag)")
+def d12(spark, sf_dir):
+    """The fields of each message that there is, and how many bytes they take up in all."""
+    n = tables.messages(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(trace.field_specs(spark)), "tag").select("tag", "place", "field", "bytes", "n", (F.col("n") * F.col("bytes")).alias("total"))

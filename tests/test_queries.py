@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeworks.operators import book, series
+from tapeworks.operators import book, sequence, series
 from tapeworks.plans import queries as plans
 from tapeworks.sources import tables
 
@@ -140,6 +140,15 @@ def test_pieces_of_a_long_symbol_change_nothing(spark):
     assert whole == parts and len(whole) == 3000
 
 
+def test_series_in_any_buckets(spark, sf):
+    obs = tables.observations(spark, sf)
+    fills = tables.fills(obs)
+    for whole, parts in ((series.changes(obs), series.changes(obs, 7)), (series.positions(fills), series.positions(fills, 7)), (series.profit(obs, fills), series.profit(obs, fills, 7))):
+        assert rows(whole) == rows(parts)
+    sent = tables.transmissions(spark, sf)
+    assert rows(sequence.audited(sent)) == rows(sequence.audited(sent, 5))
+
+
 def test_fold_against_loop_over_many_batches(spark):
     """One order with most messages, orders that die and return, and batches that cut orders."""
     rng = np.random.default_rng(4)
