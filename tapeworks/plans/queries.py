@@ -162,9 +162,7 @@ def p09(spark, sf_dir):
 @query("s04_walk", f"SELECT tag, count(*) AS n, CASE tag WHEN 'A' THEN 36 WHEN 'E' THEN 31 WHEN 'C' THEN 36 WHEN 'X' THEN 23 ELSE 19 END AS shortest, CASE tag WHEN 'A' THEN 36 WHEN 'E' THEN 31 WHEN 'C' THEN 36 WHEN 'X' THEN 23 ELSE 19 END AS longest, 0 AS bad, sum(qty) FILTER (tag <> 'D') AS shares, sum(order_id) AS ids FROM ({tables.MESSAGES_DUCK}) m GROUP BY tag")
 def s04(spark, sf_dir):
     """All messages as binary packets, walked and decoded again."""
-    m = tables.messages(spark, sf_dir).withColumn("session", F.col("order_id") % 64)
-    w = Window.partitionBy("session").orderBy(*tables.ORDER, "order_id")
-    p = wire.packets(wire.encode(m.withColumn("seq", F.row_number().over(w).cast("long"))))
+    p = wire.packets(wire.encode(tables.in_sessions(tables.messages(spark, sf_dir))))
     d = wire.decode(wire.walk(p.select(F.col("session").alias("source"), "content")))
     return d.groupBy("tag").agg(F.count("*").alias("n"), F.min(F.length("frame")).alias("shortest"), F.max(F.length("frame")).alias("longest"), F.count_if(F.col("status") != "ok").alias("bad"), F.sum("qty").cast("long").alias("shares"), F.sum("order_id").cast("long").alias("ids"))
 

@@ -1,6 +1,5 @@
 """Queries of binary and text records: packets, traces, dumps and write-ahead logs."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import sequence
@@ -13,9 +12,7 @@ NUMBERED = f"WITH m AS ({tables.MESSAGES_DUCK}), n AS (SELECT *, order_id % 64 A
 
 def frames(spark, sf_dir):
     """(session, seq, frame): all messages as frames of 64 sessions."""
-    m = tables.messages(spark, sf_dir).withColumn("session", F.col("order_id") % 64)
-    w = Window.partitionBy("session").orderBy(*tables.ORDER, "order_id")
-    return wire.encode(m.withColumn("seq", F.row_number().over(w).cast("long")))
+    return wire.encode(tables.in_sessions(tables.messages(spark, sf_dir)))
 
 
 def walked(spark, sf_dir):

@@ -80,11 +80,11 @@ def o11(spark, sf_dir):
 
 @query("s01_capture_files", f"SELECT tag, count(*) AS n, CAST(sum({SIZE}) AS BIGINT) AS bytes, CAST(sum(qty) FILTER (tag <> 'D') AS BIGINT) AS shares, CAST(sum(order_id) AS BIGINT) AS ids FROM ({tables.MESSAGES_DUCK}) m GROUP BY tag")
 def s01(spark, sf_dir):
-    """Each session's packets in a capture file, read, walked and decoded."""
+    """Each session's packets in capture files, the next one begun after every 2,048 packets; read, walked and decoded."""
     p = wire.packets(frames(spark, sf_dir))
-    whole = p.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("packet_no", F.hex("content").alias("x")))).alias("p"))
+    files = p.groupBy("session", F.expr("packet_no DIV 2048").alias("part")).agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY packet_no)").alias("content"))
     to = shared.fresh(spark, "captures")
-    wire.write_captures(whole.select(F.col("session").alias("source"), F.unhex(F.array_join("p.x", "")).alias("content")), to)
+    wire.write_captures(files.select((F.col("session") * 1_000_000 + F.col("part")).alias("source"), "content"), to)
     d = wire.decode(wire.walk(wire.captures(spark, to))).where("status = 'ok'")
     return d.groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.length("frame")).alias("bytes"), F.sum("qty").cast("long").alias("shares"), F.sum("order_id").cast("long").alias("ids"))
 
@@ -104,9 +104,8 @@ def s06(spark, sf_dir):
 def raw(spark, sf_dir):
     """(source, content): each session's frames, one after the other, 256 to a content."""
     f = frames(spark, sf_dir).withColumn("part", F.expr("(seq - 1) DIV 256"))
-    block = F.concat(F.lpad(F.hex(F.length("frame").cast("long")), 4, "0"), F.hex("frame"))
-    g = f.groupBy("session", "part").agg(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))).alias("b"))
-    return g.select((F.col("session") * 1_000_000 + F.col("part")).alias("source"), F.unhex(F.array_join("b.b", "")).alias("content"))
+    g = f.select("session", "part", "seq", wire.prefixed(F.col("frame")).alias("block")).groupBy("session", "part").agg(F.expr("listagg(block) WITHIN GROUP (ORDER BY seq)").alias("content"))
+    return g.select((F.col("session") * 1_000_000 + F.col("part")).alias("source"), "content")
 
 
 @query("s07_raw_frames", f"{NUMBERED} SELECT CAST(session AS BIGINT) AS session, count(*) AS frames, CAST(sum({SIZE}) AS BIGINT) AS bytes, true AS whole FROM n GROUP BY session")

@@ -36,6 +36,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MESSAGES.format(text="STRING", div="DIV", orders="{orders}", lineitem="{lineitem}"), orders=read(spark, sf_dir, "orders"), lineitem=read(spark, sf_dir, "lineitem"))
 
 
+def in_sessions(messages: DataFrame, sessions: int = 64) -> DataFrame:
+    """messages with session, and seq from 1 by session in order.
+
+    A session's days are numbered by themselves, so that no session is sorted in
+    one task; each day starts from the counts of those before it, a small table
+    of one row for each session and day.
+    """
+    m = messages.withColumns({"session": F.col("order_id") % sessions, "day": F.to_date("ts")})
+    past = Window.partitionBy("session").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    counts = m.groupBy("session", "day").agg(F.count("*").alias("n"))
+    starts = counts.select(F.col("session").alias("s"), F.col("day").alias("d"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("start"))
+    near = m.withColumn("near", F.row_number().over(Window.partitionBy("session", "day").orderBy(*ORDER, "order_id")))
+    both = near.join(F.broadcast(starts), F.col("session").eqNullSafe(F.col("s")) & F.col("day").eqNullSafe(F.col("d")))
+    return both.select(*messages.columns, "session", (F.col("start") + F.col("near")).alias("seq"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided mids: (symbol, seq, ts_us, mid_raw)."""
     e = read(spark, sf_dir, "events")

@@ -7,11 +7,14 @@ Arrow batches, one row for each frame.
 
 import struct
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Fixed values: (name, offset, bytes) of each message's fields after the tag, and its length.
 HEADER = [("locate", 1, 2), ("tracking", 3, 2), ("ts_ns", 5, 6)]
@@ -67,10 +70,19 @@ def encode(messages: DataFrame) -> DataFrame:
             return F.when((F.length(text) <= size) & ~text.rlike("[^\\x00-\\xFF]"), F.hex(F.encode(F.rpad(text, size, " "), "ISO-8859-1")))
         return big_endian(F.coalesce(F.col(name), F.lit(0).cast(kinds[name])), size, kinds[name])
 
+    # each field is worked out once for all tags: a chain with every tag's own would be too long a method for the JVM to compile
+    parts = {(n, s): field(n, s) for _, fields in FIELDS.values() for n, _, s in [*HEADER, *fields]}
+    at = {k: f"_part{i}" for i, k in enumerate(parts)}
     body = F.lit(None).cast("string")
     for tag, (_, fields) in FIELDS.items():
-        body = F.when(F.col("tag") == tag, F.concat(F.lit(f"{ord(tag):02X}"), *(field(n, s) for n, _, s in [*HEADER, *fields]))).otherwise(body)
-    return messages.withColumn("frame", F.unhex(body)).withColumn("fits", F.col("frame").isNotNull())
+        body = F.when(F.col("tag") == tag, F.concat(F.lit(f"{ord(tag):02X}"), *(F.col(at[n, s]) for n, _, s in [*HEADER, *fields]))).otherwise(body)
+    messages = messages.withColumns({at[k]: c for k, c in parts.items()})
+    return messages.withColumn("frame", F.unhex(body)).withColumn("fits", F.col("frame").isNotNull()).drop(*at.values())
+
+
+def prefixed(frame: Column) -> Column:
+    """A frame with its length in two bytes before it."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.length(frame).cast("long")), 4, "0")), frame)
 
 
 def packets(frames: DataFrame, blocks: int = 64, name: Column | None = None) -> DataFrame:
@@ -82,11 +94,34 @@ def packets(frames: DataFrame, blocks: int = 64, name: Column | None = None) ->
     """
     no = F.col("packet_no") if "packet_no" in frames.columns else F.expr(f"(seq - 1) DIV {blocks}")
     frame = F.coalesce("frame", F.raise_error(F.concat(F.lit("no frame for message "), F.col("seq").cast("string"))).cast("binary"))
-    block = F.concat(F.lpad(F.hex(F.length(frame).cast("long")), 4, "0"), F.hex(frame))
-    grouped = frames.groupBy("session", no.alias("packet_no")).agg(F.array_sort(F.collect_list(F.struct("seq", block.alias("block")))).alias("b"))
+    grouped = frames.select("session", no.alias("packet_no"), "seq", prefixed(frame).alias("block")).groupBy("session", "packet_no").agg(F.min("seq").alias("first"), F.count("*").alias("n"), F.expr("listagg(block) WITHIN GROUP (ORDER BY seq)").alias("blocks"))
     told = F.concat(F.lit("S"), F.col("session").cast("string")) if name is None else name
-    head = F.concat(F.hex(F.rpad(told, 10, " ")), big_endian(F.element_at("b", 1)["seq"], 8), big_endian(F.size("b"), 2))
-    return grouped.select("session", "packet_no", F.unhex(F.concat(head, F.array_join("b.block", ""))).alias("content"))
+    head = F.concat(F.hex(F.rpad(told, 10, " ")), big_endian(F.col("first"), 8), big_endian(F.col("n"), 2))
+    return grouped.select("session", "packet_no", F.concat(F.unhex(head), "blocks").alias("content"))
+
+
+def each(contents: DataFrame, frames: Callable[..., Iterator[tuple]], schema: str, most: int = 8192, most_bytes: int = 1 << 24) -> DataFrame:
+    """Rows that frames(*content) yields for each row of contents; they leave in batches of bounded length, however many a content or a batch of contents holds."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    sized = [i for i, f in enumerate(kinds) if pa.types.is_binary(f.type)]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    def run(batches):
+        out, held = [], 0
+        for b in batches:
+            for n in range(b.num_rows):
+                for row in frames(*(c[n].as_py() for c in b.columns)):
+                    out.append(row)
+                    held += sum(len(row[i] or b"") for i in sized)
+                    if len(out) == most or held >= most_bytes:
+                        yield batch(out)
+                        out, held = [], 0
+        if out:
+            yield batch(out)
+
+    return contents.mapInArrow(run, schema)
 
 
 FRAME = "source bigint, packet_no bigint, session string, seq decimal(20,0), idx int, declared int, complete boolean, frame binary"
@@ -100,33 +135,28 @@ def walk(contents: DataFrame, emit_partial: bool = False) -> DataFrame:
     and with no declared length where even that is cut.
     """
 
-    def frames(batches):
-        for batch in batches:
-            out = []
-            for source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, packet = 0, 0
-                while data is not None and at + 20 <= len(data):
-                    session, seq, count = struct.unpack_from(">10sQH", data, at)
-                    at += 20
-                    if count == END_OF_SESSION:
-                        break
-                    for i in range(count):
-                        if at + 2 > len(data):
-                            if emit_partial:
-                                out.append((source, packet, session.decode("latin-1").rstrip(" "), seq + i, i, None, False, data[at:]))
-                            at = len(data)
-                            break
-                        (size,) = struct.unpack_from(">H", data, at)
-                        body = data[at + 2 : at + 2 + size]
-                        at += 2 + size
-                        if len(body) == size or emit_partial:
-                            out.append((source, packet, session.decode("latin-1").rstrip(" "), seq + i, i, size, len(body) == size, body))
-                    packet += 1
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.decimal128(20, 0), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(cols[i], k) for i, k in enumerate(kinds)], ["source", "packet_no", "session", "seq", "idx", "declared", "complete", "frame"])
-
-    return contents.select("source", "content").mapInArrow(frames, FRAME)
+    def frames(source, data):
+        at, packet = 0, 0
+        while data is not None and at + 20 <= len(data):
+            session, seq, count = struct.unpack_from(">10sQH", data, at)
+            at += 20
+            if count == END_OF_SESSION:
+                return
+            name = session.decode("latin-1").rstrip(" ")
+            for i in range(count):
+                if at + 2 > len(data):
+                    if emit_partial:
+                        yield (source, packet, name, seq + i, i, None, False, data[at:])
+                    at = len(data)
+                    break
+                (size,) = struct.unpack_from(">H", data, at)
+                body = data[at + 2 : at + 2 + size]
+                at += 2 + size
+                if len(body) == size or emit_partial:
+                    yield (source, packet, name, seq + i, i, size, len(body) == size, body)
+            packet += 1
+
+    return each(contents.select("source", "content"), frames, FRAME)
 
 
 def decode(frames: DataFrame) -> DataFrame:
@@ -141,12 +171,14 @@ def decode(frames: DataFrame) -> DataFrame:
     df = frames.withColumns({"tag": tag}).withColumn("want", F.try_element_at(known, F.col("tag")))
     fields: dict = {n: F.when(F.length(body) >= 11, number(body, o, s).cast("long")) for n, o, s in HEADER}
     for name in dict.fromkeys(n for _, f in FIELDS.values() for n, _, _ in f):
-        value = F.lit(None)
+        value, places = F.lit(None), {}
         for t, (_, spec) in FIELDS.items():
             for n, o, s in spec:
                 if n == name:
-                    read = F.rtrim(F.decode(F.substring(body, o + 1, s), "ISO-8859-1")) if n in TEXT else number(body, o, s)
-                    value = F.when((F.col("tag") == t) & (F.length(body) == F.col("want")), read).otherwise(value)
+                    places.setdefault((o, s), []).append(t)
+        for (o, s), tags in places.items():
+            read = F.rtrim(F.decode(F.substring(body, o + 1, s), "ISO-8859-1")) if name in TEXT else number(body, o, s)
+            value = F.when(F.col("tag").isin(*tags) & (F.length(body) == F.col("want")), read).otherwise(value)
         fields[name] = value.cast("string") if name in TEXT else value if name in WIDE else value.cast("long")
     complete = F.col("complete") if "complete" in frames.columns else F.lit(True)
     df = df.withColumns(fields)
@@ -174,10 +206,10 @@ def write_captures(contents: DataFrame, folder: str) -> int:
     def put(batches):
         where, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         for batch in batches:
-            for source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for source, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 mine = f"{root}/_{source}-{uuid.uuid4().hex}"
                 with where.open_output_stream(mine) as out:
-                    out.write(data)
+                    out.write(data.as_py())
                 where.move(mine, f"{root}/{source}.bin")
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["source"])
 
@@ -237,23 +269,17 @@ def packet_list(frames: DataFrame) -> DataFrame:
 def walk_raw(contents: DataFrame) -> DataFrame:
     """(source, idx, declared, complete, frame) of (source, content): frames without packets around them; a last one may be cut, without declared if its length is."""
 
-    def frames(batches):
-        for batch in batches:
-            out = []
-            for source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, i = 0, 0
-                while data is not None and at + 2 <= len(data):
-                    (size,) = struct.unpack_from(">H", data, at)
-                    body = data[at + 2 : at + 2 + size]
-                    out.append((source, i, size, len(body) == size, body))
-                    at, i = at + 2 + size, i + 1
-                if data is not None and at < len(data):
-                    out.append((source, i, None, False, data[at:]))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["source", "idx", "declared", "complete", "frame"])
-
-    return contents.select("source", "content").mapInArrow(frames, "source bigint, idx bigint, declared int, complete boolean, frame binary")
+    def frames(source, data):
+        at, i = 0, 0
+        while data is not None and at + 2 <= len(data):
+            (size,) = struct.unpack_from(">H", data, at)
+            body = data[at + 2 : at + 2 + size]
+            yield (source, i, size, len(body) == size, body)
+            at, i = at + 2 + size, i + 1
+        if data is not None and at < len(data):
+            yield (source, i, None, False, data[at:])
+
+    return each(contents.select("source", "content"), frames, "source bigint, idx bigint, declared int, complete boolean, frame binary")
 
 
 def turned(digits: Column, size: int = 8) -> Column:
