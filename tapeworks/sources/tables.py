@@ -70,10 +70,13 @@ def fills(obs: DataFrame) -> DataFrame:
 FILLS_DUCK = "SELECT symbol, seq, ts_us, mid_raw, CAST(CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS BIGINT) AS s, mid_raw - CASE WHEN seq % 2 = 0 THEN 100 ELSE -100 END AS px_raw, 1 + seq % 100 AS size FROM obs WHERE event_type = 'purchase'"
 
 
-def transmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A message stream with gaps and repetitions: (session, arrival, observed)."""
+def transmissions(spark: SparkSession, sf_dir: str, bucket: int = 1 << 16) -> DataFrame:
+    """A message stream with gaps and repetitions: (session, arrival, observed); sessions are numbered in buckets of ids."""
     e = read(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("session"), F.col("event_id").alias("id"))
-    numbered = e.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy("id")).cast("long"))
+    parts = e.withColumn("bucket", F.expr(f"id DIV {bucket}"))
+    earlier = parts.groupBy("session", "bucket").agg(F.count("*").alias("here")).select(F.col("session").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("here").over(Window.partitionBy("session").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    near = F.row_number().over(Window.partitionBy("session", "bucket").orderBy("id"))
+    numbered = parts.join(F.broadcast(earlier), F.col("session").eqNullSafe(F.col("s")) & F.col("bucket").eqNullSafe(F.col("b"))).select("session", "id", (F.col("start") + near).alias("n"))
     sent = numbered.select("session", (2 * F.col("n")).alias("arrival"), (F.col("n") + F.expr("3 * (n DIV 500)")).alias("observed"))
     again = sent.where("arrival DIV 2 % 97 = 0").select("session", (F.col("arrival") + 1).alias("arrival"), F.col("observed"))
     return sent.union(again)

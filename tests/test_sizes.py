@@ -1,11 +1,14 @@
 """What must stay bounded or be dealt over tasks on larger tables."""
 
+import random
 import struct
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tapeworks.operators import session
 from tapeworks.plans import records
 from tapeworks.sources import tables, wire
 
@@ -64,3 +67,45 @@ def test_sessions_with_messages_of_no_time(spark, sf):
     assert len(got) == 40
     for s in (0, 1):
         assert sorted(r.seq for r in got if r.session == s) == list(range(1, 1 + sum(r.session == s for r in got)))
+
+
+def followed_by_loop(rows, timeout):
+    """The client one event after the other: (state, expected, reply, alive)."""
+    state, expected, heard, told = "idle", None, None, []
+    for r in rows:
+        alive = state != "idle" if state in ("idle", "logging_in") or heard is None else r.ts_us - heard <= timeout
+        reply = b""
+        if r.event in ("message", "heartbeat"):
+            heard = r.ts_us
+        if r.event in ("login", "refused", "logout"):
+            state = {"login": "logging_in", "refused": "idle", "logout": "closed"}[r.event]
+        elif r.event == "accepted":
+            state, expected, heard = "ready", r.number + 1, None
+        elif r.event == "heartbeat":
+            reply = struct.pack(">cQ", b"H", r.number)
+        elif r.event == "done":
+            state, expected = ("ready" if state == "retransmitting" else state), r.number
+        elif state == "ready" and r.number == expected:
+            expected += 1
+        elif state == "ready" and r.number > expected:
+            state, reply = "retransmitting", struct.pack(">cQQH", b"R", r.session, expected, min(r.number - expected, 0xFFFF))
+        told.append((state, expected, reply.hex(), alive))
+    return told
+
+
+def test_session_in_any_buckets_and_no_session_in_one_task(spark):
+    pick = random.Random(7)
+    kinds = ["message"] * 14 + ["heartbeat", "done", "accepted", "login", "logout", "refused"]
+    rows = [(s, 3 * i, 10 * i + pick.randrange(30), pick.choice(kinds), pick.randrange(12) * pick.choice([1, 1, 1, 9000])) for s in range(40) for i in range(120)]
+    df = spark.createDataFrame(rows, "session long, n long, ts_us long, event string, number long")
+    for bucket in (7, 1 << 16):
+        out = session.followed(df, 35, bucket)
+        got = sorted(out.collect(), key=lambda r: (r.session, r.n))
+        for s in range(40):
+            mine = [Row(session=a, n=b, ts_us=c, event=d, number=e) for a, b, c, d, e in rows if a == s]
+            assert [(r.state, r.expected, r.reply, r.alive) for r in got if r.session == s] == followed_by_loop(mine, 35)
+        assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_transmissions_in_any_buckets(spark, sf):
+    assert sorted(tables.transmissions(spark, sf, 13).collect()) == sorted(tables.transmissions(spark, sf).collect())
