@@ -4,6 +4,7 @@ Columns hold the value as two halves of 32 bits, since products of 64 bits
 would overflow. Fixed values: the basis and the prime, 2**40 + 0x1B3.
 """
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +17,20 @@ def fnv1a(data: bytes, start: int = BASIS) -> int:
     return start
 
 
+def fnv1a_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each data[start:end] (bytes as uint8): all pieces go on by a byte at a time, those that have ended drop out."""
+    value, length = np.full(len(start), BASIS, np.uint64), end - start
+    order = np.argsort(-length, kind="stable")
+    first, ends = start[order], length[order]
+    with np.errstate(over="ignore"):
+        for i in range(int(ends[0]) if len(ends) else 0):
+            n = int(np.searchsorted(-ends, -i, side="left"))
+            value[:n] = (value[:n] ^ data[first[:n] + i].astype(np.uint64)) * np.uint64(PRIME)
+    out = np.empty_like(value)
+    out[order] = value
+    return out
+
+
 def text_hash(text: Column) -> Column:
     """(hi, lo) of the hash of a text's bytes."""
     start = F.struct(F.lit(BASIS >> 32).alias("hi"), F.lit(BASIS & 0xFFFFFFFF).alias("lo"))

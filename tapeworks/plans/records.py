@@ -49,9 +49,9 @@ def d10(spark, sf_dir):
 def d11(spark, sf_dir):
     """Traces with a digit cut off every fiftieth line, written as text, read back and checked."""
     t = traced(spark, sf_dir)
-    cut = t.withColumn("line", F.when(F.col("index") % 50 == 7, F.regexp_replace("line", ".$", "")).otherwise(F.col("line"))).drop("index")
+    cut = t.withColumn("line", F.when(F.col("index") % 50 == 7, F.regexp_replace("line", ".$", "")).otherwise(F.col("line")))
     to = shared.fresh(spark, "trace")
-    trace.write(cut.select("session", "line"), to)
+    trace.write(cut.select("session", "index", "line"), to)
     return trace.read(spark, to).groupBy("tag", "ok").agg(F.count("*").alias("n"))
 
 
@@ -105,7 +105,8 @@ def p07(spark, sf_dir):
     """Each session's log with every ninth record written twice and the fiftieth lost, and read again."""
     f = frames(spark, sf_dir).where("seq <> 50").select(F.col("session").alias("source"), "seq", "frame")
     r = log.append(f, ["source"])
-    twice = r.withColumn("n", 2 * F.col("seq")).unionByName(r.where("seq % 9 = 0").withColumn("n", 2 * F.col("seq") + 1))
+    n = 2 * F.col("seq")
+    twice = r.withColumn("n", F.explode(F.when(F.col("seq") % 9 == 0, F.array(n, n + 1)).otherwise(F.array(n))))
     return log.read(log.segments(twice, 256)).groupBy("source", "status").agg(F.count("*").alias("n"))
 
 

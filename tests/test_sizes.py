@@ -3,14 +3,16 @@
 import random
 import struct
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tapeworks.functions import hashes
 from tapeworks.operators import session
 from tapeworks.plans import records
-from tapeworks.sources import tables, wire
+from tapeworks.sources import log, tables, wire
 
 
 class Taken:
@@ -109,3 +111,56 @@ def test_session_in_any_buckets_and_no_session_in_one_task(spark):
 
 def test_transmissions_in_any_buckets(spark, sf):
     assert sorted(tables.transmissions(spark, sf, 13).collect()) == sorted(tables.transmissions(spark, sf).collect())
+
+
+def judged_by_loop(seqs, last):
+    told = []
+    for seq in seqs:
+        told.append("duplicate" if seq <= last else "gap" if last and seq != last + 1 else "ok")
+        last = seq if told[-1] == "ok" else last
+    return told
+
+
+def test_log_is_judged_by_segments(spark):
+    pick = random.Random(5)
+    logs = {}
+    for source in range(30):
+        near, seqs = pick.randrange(5), []
+        for _ in range(90):
+            near = max(near + pick.choice([1, 1, 1, 1, 0, -1, 2, -3]), 0)
+            seqs.append(near)
+        logs[source] = seqs
+    rows = [(s, n, seq, bytearray(b"D" * (n % 5))) for s, seqs in logs.items() for n, seq in enumerate(seqs)]
+    r = log.append(spark.createDataFrame(rows, "source long, n long, seq long, frame binary"), ["source", "n"])
+    for applied in (0, 3):
+        out = log.read(log.segments(r, 7), applied)
+        got = sorted(out.collect(), key=lambda r: (r.source, r.segment, r.at))
+        for s, seqs in logs.items():
+            mine = [r for r in got if r.source == s]
+            assert [r.seq for r in mine] == seqs and [r.status for r in mine] == judged_by_loop(seqs, applied)
+    sorts = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [" in x]
+    assert sorts and not any("frame" in x for x in sorts)
+
+
+def test_log_ends_with_its_first_broken_segment(spark):
+    r = [(1, n, n + 1, bytearray(b"abc")) for n in range(20)]
+    made = log.segments(log.append(spark.createDataFrame(r, "source long, n long, seq long, frame binary"), ["source", "n"]), 5)
+    broken = made.withColumn("content", F.when(F.col("segment") == 2, F.expr("substring(content, 1, length(content) - 30)")).otherwise(F.col("content")))
+    got = sorted(log.read(broken).collect(), key=lambda r: (r.segment, r.at))
+    assert [(r.segment, r.status) for r in got] == [(0, "ok")] * 5 + [(1, "ok")] * 5 + [(2, "ok")] * 3 + [(2, "truncated")]
+
+
+def test_log_leaves_in_batches_of_bounded_length(spark):
+    body = b"HWAL" + struct.pack(">QHH", 1, 2, 0)
+    content = (body + hashes.fnv1a(body).to_bytes(8, "big")) * 20_000
+    taken = Taken()
+    log.found(taken)
+    told = list(taken.run([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([content])], ["source", "segment", "content"])]))
+    assert max(b.num_rows for b in told) <= 8192 and sum(b.num_rows for b in told) == 20_000
+
+
+def test_hashes_side_by_side():
+    texts = [b"", b"a", b"", b"abc" * 50, bytes(range(256)), b"b"]
+    ends = np.cumsum([len(x) for x in texts])
+    got = hashes.fnv1a_of(np.frombuffer(b"".join(texts), np.uint8), ends - [len(x) for x in texts], ends)
+    assert got.tolist() == [hashes.fnv1a(x) for x in texts]
