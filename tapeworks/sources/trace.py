@@ -35,9 +35,11 @@ def lines(frames: DataFrame, keep: list[str], index: Column) -> DataFrame:
     return d.select(*keep, "index", F.concat_ws(" ", F.col("index"), "code", kind, F.lpad(F.col("declared").cast("string"), 4, "0"), parts).alias("line"))
 
 
-def write(lines: DataFrame, path: str, parts: int = 8) -> None:
-    """Trace lines (..., index, line) as text files, in order of index within each."""
-    lines.repartition(parts, *[c for c in lines.columns if c not in ("index", "line")]).sortWithinPartitions(*lines.columns).select("line").write.text(path)
+def write(lines: DataFrame, path: str, piece: int = 1 << 16) -> None:
+    """Trace lines (..., index, line) as text files, in order of index within each; piece numbers of a trace stay together, so that files grow in number and not in size."""
+    keys = [F.col(c) for c in lines.columns if c not in ("index", "line")]
+    near = [F.expr(f"index DIV {piece}")] if "index" in lines.columns else []
+    lines.repartition(*keys, *near).sortWithinPartitions(*lines.columns).select("line").write.text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
