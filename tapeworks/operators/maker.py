@@ -11,7 +11,9 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from . import folds
+from .series import raw_volatility
 
 #: Risk aversion, order arrival, horizon in ticks, size, most inventory, least spread and edge (raw).
 PARAMETERS = {"gamma": 0.0025, "k": 1.5, "horizon": 250.0, "size": 10, "most": 500, "spread": 100, "edge": 1}
@@ -70,16 +72,17 @@ def made(tops: DataFrame, parameters: dict = PARAMETERS) -> DataFrame:
 
     Its quote is never better than the book's. With a quote standing from
     before, the new bid fills when the best bid is at or below it, else the ask
-    likewise: one fill at a time, of the fixed size.
+    likewise: one fill at a time, of the fixed size. Volatility does not depend
+    on the position and is worked out by pieces; only the position is a fold.
     """
     p = parameters
     base = math.log1p(p["gamma"] / p["k"]) / p["gamma"]
 
     def fold(key, rows):
-        volatility, position, cash, standing = Volatility(), 0, 0, False
+        position, cash, standing = 0, 0, False
         for r in rows:
-            mid = (r.best_bid + r.best_ask) // 2
-            risk = risk_term(volatility.see(mid), p["gamma"], p["horizon"])
+            mid = r.mid_raw
+            risk = risk_term(r.raw, p["gamma"], p["horizon"])
             half = max(0.5 * (0.5 * risk + base), 0.5 * p["spread"])
             middle = mid - position * risk
             model = nearest(middle - half), nearest(middle + half)
@@ -94,10 +97,11 @@ def made(tops: DataFrame, parameters: dict = PARAMETERS) -> DataFrame:
                 position += sign * p["size"]
                 cash -= sign * p["size"] * (bid if fill == "B" else ask)
             standing = valid and ask - bid >= p["edge"] and any(live.values())
-            yield (*key, r.n, mid, bid, ask, live["B"], live["S"], fill, position, cash)
+            yield (*key, r.seq, mid, bid, ask, live["B"], live["S"], fill, position, cash)
 
-    rows = tops.where("best_bid IS NOT NULL AND best_ask IS NOT NULL").select("symbol", "n", "best_bid", "best_ask")
-    return folds.by_key(rows, ["symbol"], ["n"], fold, MADE)
+    mid = F.expr("shiftright(best_bid + best_ask, 1)")
+    both = cut(tops.where("best_bid IS NOT NULL AND best_ask IS NOT NULL").select("symbol", F.col("n").alias("seq"), mid.alias("mid_raw"), "best_bid", "best_ask"))
+    return folds.by_key(raw_volatility(both, keep=("best_bid", "best_ask")), ["symbol"], ["seq"], fold, MADE)
 
 
 def queue_fills(events: DataFrame, latency: int) -> DataFrame:

@@ -21,20 +21,20 @@ def moves(obs: DataFrame) -> DataFrame:
     return changes(obs).groupBy("symbol").agg(F.count("*").alias("observations"), F.count_if(F.coalesce(F.col("delta"), F.lit(0)) != 0).alias("moves"))
 
 
-def pieces(obs: DataFrame, size: int, overlap: int, bucket: int = 1 << 16) -> DataFrame:
-    """(symbol, piece, own, seq, mid_raw): each symbol's observations in pieces of size rows, and before each the last overlap rows of the one before.
+def pieces(obs: DataFrame, size: int, overlap: int, bucket: int = 1 << 16, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, piece, own, seq, mid_raw, *keep): each symbol's observations in pieces of size rows, and before each the last overlap rows of the one before.
 
     own is false for the latter. Rows are numbered by symbol from the counts of
     buckets of seq, so that no symbol has to be sorted in one task.
     """
-    rows = obs.select("symbol", "seq", "mid_raw", F.expr(f"seq DIV {bucket}").alias("bucket"))
+    rows = obs.select("symbol", "seq", "mid_raw", *keep, F.expr(f"seq DIV {bucket}").alias("bucket"))
     w = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("symbol", "bucket").agg(F.count("*").alias("n")).select("symbol", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
     n = F.col("start") + F.row_number().over(Window.partitionBy("symbol", "bucket").orderBy("seq")) - 1
-    numbered = rows.join(starts, ["symbol", "bucket"]).select("symbol", "seq", "mid_raw", n.alias("n"))
+    numbered = rows.join(starts, ["symbol", "bucket"]).select("symbol", "seq", "mid_raw", *keep, n.alias("n"))
     home = F.expr(f"n DIV {size}")
     both = F.when(F.col("n") % size >= size - overlap, F.array(home, home + 1)).otherwise(F.array(home))
-    return numbered.select("symbol", "seq", "mid_raw", home.alias("home"), F.explode(both).alias("piece")).select("symbol", "piece", (F.col("home") == F.col("piece")).alias("own"), "seq", "mid_raw")
+    return numbered.select("symbol", "seq", "mid_raw", *keep, home.alias("home"), F.explode(both).alias("piece")).select("symbol", "piece", (F.col("home") == F.col("piece")).alias("own"), "seq", "mid_raw", *keep)
 
 
 def sigmas(mid: np.ndarray, window: int) -> np.ndarray:
@@ -57,16 +57,22 @@ def sigmas(mid: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def volatility(obs: DataFrame, window: int = WINDOW, size: int = PIECE) -> DataFrame:
-    """(symbol, seq, sigma, sigma_fraction, mid_raw): root mean square of the last returns, each held within four times their median size."""
+def raw_volatility(obs: DataFrame, window: int = WINDOW, size: int = PIECE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, seq, mid_raw, *keep, raw): sigmas() after each observation, unrounded, by pieces of a symbol."""
+    columns = ["symbol", "seq", "mid_raw", *keep]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
         sigma = sigmas(table["mid_raw"].to_numpy(), window)
-        return table.append_column("raw", pa.array(sigma)).filter(table["own"]).select(["symbol", "seq", "mid_raw", "raw"])
+        return table.append_column("raw", pa.array(sigma)).filter(table["own"]).select([*columns, "raw"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in obs.select(*columns).dtypes)
+    return pieces(obs, max(size, window), window, keep=keep).groupBy("symbol", "piece").applyInArrow(run, f"{kinds}, raw double")
 
-    kinds = ", ".join(f"{c} {t}" for c, t in obs.select("symbol", "seq", "mid_raw").dtypes)
-    raw = pieces(obs, max(size, window), window).groupBy("symbol", "piece").applyInArrow(run, f"{kinds}, raw double")
+
+def volatility(obs: DataFrame, window: int = WINDOW, size: int = PIECE) -> DataFrame:
+    """(symbol, seq, sigma, sigma_fraction, mid_raw): root mean square of the last returns, each held within four times their median size."""
+    raw = raw_volatility(obs, window, size)
     return raw.select("symbol", "seq", F.round("raw", 6).alias("sigma"), F.round(F.col("raw") / F.col("mid_raw"), 9).alias("sigma_fraction"), "mid_raw")
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.prices import thousands
 from ..operators import book, maker, manager, risk, series, session
-from ..sources import tables
+from ..operators.prefix import before
+from ..sources import shared, tables
 from . import steps
 from .queries import OBS, SIGMA, query
 
@@ -94,10 +95,12 @@ def t06(spark, sf_dir):
 @query("a11_maker_profit")
 def a11(spark, sf_dir):
     """(symbol, fills, peak, equity, worst_step, best_step, drawdown) of the market maker's run."""
-    made = maker.made(tops(spark, sf_dir))
-    w = Window.partitionBy("symbol").orderBy("n")
-    past = made.select("symbol", "n", "fill", "position", (F.coalesce(F.lag("cash").over(w), F.lit(0)) + F.coalesce(F.lag("position").over(w), F.lit(0)) * F.col("mid_raw")).alias("equity"))
-    steps = past.withColumns({"step": F.col("equity") - F.coalesce(F.lag("equity").over(w), F.lit(0)), "high": F.greatest(F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))})
+    made = shared.cut(maker.made(tops(spark, sf_dir)).select("symbol", "n", "mid_raw", "fill", "position", "cash"))
+    zero = F.lit(0).cast("long")
+    held = before(made, {"had": ("position", "last"), "spent": ("cash", "last")}, order="n")
+    equity = F.coalesce("spent", zero) + F.coalesce("had", zero) * F.col("mid_raw")
+    past = before(held.select("symbol", "n", "fill", "position", equity.alias("equity")), {"last": ("equity", "last"), "most": ("equity", "max")}, order="n")
+    steps = past.withColumns({"step": F.col("equity") - F.coalesce("last", zero), "high": F.greatest("most", "equity", zero)})
     return steps.groupBy("symbol").agg(F.count("fill").alias("fills"), F.max(F.abs("position")).alias("peak"), F.max_by("equity", "n").alias("equity"), F.min("step").alias("worst_step"), F.max("step").alias("best_step"), F.max(F.col("high") - F.col("equity")).alias("drawdown"))
 
 

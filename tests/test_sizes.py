@@ -10,9 +10,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tapeworks.functions import hashes
-from tapeworks.operators import session
+from tapeworks.operators import maker, series, session
 from tapeworks.plans import records
-from tapeworks.sources import log, tables, wire
+from tapeworks.sources import log, tables, trace, wire
 
 
 class Taken:
@@ -164,3 +164,21 @@ def test_hashes_side_by_side():
     ends = np.cumsum([len(x) for x in texts])
     got = hashes.fnv1a_of(np.frombuffer(b"".join(texts), np.uint8), ends - [len(x) for x in texts], ends)
     assert got.tolist() == [hashes.fnv1a(x) for x in texts]
+
+
+def test_a_trace_is_written_in_pieces(spark, tmp_path):
+    lines = spark.range(5_000).select(F.lit(1).alias("session"), F.col("id").alias("index"), F.concat(F.col("id"), F.lit(" D")).alias("line"))
+    trace.write(lines, str(tmp_path / "t"), 100)
+    files = sorted(p.read_text().splitlines() for p in (tmp_path / "t").glob("*.txt"))
+    assert sorted(x for f in files for x in f) == sorted(f"{i} D" for i in range(5_000))
+    assert all([int(x.split()[0]) for x in f] == sorted(int(x.split()[0]) for x in f) for f in files)
+
+
+def test_makers_volatility_is_no_work_of_the_fold(spark):
+    rows = [("S", n, 999_000 + 100 * (n % 7), 1_001_000 + 100 * (n % 5)) for n in range(600)]
+    out = maker.made(spark.createDataFrame(rows, "symbol string, n long, best_bid long, best_ask long"))
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    mid, seen = maker.Volatility(), [r.mid_raw for r in sorted(out.collect(), key=lambda r: r.n)]
+    assert seen == [(b + a) // 2 for _, _, b, a in rows]
+    raw = series.raw_volatility(spark.createDataFrame([("S", n, m) for n, m in enumerate(seen)], "symbol string, seq long, mid_raw long"), size=300)
+    assert [r.raw for r in sorted(raw.collect(), key=lambda r: r.seq)] == [mid.see(m) for m in seen]
