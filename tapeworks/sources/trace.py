@@ -26,11 +26,15 @@ def lines(frames: DataFrame, keep: list[str], index: Column) -> DataFrame:
     letters = {"ok": "D", "truncated_body": "T", "unknown_type": "S", "malformed": "M", "bad_length": "L"}
     code = F.try_element_at(F.create_map(*(F.lit(x) for kv in letters.items() for x in kv)), F.col("status"))
     seen = F.when(F.length("frame") > 0, F.lower(F.hex(F.substring("frame", 1, 1))))
-    digits = F.lower(F.hex("frame"))
-    spots = F.create_map(*(x for t in wire.FIELDS for x in (F.lit(t), F.array(*(F.struct(F.lit(2 * o + 1).alias("at"), F.lit(2 * s).alias("n")) for _, o, s in told(t))))))
-    fields = F.array_join(F.transform(F.try_element_at(spots, F.col("tag")), lambda x: F.substring(digits, x["at"], x["n"])), " ")
+    # each field is worked out once for all tags that have it, in order of place: a chain with every tag's own would be too long a method for the JVM to compile
+    spots: dict = {}
+    for t in wire.FIELDS:
+        for _, o, s in told(t):
+            spots.setdefault((o, s), []).append(t)
+    part = lambda o, s: F.hex(F.substring("frame", o + 1, s))
+    fields = F.lower(F.concat_ws(" ", *(part(*at) if len(tags) == len(wire.FIELDS) else F.when(wire.among(tags), part(*at)) for at, tags in sorted(spots.items()))))
     d = d.withColumn("code", code)
-    kind = F.when(F.col("complete"), F.coalesce(seen, F.lit("--"))).otherwise("--")
+    kind = F.coalesce(F.when(F.col("complete"), seen), F.lit("--"))
     parts = F.when(F.col("code") == "D", fields)
     return d.select(*keep, "index", F.concat_ws(" ", F.col("index"), "code", kind, F.lpad(F.col("declared").cast("string"), 4, "0"), parts).alias("line"))
 

@@ -159,6 +159,11 @@ def walk(contents: DataFrame, emit_partial: bool = False) -> DataFrame:
     return each(contents.select("source", "content"), frames, FRAME)
 
 
+def among(tags) -> Column:
+    """Whether tag, a single character, is one of tags; a list for isin would make longer code."""
+    return F.contains(F.lit("".join(tags)), F.col("tag"))
+
+
 def decode(frames: DataFrame) -> DataFrame:
     """Adds tag, status and every field: ok, truncated, truncated_body, bad_length, unknown_type or malformed, the first that holds.
 
@@ -178,11 +183,11 @@ def decode(frames: DataFrame) -> DataFrame:
                     places.setdefault((o, s), []).append(t)
         for (o, s), tags in places.items():
             read = F.rtrim(F.decode(F.substring(body, o + 1, s), "ISO-8859-1")) if name in TEXT else number(body, o, s)
-            value = F.when(F.col("tag").isin(*tags) & (F.length(body) == F.col("want")), read).otherwise(value)
+            value = F.when(among(tags) & (F.length(body) == F.col("want")), read).otherwise(value)
         fields[name] = value.cast("string") if name in TEXT else value if name in WIDE else value.cast("long")
     complete = F.col("complete") if "complete" in frames.columns else F.lit(True)
     df = df.withColumns(fields)
-    bad_id = F.col("tag").isin(*"AECXDU") & (F.col("order_id") == 0)
+    bad_id = among("AECXDU") & (F.col("order_id") == 0)
     cut = F.col("declared").isNull() if "declared" in frames.columns else F.lit(False)
     status = (
         F.when(cut, "truncated")

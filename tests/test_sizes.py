@@ -182,3 +182,27 @@ def test_makers_volatility_is_no_work_of_the_fold(spark):
     assert seen == [(b + a) // 2 for _, _, b, a in rows]
     raw = series.raw_volatility(spark.createDataFrame([("S", n, m) for n, m in enumerate(seen)], "symbol string, seq long, mid_raw long"), size=300)
     assert [r.raw for r in sorted(raw.collect(), key=lambda r: r.seq)] == [mid.see(m) for m in seen]
+
+
+def test_trace_fields_are_plain_expressions_that_the_jvm_compiles(spark, sf):
+    body = bytes(range(1, 60))
+    rows = [(n, bytearray(t.encode() + body[: size - 1])) for n, (t, (size, _)) in enumerate(wire.FIELDS.items())]
+    whole = spark.createDataFrame(rows, "n long, frame binary").withColumns({"declared": F.length("frame"), "complete": F.lit(True)})
+    whole = whole.withColumn("frame", F.when(F.substring("frame", 1, 1).isin(bytearray(b"A"), bytearray(b"P")), F.concat(F.substring("frame", 1, 19), F.lit(bytearray(b"B")), F.expr("substring(frame, 21, 40)"))).otherwise(F.col("frame")))
+    frame = {r.n: bytes(r.frame) for r in whole.collect()}
+    for r in trace.lines(whole, ["n"], F.col("n")).collect():
+        code, kind, length, *fields = r.line.split(" ")[1:]
+        data = frame[r.n]
+        assert code == "D" and kind == data[:1].hex() and int(length) == len(data)
+        assert fields == [data[o : o + s].hex() for _, o, s in trace.told(chr(data[0]))]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = records.traced(spark, sf)._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        code, longest = debug.codegenStringSeq(plan).iterator(), 0
+        while code.hasNext():
+            longest = max(longest, code.next()._3().maxMethodCodeSize())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert longest < 8000  # HotSpot interprets longer methods
+    assert "lambdafunction" not in plan.toString()
