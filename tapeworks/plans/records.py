@@ -58,7 +58,7 @@ def d11(spark, sf_dir):
 @query("j08_trace_diff", TRACE + " SELECT session, index, line AS line_one, CASE WHEN index % 90 = 11 THEN NULL ELSE replace(line, ' D ', ' M ') END AS line_other, CAST(CASE WHEN index % 90 = 11 THEN 0 ELSE 1 END AS BIGINT) AS word FROM t WHERE index % 90 = 11 OR index % 70 = 5")
 def j08(spark, sf_dir):
     """Traces against themselves with some lines lost and some statuses changed."""
-    t = traced(spark, sf_dir)
+    t = shared.cut(traced(spark, sf_dir))  # both sides come from it
     other = t.where("index % 90 <> 11").withColumn("line", F.when(F.col("index") % 70 == 5, F.replace("line", F.lit(" D "), F.lit(" M "))).otherwise(F.col("line")))
     return trace.compare(t, other, ["session", "index"])
 

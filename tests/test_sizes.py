@@ -206,3 +206,8 @@ def test_trace_fields_are_plain_expressions_that_the_jvm_compiles(spark, sf):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert longest < 8000  # HotSpot interprets longer methods
     assert "lambdafunction" not in plan.toString()
+
+
+def test_a_trace_is_made_once_to_be_compared(spark, sf):
+    plan = records.j08(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" not in plan and "lineitem" not in plan and "l_shipdate" not in plan
