@@ -108,11 +108,15 @@ def a11(spark, sf_dir):
 def t08(spark, sf_dir):
     """Each order as a resting order behind 30 shares: executions of it trade at its price, cancels take from those ahead."""
     m = tables.messages(spark, sf_dir)
-    w = Window.partitionBy("placement").orderBy(*tables.ORDER)
-    adds = m.where("tag = 'A'").select("order_id", F.col("px_raw").alias("px"))
+    of_order = Window.partitionBy("order_id")
+    # messages are numbered before they meet their add, so that they are sorted once; one that meets several counts once for each
+    near = m.withColumn("near", F.row_number().over(of_order.orderBy(*tables.ORDER)))
+    adds = m.where("tag = 'A'").select("order_id", F.col("px_raw").alias("px"), F.row_number().over(of_order.orderBy("px_raw")).alias("which"), F.count("*").over(of_order).alias("adds"))
     kind = F.when(F.col("tag") == "A", "place").when(F.col("tag").isin("E", "C"), "trade").otherwise("cancel")
-    e = m.join(adds, "order_id").select(F.col("order_id").alias("placement"), *tables.ORDER, F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("day"), kind.alias("event"), F.col("px").alias("px_raw"), "qty", F.lit(30).cast("long").alias("ahead"))
-    return maker.queue_fills(e.withColumn("n", F.row_number().over(w).cast("long")).withColumn("ts", F.col("day")), 5)
+    n = (F.col("near") - 1) * F.col("adds") + F.col("which")
+    day = F.datediff("ts", F.lit("1970-01-01")).cast("long")
+    e = near.join(adds, "order_id").select(F.col("order_id").alias("placement"), n.cast("long").alias("n"), day.alias("ts"), kind.alias("event"), F.col("px").alias("px_raw"), "qty", F.lit(30).cast("long").alias("ahead"))
+    return maker.queue_fills(e, 5)
 
 
 @query("t02_model_quotes", SIGMA + """, x AS (SELECT symbol, seq, mid_raw, round(sigma, 6) / 100 AS sigma, seq % 41 - 20 AS inventory, 1 + seq % 300 AS bid_size, CASE WHEN seq % 3 = 0 THEN 40 END AS ask_size FROM s),

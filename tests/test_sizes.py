@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions import hashes
 from tapeworks.operators import maker, series, session
-from tapeworks.plans import records
+from tapeworks.plans import records, trading
 from tapeworks.sources import log, tables, trace, wire
 
 
@@ -211,3 +211,23 @@ def test_trace_fields_are_plain_expressions_that_the_jvm_compiles(spark, sf):
 def test_a_trace_is_made_once_to_be_compared(spark, sf):
     plan = records.j08(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number()" not in plan and "lineitem" not in plan and "l_shipdate" not in plan
+
+
+def test_messages_are_sorted_once_to_meet_their_add(spark, sf):
+    named = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in named.items():
+        spark.conf.set(k, v)
+    try:
+        plan = trading.t08(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in named:
+            spark.conf.unset(k)
+    assert plan.count("Sort [") == 3  # messages, adds, and what the fold goes through
+
+
+def test_fills_number_each_orders_messages(spark, sf):
+    seen = {}
+    for r in trading.t08(spark, sf).collect():
+        seen.setdefault(r.placement, []).append(r.n)
+    sizes = {r.order_id: r["count"] for r in tables.messages(spark, sf).groupBy("order_id").count().collect()}
+    assert all(sorted(n) == list(range(1, sizes[k] + 1)) for k, n in seen.items())
