@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and how much goes to Python at once."""
 
 import os
 import tempfile
@@ -34,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 1 << 22) -> None:
+    """Rows go to Python in batches of some 4 MiB, whatever a row holds, so that a worker's memory stops growing at once; a setting of one's own that is lower stays."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > most_bytes:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+
+
 def clear(spark: SparkSession) -> None:
     """Removes what this application has cut; DataFrames that read it must be done with."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

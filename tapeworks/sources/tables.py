@@ -8,6 +8,8 @@ give, so nothing has to be numbered in one task.
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import shared
+
 ORDER = ["ts", "kind", "line", "part", "supp"]
 #: The same text for both engines but for integer division.
 MESSAGES = """
@@ -28,6 +30,7 @@ MESSAGES_DUCK = MESSAGES.format(text="VARCHAR", div="//", orders="orders", linei
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    shared.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

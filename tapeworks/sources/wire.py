@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from . import shared
+
 #: Fixed values: (name, offset, bytes) of each message's fields after the tag, and its length.
 HEADER = [("locate", 1, 2), ("tracking", 3, 2), ("ts_ns", 5, 6)]
 ADD = [("order_id", 11, 8), ("side", 19, 1), ("qty", 20, 4), ("stock", 24, 8), ("px_raw", 32, 4)]
@@ -228,6 +230,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one row, of at most 2 GB; longer captures should be cut between packets. Empty files give none.
     """
+    shared.small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
     return files.select("path", F.xxhash64("path").alias("source"), "content")
 

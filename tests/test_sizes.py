@@ -51,6 +51,20 @@ def test_wide_frames_leave_in_batches_of_bounded_bytes(spark):
     assert max(b.nbytes for b in told) < 1 << 25 and sum(b.num_rows for b in told) == 1_000
 
 
+def test_contents_go_to_python_in_batches_of_bounded_bytes(spark, sf, tmp_path):
+    named = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for read in (lambda: tables.read(spark, sf, "orders"), lambda: wire.captures(spark, str(tmp_path))):
+        spark.conf.unset(named)
+        read()
+        contents = spark.range(0, 300, 1, 1).select(F.expr("cast(repeat('x', 100000) AS binary)").alias("content"))
+        told = contents.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+        assert sum(r.n for r in told) == 300 and max(r.size for r in told) < 5 << 20
+        spark.conf.set(named, "1m")
+        read()
+        assert spark.conf.get(named) == "1m"  # a lower setting stays
+    spark.conf.unset(named)
+
+
 def test_sessions_are_numbered_by_day_and_in_order(spark, sf):
     m = tables.messages(spark, sf)
     key = lambda r: (r.session, r.ts, r.kind, r.line, r.part, r.supp, r.order_id)
